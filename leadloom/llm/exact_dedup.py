@@ -163,6 +163,20 @@ def groups(digests: DataFrame, rows: int) -> DataFrame:
     return local.repartition(shards, "digest").mapInArrow(_merge, schema)
 
 
+def attach(base: DataFrame, found: DataFrame, rows: int) -> DataFrame:
+    """base(doc_id, digest) with the columns of found(digest, keep_id, group_size), in which each digest is once.
+
+    `rows` is the number of rows of base.  Large groups are broadcast, so that no digest's rows meet in one task.
+    """
+    limit = rows // HEAVY
+    heavy = F.broadcast(found.where(F.col("group_size") > limit).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")))
+    marked = base.join(heavy, "digest", "left")
+    hot = marked.where("hot_size is not null").select("doc_id", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
+    rest = marked.where("hot_size is null").select("doc_id", "digest")
+    rest = rest.join(found.where(F.col("group_size") <= limit), "digest").select("doc_id", "digest", "keep_id", "group_size")
+    return hot.unionByName(rest)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -175,13 +189,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = materialize(base, "digests")
     rows = base.count()
     found = materialize(groups(base, rows), "groups")
-    limit = rows // HEAVY
-    heavy = F.broadcast(found.where(F.col("group_size") > limit).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")))
-    marked = base.join(heavy, "digest", "left")
-    hot = marked.where("hot_size is not null").select("doc_id", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
-    rest = marked.where("hot_size is null").select("doc_id", "digest")
-    rest = rest.join(found.where(F.col("group_size") <= limit), "digest").select("doc_id", "digest", "keep_id", "group_size")
-    both = hot.unionByName(rest)
+    both = attach(base, found, rows)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
     return both.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
