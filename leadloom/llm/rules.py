@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_per_text, in_repeats, map_texts, sums
+from .common import in_repeats, map_texts, sums
 from .hashing import Batch, combine, ranges_hash
 
 #: Hash buckets of the two multinomials: a bound on what reaches the driver and the workers.
@@ -21,6 +21,8 @@ BUCKETS = 1 << 16
 THRESHOLD = -0.15
 #: Pseudo-count of every bucket, as a share of the mean count of a bucket.
 SMOOTHING = 0.05
+#: Bound on the labelled documents that make the trusted target.
+TRUSTED_ROWS = 20_000
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -135,7 +137,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return failed.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
-def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with trusted: labelled as good.  A document is trusted if any of its label rows says so."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    return docs.select("doc_id", "text").join(good, "doc_id", "left")
+def with_trust(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
+    """docs(doc_id, text) with trusted: labelled as good.  A document is trusted if any of its label rows says so.
+
+    The target is learnt from at most `most` labelled documents, chosen by a hash of the id, which are broadcast.
+    """
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
+    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True))
+    return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
