@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # They decide which addresses and handles are accepted.
 BLOCKED_TLDS = [
@@ -105,7 +106,7 @@ def decode_cf_email(c: Column) -> Column:
     return F.when(c.rlike("^([0-9a-fA-F]{2}){2,}$"), validate_email(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fields, text, urls
 from ..operators import dedup, geo, rules, stats
 from ..operators.rules import FilterConfig
+from ..sources import dims
 from .leads import SQL as LEADS
 from .leads import leads, read
 
@@ -133,9 +134,9 @@ def query_leads(df: DataFrame, city: str | None = None, category: str | None = N
     return df
 
 
-@on_leads("query_leads_city", f"SELECT {COLS} FROM leads WHERE city ILIKE '%an%'")
+@on_leads("query_leads_city", f"SELECT {COLS} FROM leads WHERE city ILIKE '%nation_1%'")
 def _(df):
-    return query_leads(df, city="an").select(FLAT)
+    return query_leads(df, city="nation_1").select(FLAT)
 
 
 @on_leads("query_leads_combined", f"SELECT {COLS} FROM leads WHERE category ILIKE '%build%' AND average_rating >= 2.5 AND email <> '' AND phone <> ''")
@@ -606,21 +607,25 @@ def _(spark, d):
     return read(spark, d, "part").agg(sampled.alias("sampled"), empty.alias("empty"), F.floor(empty / sampled * F.count("*")).cast("long").alias("estimated_empty"))
 
 
-CITIES = [("china", 53.6, 18.2, 134.8, 73.5), ("france", 51.1, 41.3, 9.6, -5.2), ("germany", 55.1, 47.3, 15.1, 5.9), ("india", 35.5, 6.7, 97.4, 68.1), ("japan", 45.6, 24.2, 146.0, 122.9), ("brazil", 5.3, -33.8, -34.8, -74.0)]
-COUNTRIES = [("china", "cn"), ("france", "fr"), ("germany", "de"), ("india", "in"), ("japan", "jp"), ("united kingdom", "gb"), ("united states", "us"), ("canada", "ca"), ("egypt", "eg")]
+def place(names: list[str]) -> tuple[str, str]:
+    """A place name for each lead as an expression: the dimension's names and two unknown ones, in turn (Spark, DuckDB)."""
+    array, n = ", ".join(f"'{n}'" for n in [*names, "narnia", "ca"]), len(names) + 2
+    return f"concat(' ', initcap(element_at(array({array}), CAST(seq % {n} AS INT) + 1)))", f"[{array}][CAST(seq % {n} AS INT) + 1]"
 
 
-@on_leads("city_bounds_lookup", f"SELECT seq, city, north, south FROM leads LEFT JOIN (VALUES {', '.join(f"('{c}', CAST({n} AS DOUBLE), CAST({s} AS DOUBLE))" for c, n, s, _, _ in CITIES)}) t(name, north, south) ON lower(trim(city)) = name")
+CITY, CITY_SQL = place([c[0] for c in dims.CITIES])
+COUNTRY, COUNTRY_SQL = place([c[0] for c in dims.COUNTRIES])
+
+
+@on_leads("city_bounds_lookup", f"SELECT seq, north, south, east, west FROM (SELECT seq, {CITY_SQL} AS c FROM leads) LEFT JOIN (VALUES {', '.join('(' + repr(c[0]) + ', ' + ', '.join(f'CAST({v} AS DOUBLE)' for v in c[1:]) + ')' for c in dims.CITIES)}) t(name, north, south, east, west) ON c = name")
 def _(df):
-    dim = df.sparkSession.createDataFrame(CITIES, "name string, north double, south double, east double, west double")
-    return df.join(F.broadcast(dim), F.lower(F.trim("city")) == F.col("name"), "left").select("seq", "city", "north", "south")
+    found = dims.with_city_box(df.select("seq", F.expr(CITY).alias("place")), "place")
+    return found.select("seq", *[F.col(c) for c in ("north", "south", "east", "west")])
 
 
-@on_leads("country_code", f"SELECT seq, CASE WHEN length(c) = 2 THEN c ELSE code END AS code FROM (SELECT seq, CASE WHEN seq % 5 = 0 THEN 'uk' ELSE lower(trim(city)) END AS c FROM leads) LEFT JOIN (VALUES {', '.join(f"('{n}', '{c}')" for n, c in COUNTRIES)}) t(name, code) ON c = name")
+@on_leads("country_code", f"SELECT seq, CASE WHEN length(c) = 2 THEN c ELSE code END AS code FROM (SELECT seq, {COUNTRY_SQL} AS c FROM leads) LEFT JOIN (VALUES {', '.join(str(c) for c in dims.COUNTRIES)}) t(name, code) ON c = name")
 def _(df):
-    dim = df.sparkSession.createDataFrame(COUNTRIES, "name string, code string")
-    named = df.select("seq", F.when(F.col("seq") % 5 == 0, "uk").otherwise(F.lower(F.trim("city"))).alias("c"))
-    return named.join(F.broadcast(dim), F.col("c") == F.col("name"), "left").select("seq", F.when(F.length("c") == 2, F.col("c")).otherwise(F.col("code")).alias("code"))
+    return dims.with_country_code(df.select("seq", F.expr(COUNTRY).alias("place")), "place").select("seq", "code")
 
 
 @query("geocode_cascade", "WITH hit AS (SELECT s_nationkey AS k, max(s_acctbal) AS importance FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1) SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'cache' WHEN c_nationkey < 5 THEN 'predefined' WHEN importance IS NOT NULL THEN 'hit' ELSE 'none' END AS source, CASE WHEN c_custkey % 4 = 0 OR c_nationkey < 5 THEN NULL ELSE importance END AS importance FROM customer LEFT JOIN hit ON c_nationkey = k")
