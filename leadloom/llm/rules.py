@@ -18,9 +18,9 @@ from .hashing import Batch, combine, ranges_hash
 #: Hash buckets of the two multinomials: a bound on what reaches the driver and the workers.
 BUCKETS = 1 << 16
 #: Texts with a mean log ratio below this are dropped.
-THRESHOLD = -0.15
-#: Pseudo-count of every bucket, as a share of the mean count of a bucket.
-SMOOTHING = 0.05
+THRESHOLD = -0.14
+#: Occurrences that a bucket is held to have had beside its own, at the rate of the corpus: rare n-grams say little.
+PRIOR = 20.0
 #: Bound on the labelled documents that make the trusted target.
 TRUSTED_ROWS = 20_000
 SYMBOLS = np.zeros(256, bool)
@@ -66,13 +66,11 @@ def ngram_counts(docs: DataFrame, text: str, trusted: str) -> tuple[np.ndarray,
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Per bucket: log of the smoothed target probability over the smoothed corpus probability."""
+    """Per bucket: log of target probability over corpus probability, drawn to 0 where the target should have little."""
     if not target.sum() or not raw.sum():
         return np.zeros(BUCKETS)
-    share = raw / raw.sum()
-    prior = SMOOTHING * target.sum() / BUCKETS
-    smooth = (target + prior * BUCKETS * (share + 1e-12)) / (target.sum() + prior * BUCKETS)
-    return np.log((smooth + 1e-12) / (share + 1e-12))
+    expected = raw * (target.sum() / raw.sum())
+    return np.log((target + PRIOR) / (expected + PRIOR))
 
 
 def base_counts(texts) -> dict[str, np.ndarray]:

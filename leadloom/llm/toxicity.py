@@ -138,8 +138,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     out = np.zeros((len(words), len(landmarks)))
     at = np.minimum(np.searchsorted(keys, ka), max(len(keys) - 1, 0))
     hit = np.flatnonzero(keys[at] == ka) if len(keys) else np.zeros(0, np.int64)
-    for part in range(0, len(hit), 100_000):
-        h = hit[part : part + 100_000]
+    for part in range(0, len(hit), 10_000):
+        h = hit[part : part + 10_000]
         np.add.at(out, wa[h], va[h, None] * dense[at[h]])
     return out
 
