@@ -146,19 +146,15 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def decide(blocks: list[Block]) -> None:
-    """Pass one: label blocks 'good', 'bad' or leave them ambiguous ('')."""
+    """Pass one: label blocks 'good' or 'bad'; headings, short blocks and prose without stop words stay ambiguous."""
     article = any(b.region and not b.outside for b in blocks)
     for b in blocks:
         words = b.text.lower().split()
         stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
         if b.outside or b.linked > LINKS * len(b.text) or article and not b.region:
             b.label = "bad"
-        elif b.heading or len(words) < SHORT:
-            b.label = ""
-        elif b.region or stop >= STOP_HIGH or len(words) >= LONG_WORDS and stop >= STOP_LOW:
+        elif not b.heading and len(words) >= SHORT and (b.region or stop >= STOP_HIGH or len(words) >= LONG_WORDS and stop >= STOP_LOW):
             b.label = "good"
-        elif stop < STOP_LOW and len(words) >= LONG_WORDS:
-            b.label = "bad"
 
 
 def inherit(blocks: list[Block]) -> None:

@@ -109,13 +109,15 @@ def full_pattern(size: np.ndarray, open_: np.ndarray, room: int) -> np.ndarray:
     return counts
 
 
-def first_basis(size: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
-    """A feasible basis: each pattern is used until it exhausts a size, which later patterns leave out (triangular)."""
+def first_basis(size: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis and its inverse.
+
+    Each pattern is used until it exhausts a size, which later patterns leave out; so the basis is triangular in the order
+    of the exhausted sizes, and its inverse comes by substitution.
+    """
     m, rest = len(size), demand.astype(float)
-    columns, open_ = np.diag(room // size).astype(np.int64), np.ones(m, bool)
-    for _ in range(m):
-        if not open_.any():
-            break
+    columns, open_, order = np.diag(room // size).astype(np.int64), np.ones(m, bool), []
+    while open_.any():
         counts = full_pattern(size, open_, room)
         used = np.flatnonzero(counts)
         ratio = rest[used] / counts[used]
@@ -123,7 +125,14 @@ def first_basis(size: np.ndarray, demand: np.ndarray, room: int) -> np.ndarray:
         columns[:, out] = counts
         rest = np.maximum(rest - ratio.min() * counts, 0)
         rest[out], open_[out] = 0, False
-    return columns
+        order.append(out)
+    lower, inverse = columns[np.ix_(order, order)].astype(float), np.eye(m)
+    for k in range(m):
+        inverse[k] /= lower[k, k]
+        inverse[k + 1 :] -= np.outer(lower[k + 1 :, k], inverse[k])
+    back = np.empty_like(inverse)
+    back[np.ix_(order, order)] = inverse
+    return columns, back
 
 
 def solve_patterns(size: np.ndarray, demand: np.ndarray, room: int, steps: int = 2000) -> list[tuple[int, np.ndarray]]:
@@ -135,14 +144,13 @@ def solve_patterns(size: np.ndarray, demand: np.ndarray, room: int, steps: int =
     m = len(size)
     if not m:
         return []
-    columns = first_basis(size, demand, room)
-    inverse = np.linalg.inv(columns.astype(float))
-    x = np.maximum(inverse @ demand, 0)
+    columns, inverse = first_basis(size, demand, room)
+    x = np.maximum((inverse * demand).sum(1), 0)
     for _ in range(steps):
         value, column = best_pattern(np.maximum(inverse.sum(0), 0), size, room)
         if value <= 1 + 1e-4:
             break
-        d = inverse @ column
+        d = (inverse * column).sum(1)
         ratio = np.full(m, np.inf)
         up = d > 1e-9
         ratio[up] = x[up] / d[up]
