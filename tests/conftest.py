@@ -1,6 +1,9 @@
 import os
 import sys
 
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # tests share the machine
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 from pyspark.sql import SparkSession
 
