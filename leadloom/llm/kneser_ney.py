@@ -27,7 +27,7 @@ from .hashing import Batch, combine
 
 END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFB9E5D31)
 #: Tokens in a part, tokens for each bigram shard, and how many fewer word shards there are.
-PART_TOKENS, SHARD_TOKENS, FEWER = 2_500_000, 1_000_000, 8
+PART_TOKENS, SHARD_TOKENS, FEWER = 1_200_000, 700_000, 8
 #: Contexts with more than 1/HOT_WORDS of all tokens are dealt out by context and word.
 HOT_WORDS = 2000
 PARTS = "part long, doc_id array<long>, held array<boolean>, size array<int>, words binary, stream binary, tokens long"
