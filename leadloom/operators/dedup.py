@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one scan of components should have.
+SCAN_ROWS = 20_000
+
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key by `order`; rows with a null or empty key all stay.
@@ -73,6 +76,11 @@ def _labels(df: DataFrame, keys: list[str], rounds: int) -> DataFrame:
     return now
 
 
+def _bucket(labelled: DataFrame) -> Column:
+    """A number for each component.  Components share no keys, so those of one number can be scanned as one."""
+    return F.pmod(F.xxhash64("component"), F.lit(max(8, -(-labelled.count() // SCAN_ROWS)))).alias("bucket")
+
+
 def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, rounds: int = 50) -> DataFrame:
     """Sequential dedup in `seq` order: a row is dropped if any of its keys was registered by a kept row.
 
@@ -95,7 +103,7 @@ def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, rounds: int = 50)
                         s.add(v)
         return pd.DataFrame({"seq": pdf["seq"], "kept": kept})
 
-    kept = labelled.groupBy("component").applyInPandas(scan, "seq long, kept boolean").where("kept")
+    kept = labelled.groupBy(_bucket(labelled)).applyInPandas(scan, "seq long, kept boolean").where("kept")
     return df.join(kept.select("seq"), "seq", "left_semi")
 
 
@@ -136,4 +144,4 @@ def clean_sheet(df: DataFrame, scratch: str, rounds: int = 50) -> DataFrame:
                     s.add(v)
         return pd.DataFrame({"place": [p for p, _ in rows], "seq": [r.seq for _, r in rows]}, dtype="int64")
 
-    return labelled.groupBy("component").applyInPandas(scan, "place long, seq long")
+    return labelled.groupBy(_bucket(labelled)).applyInPandas(scan, "place long, seq long")
