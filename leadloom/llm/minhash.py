@@ -8,16 +8,17 @@ agree in a component with a probability of exactly their weighted Jaccard simila
 the work grows with the logarithm of a weight; points after the time at which all components are filled are not drawn.
 
 Texts with equal words are one class and go on as one representative.  Bands of the signature give buckets.  In small
-buckets all pairs are candidates; in large ones every text has a few random partners per band.  Candidates are verified
-on the multisets in waves, each only between texts that earlier waves have not yet connected.  At last, large buckets that
-still hold several components are completed: texts outside a bucket's main component are verified against all the others.
+buckets all pairs are candidates.  In large ones every text is compared with the bucket's leader, the text with the most
+texts beside it over all bands, which for copies of one text is the text itself.  Candidates are verified on the multisets.
+At last, large buckets that still hold several components are completed: texts outside a bucket's main component are
+compared with all texts of other components, but for those whose unshared shingles rule out a link.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialize
@@ -28,8 +29,11 @@ from .hashing import Batch, Words, combine, mix
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-#: Buckets up to this size give all pairs; larger ones are cut into random parts of about PART texts with PARTNERS each.
-SMALL, PART, PARTNERS = 16, 64, 2
+#: Integers that hold four bits of each component.  Texts with a similarity of 0.8 differ in 22 or 23 of 120 components by
+#: these bits; more than DIFFERING differ with a probability of 0.0003.
+MARKS, DIFFERING = COMPONENTS // 15, 37
+#: Buckets up to this size give all pairs.
+SMALL = 16
 #: Points are drawn up to the time at which all components are filled but for a probability of exp(-SLACK).
 SLACK = 7.0
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -105,11 +109,31 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def marks(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each component, fifteen components in an integer: n x MARKS."""
+    four = (mix(signature) & np.uint64(15)).reshape(len(signature), MARKS, 15)
+    out = np.zeros((len(signature), MARKS), np.uint64)
+    for k in range(15):
+        out |= four[:, :, k] << np.uint64(4 * k)
+    return out.view(np.int64)
+
+
+def differing(x: str, y: str) -> Column:
+    """How many components differ by their marks, of the columns x_m0, x_m1, ... and y_m0, y_m1, ..."""
+    total = F.lit(0)
+    for k in range(MARKS):
+        d = F.col(f"{x}_m{k}").bitwiseXOR(F.col(f"{y}_m{k}"))
+        either = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
+        total = total + F.bit_count(either.bitwiseAND(F.lit(0x111111111111111)))
+    return total
+
+
 def _sketch(texts, batch) -> dict:
     words = Batch.of(texts, lower=True).words()
     n = len(texts)
     text, h = shingles(words)
-    keys = band_keys(signatures(*multiset(text, h), n))
+    signature = signatures(*multiset(text, h), n)
+    keys, four = band_keys(signature), marks(signature)
     # the words in order, as 128 bits: two sums of hashed (word, place)
     place = (np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.counts)).astype(np.uint64)
     whole = np.zeros((n, 2), np.uint64)
@@ -121,7 +145,7 @@ def _sketch(texts, batch) -> dict:
         "doc_id": batch.column("doc_id"),
         "digest": pa.array([row.tobytes() for row in whole], pa.binary()),
         "bands": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-    }
+    } | {f"m{k}": pa.array(np.ascontiguousarray(four[:, k])) for k in range(MARKS)}
 
 
 def _multisets(texts, batch) -> dict:
@@ -160,23 +184,66 @@ def verify(pairs: DataFrame, bags: DataFrame) -> DataFrame:
 
 
 def _pairs(batches):
-    """Candidate pairs (a < b) of buckets (docs, n): all of small ones, neighbours in a random order of large ones."""
+    """All pairs (a < b) of the texts of small buckets."""
     for batch in batches:
         a, b = [], []
-        for docs, n in zip(batch.column("docs").to_pylist(), batch.column("n").to_pylist()):
-            reach = len(docs) if n <= SMALL else PARTNERS + 1
-            for step in range(1, min(reach, len(docs))):
+        for docs in batch.column("docs").to_pylist():
+            for step in range(1, len(docs)):
                 a += docs[:-step]
                 b += docs[step:]
         x, y = np.array(a, np.int64), np.array(b, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _across(pairs: DataFrame, stars: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    root = lambda c: stars.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    joined = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return joined.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+def _leaders(buckets: DataFrame) -> DataFrame:
+    """Pairs of each text of a large bucket with the bucket's leader."""
+    weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    large = buckets.where(F.col("n") > SMALL).join(weight, "doc_id")
+    leader = large.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
+    pairs = large.join(leader.hint("merge"), "key").where("doc_id <> leader")
+    return pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+
+
+def _unique(bags: DataFrame) -> DataFrame:
+    """(doc_id, n, shared): shingles of each text, and how many of them another of these texts has."""
+
+    def explode(batches):
+        for batch in batches:
+            for doc, bag in zip(batch.column("doc_id").to_pylist(), batch.column("bag").to_pylist()):
+                kinds, count = np.unique(np.frombuffer(bag, np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), doc)), pa.array(kinds), pa.array(count)], names=["doc_id", "h", "c"])
+
+    rows = bags.mapInArrow(explode, "doc_id long, h long, c long")
+    own = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id"), F.sum("c").alias("c")).where("df = 1")
+    own = own.groupBy("doc_id").agg(F.sum("c").alias("own"))
+    sizes = bags.groupBy("doc_id").agg(F.max(F.length("bag") / 8).cast("long").alias("n"))
+    return sizes.join(own, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _rest(buckets: DataFrame, stars: DataFrame, bags: DataFrame, sketch: DataFrame) -> DataFrame | None:
+    """Pairs over components in large buckets, of a text outside the main component and any other, that may be links.
+
+    Of texts with m and n shingles of which s and t occur in other texts, min(s, t) are common at most.  Signatures that
+    differ too much rule a link out, too.  A pair comes from the first bucket that it shares.
+    """
+    large = buckets.where(F.col("n") > SMALL).select("key", "doc_id").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    count = large.groupBy("key", "root").agg(F.count("*").alias("size"))
+    main = count.groupBy("key").agg(F.max(F.struct("size", "root")).getField("root").alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    split = materialize(large.join(main.select("key", "main").hint("merge"), "key"), "split")
+    if split.isEmpty():
+        return None
+    some = split.select("doc_id").distinct().hint("merge")
+    sizes = materialize(_unique(bags.join(some, "doc_id", "left_semi")), "sizes")
+    names = [f"m{k}" for k in range(MARKS)]
+    keys = split.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # as many as there are bands at most
+    split = split.join(sizes, "doc_id").join(keys, "doc_id").join(sketch.select("doc_id", *names).hint("merge"), "doc_id")
+    one = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("key", "keys", "doc_id", "root", "n", "shared", *names)]
+    common = F.least("x_shared", "y_shared")
+    may = (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & (common >= SIMILARITY * (F.col("x_n") + F.col("y_n") - common) - 1e-9)
+    may = may & (differing("x", "y") <= DIFFERING)
+    may = may & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("x_key"))  # each pair in one bucket only
+    found = split.where("root <> main").select(*one("x")).join(split.select(*one("y")), may)
+    return found.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +258,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null")
-    sketch = materialize(map_texts(known, "text", "doc_id long, digest binary, bands array<long>", _sketch), "sketch")
+    sketch = materialize(map_texts(known, "text", "doc_id long, digest binary, bands array<long>" + "".join(f", m{k} long" for k in range(MARKS)), _sketch), "sketch")
     base = sketch.select("doc_id", "digest")
     n = base.count()
     same = materialize(base.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "same")
@@ -200,29 +267,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows_ = alone.select("doc_id", F.explode("bands").alias("key"))
     sizes = rows_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = materialize(rows_.join(sizes.hint("merge"), "key").distinct(), "buckets")
-    part = F.pmod(F.xxhash64("doc_id", "key"), F.when(F.col("n") > SMALL, F.ceil(F.col("n") / PART)).otherwise(1))
-    lists = buckets.groupBy("key", part.alias("part")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct(F.xxhash64("key", "doc_id").alias("r"), "doc_id"))).getField("doc_id").alias("docs"))
-    pairs = materialize(lists.select("docs", "n").mapInArrow(_pairs, "a long, b long").distinct(), "pairs")
-
-    wanted = buckets.select("doc_id").distinct()
-    bags = materialize(map_texts(known.join(wanted, "doc_id", "left_semi"), "text", "doc_id long, bag binary", _multisets).dropDuplicates(["doc_id"]), "bags")
-    few = pairs.groupBy("b").agg(F.min("a").alias("a"), F.max("a").alias("a2"))
-    few = few.select("a", "b").union(few.select(F.col("a2").alias("a"), "b")).distinct()
-    links = materialize(verify(few, bags), "links")
-    stars = components(links)
-    links = links.union(materialize(verify(_across(pairs, stars), bags), "links"))
-    stars = components(links)
+    small = buckets.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("doc_id").alias("docs"))
+    pairs = small.select("docs").mapInArrow(_pairs, "a long, b long").union(_leaders(buckets)).distinct()
 
-    # large buckets that still hold several components
-    large = buckets.where(F.col("n") > SMALL).join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    count = large.groupBy("key", "root").agg(F.count("*").alias("size"))
-    main = count.groupBy("key").agg(F.max(F.struct("size", "root")).getField("root").alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    split = materialize(large.join(main.select("key", "main").hint("merge"), "key").select("key", "doc_id", "root", "main"), "split")
-    if not split.isEmpty():
-        outside = split.where("root <> main").select("key", F.col("doc_id").alias("a"), F.col("root").alias("a_root"))
-        rest = outside.join(split.select("key", F.col("doc_id").alias("b"), F.col("root").alias("b_root")), "key")
-        rest = rest.where("a_root <> b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.union(materialize(verify(rest.join(pairs, ["a", "b"], "left_anti"), bags), "links"))
+    wanted = buckets.select("doc_id").distinct().hint("merge")
+    bags = materialize(map_texts(known.join(wanted, "doc_id", "left_semi"), "text", "doc_id long, bag binary", _multisets), "bags")
+    links = materialize(verify(pairs, bags), "links")
+    stars = components(links)
+    rest = _rest(buckets, stars, bags, alone)
+    if rest is not None:
+        links = links.union(materialize(verify(rest, bags), "links"))
         stars = components(links)
 
     rooted = same.join(stars.withColumnRenamed("node", "keep_id"), "keep_id", "left")
