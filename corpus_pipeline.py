@@ -29,9 +29,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from leadloom.llm.rules import quality_rules as rules
-    from leadloom.llm.rules import with_trust
+    from leadloom.llm.rules import trusted_ids
 
-    return _only(docs, rules(with_trust(docs, table(spark, sf_dir, "labels"))).where("kept"))
+    return _only(docs, rules(docs, good=trusted_ids(table(spark, sf_dir, "labels"))).where("kept"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

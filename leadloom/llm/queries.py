@@ -34,9 +34,9 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .rules import quality_rules, with_trust
+    from .rules import quality_rules, trusted_ids
 
-    return quality_rules(with_trust(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return quality_rules(table(spark, sf_dir, "documents"), good=trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

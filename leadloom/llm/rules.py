@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_repeats, map_texts, sums
+from .common import chunks, in_repeats, map_texts, sums
 from .hashing import Batch, combine, ranges_hash
 
 #: Hash buckets of the two multinomials: a bound on what reaches the driver and the workers.
@@ -21,8 +21,8 @@ BUCKETS = 1 << 16
 THRESHOLD = -0.14
 #: Occurrences that a bucket is held to have had beside its own, at the rate of the corpus: rare n-grams say little.
 PRIOR = 20.0
-#: Bound on the labelled documents that make the trusted target.
-TRUSTED_ROWS = 20_000
+#: The least of those occurrences as a share of the target's size, so that the ratios and their threshold mean the same at any size.
+PRIOR_SHARE = 1e-6
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -35,28 +35,46 @@ def ngram_buckets(words) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64), np.concatenate([words.text_index(), text2])
 
 
-def ngram_counts(docs: DataFrame, text: str, trusted: str) -> tuple[np.ndarray, np.ndarray]:
-    """(corpus counts, target counts) per bucket, over all texts; `trusted` is a boolean column."""
+def packed_ngrams(rows: DataFrame) -> DataFrame:
+    """doc_id, ngrams of rows(doc_id, text), and trusted if rows have it; ngrams holds the 16-bit buckets of a text's n-grams."""
+    kept = [c for c in rows.columns if c != "text"]
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.select(kept).dtypes) + ", ngrams binary"
 
-    def count(texts, batch):
+    def pack(texts, batch):
         bucket, index = ngram_buckets(Batch.of(texts).words())
-        good = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
-        raw = np.bincount(bucket, minlength=BUCKETS)
-        target = np.bincount(bucket[good[index]], minlength=BUCKETS)
-        return raw, target
+        ends = np.concatenate([[0], np.cumsum(sums(index, len(texts)))]) * 2
+        raw = bucket[np.argsort(index, kind="stable")].astype("<u2").tobytes()
+        ngrams = [raw[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return {c: batch.column(c) for c in kept} | {"ngrams": pa.array(ngrams, pa.binary())}
 
-    def run(batches):
-        from .common import chunks
+    return map_texts(rows, "text", schema, pack)
+
+
+def mark_trusted(packed: DataFrame, good: DataFrame) -> DataFrame:
+    """packed with trusted: its doc_id is in good(doc_id), which has each id once.
+
+    Both sides are shuffled, so the number of trusted ids has no bound; rows without an id are spread over all tasks.
+    """
+    none = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("ngrams"), F.lit(1 << 20))).otherwise(0)
+    left = packed.withColumn("__id", F.coalesce("doc_id", F.lit(0))).withColumn("__none", none)
+    right = good.select(F.col("doc_id").cast("long").alias("__id"), F.lit(0).cast("long").alias("__none"), F.lit(True).alias("trusted"))
+    return left.join(right.hint("merge"), ["__id", "__none"], "left").drop("__id", "__none")
 
+
+def ngram_counts(packed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(corpus counts, target counts) per bucket over all rows of packed(ngrams, trusted)."""
+
+    def run(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in chunks(batches, "text"):
-            a, b = count(batch.column("text").to_pylist(), batch)
-            raw += a
-            target += b
+        for batch in chunks(batches, "ngrams"):
+            ngrams = batch.column("ngrams").to_pylist()
+            good = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
+            for of, some in ((raw, ngrams), (target, [x for x, g in zip(ngrams, good) if g])):
+                of += np.bincount(np.frombuffer(b"".join(some), "<u2"), minlength=BUCKETS)
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
-    rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(trusted), F.lit(False)).alias("trusted"))
+    rows = packed.select("ngrams", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     parts = rows.mapInArrow(run, "bucket long, raw long, target long")
     found = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -70,7 +88,8 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if not target.sum() or not raw.sum():
         return np.zeros(BUCKETS)
     expected = raw * (target.sum() / raw.sum())
-    return np.log((target + PRIOR) / (expected + PRIOR))
+    prior = max(PRIOR, PRIOR_SHARE * target.sum())
+    return np.log((target + prior) / (expected + prior))
 
 
 def base_counts(texts) -> dict[str, np.ndarray]:
@@ -110,16 +129,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "trusted", threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trusted_col: str = "trusted", threshold: float = THRESHOLD, good: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept.
 
-    `trusted_col` marks the rows of the trusted target; null means not trusted.  Null and empty texts have no words, fail
+    `trusted_col` marks the rows of the trusted target; null means not trusted.  With good(doc_id), which has each id once,
+    the target is all rows whose id is in it, and `trusted_col` is not read.  Null and empty texts have no words, fail
     the base rules and have ratio 0.  With no trusted row at all every ratio is 0, so that the base rules alone decide.
     Repeated rows are scored alike and all returned; other columns are not read; an empty table gives an empty result.
     Counts cover all rows.  Very long texts are handled one at a time per task.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(trusted_col).alias("trusted"))
-    ratio = log_ratios(*ngram_counts(rows, "text", "trusted"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if good is None:
+        packed = packed_ngrams(docs.select(F.col(text_col).alias("text"), F.col(trusted_col).cast("boolean").alias("trusted")))
+    else:
+        packed = mark_trusted(packed_ngrams(rows), good)
+    ratio = log_ratios(*ngram_counts(packed))
     shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
 
     def score(texts, batch):
@@ -130,16 +154,17 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return out | {"doc_id": batch.column("doc_id")}
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
-    scored = map_texts(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", schema, score)
+    scored = map_texts(rows, "text", schema, score)
     failed = scored.withColumn("base_failed", base_failed())
     return failed.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
 
 
-def with_trust(docs: DataFrame, labels: DataFrame, most: int = TRUSTED_ROWS) -> DataFrame:
-    """docs(doc_id, text) with trusted: labelled as good.  A document is trusted if any of its label rows says so.
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of every document labelled as good, once each: those of which any label row says so."""
+    return labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
 
-    The target is learnt from at most `most` labelled documents, chosen by a hash of the id, which are broadcast.
-    """
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("trusted", F.lit(True))
-    return docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
+
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with trusted: labelled as good.  Shuffles the texts; `quality_rules` with `good` shuffles less."""
+    good = trusted_ids(labels).withColumn("trusted", F.lit(True))
+    return docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")

@@ -80,6 +80,28 @@ def test_rules_keep_trusted_documents(spark):
     assert fair[fair.quality == 1].kept.mean() > 0.98 and fair[fair.quality == 0].kept.mean() < 0.3
 
 
+def test_rules_count_the_whole_target(spark):
+    n = 20_500  # above any bound that was once on the target
+    docs = spark.range(n + 500).select(F.col("id").alias("doc_id"), F.lit("one two").alias("text")).union(spark.sql("select null, 'one two'"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    labels = labels.union(labels.limit(5)).union(spark.sql("select null, 1")).union(spark.sql(f"select {n}L, 0"))
+    assert rules.with_trust(docs, labels).where("trusted").count() == n
+    raw, target = rules.ngram_counts(rules.mark_trusted(rules.packed_ngrams(docs), rules.trusted_ids(labels)))
+    assert raw.sum() == 3 * (n + 501) and target.sum() == 3 * n and (raw > 0).sum() == 3
+
+
+def test_rules_by_ids_equal_rules_by_column(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    a = rules.quality_rules(rules.with_trust(docs, labels)).orderBy("doc_id").collect()
+    assert a == rules.quality_rules(docs, good=rules.trusted_ids(labels)).orderBy("doc_id").collect()
+
+
+def test_ratios_do_not_depend_on_the_size_of_large_tables():
+    raw, target = np.zeros(rules.BUCKETS), np.zeros(rules.BUCKETS)
+    raw[:4], target[:4] = [9e8, 2e8, 3e5, 40], [3e8, 1e8, 2e4, 0]
+    assert np.allclose(rules.log_ratios(raw, target), rules.log_ratios(raw * 60, target * 60))
+
+
 def kernel(a, b):
     """The gap-weighted triple kernel by its definition."""
     def features(w):
