@@ -29,7 +29,8 @@ def unique_stream(df: DataFrame, key: str = "place_id", time: str | None = None,
 def ingest(source: DataFrame, target: str, checkpoint: str, key: str = "place_id", on_batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Append each batch's new records to the Parquet table `target` and stop when nothing is left.
 
-    Records whose key is in the table already are passed over; the key's first record of a batch is kept.  The checkpoint
+    Records whose key is in the table already are passed over; the key's first record of a batch is kept.  Records with a
+    null or empty key are all kept, in every batch.  The checkpoint
     makes a rerun go on after the last complete batch.  A batch that is run again after a failure finds its own rows by
     their batch number and writes them anew.
     """
@@ -38,14 +39,14 @@ def ingest(source: DataFrame, target: str, checkpoint: str, key: str = "place_id
         spark = batch.sparkSession
         first = batch.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").dropDuplicates([key])
         blank = batch.where(F.coalesce(F.col(key).cast("string"), F.lit("")) == "")
-        new = first.unionByName(blank)
         try:
             seen = spark.read.parquet(target).where(F.col("batch") != number).select(key)
         except Exception as e:  # the table is not there before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         else:
-            new = new.join(seen, key, "left_anti")
+            first = first.join(seen, key, "left_anti").select(batch.columns)
+        new = first.unionByName(blank)
         numbered = new.withColumn("batch", F.lit(number)).write.mode("overwrite")
         numbered.option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
         if on_batch:

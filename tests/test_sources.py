@@ -81,6 +81,16 @@ def test_incremental_ingest(spark, tmp_path):
     assert [r.cell_id for r in remaining_cells(cells, cells.where("cell_id = 'a'")).collect()] == ["b"]
 
 
+def test_ingest_keeps_records_without_a_key_in_every_batch(spark, tmp_path):
+    source, target, mark = (tmp_path / n for n in ("in", "out", "mark"))
+    source.mkdir()
+    for n in (1, 2):
+        blank = [{"business_name": f"{k}{n}", "place_id": v} for k, v in (("E", ""), ("F", ""), ("N", None))]
+        (source / f"{n}.json").write_text("\n".join(map(json.dumps, [A, *blank])))
+        ingest(read_stream(spark, str(source)), str(target), str(mark)).awaitTermination()
+    assert sorted(r.business_name for r in spark.read.parquet(str(target)).collect()) == ["A", "E1", "E2", "F1", "F2", "N1", "N2"]
+
+
 def test_leads_view(spark):
     df = leads(spark, "/root/testdata/sf0.001")
     assert df.count() == 150 and nested(df).count() == 150
