@@ -62,18 +62,24 @@ def secondary_duplicates(df: DataFrame, most: int = 3) -> DataFrame:
     return pairs.distinct().withColumn("n", rank).where(F.col("n") <= most)
 
 
-def _labels(df: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """df with `component`: the least `seq` of the rows that share keys, over chains of keys."""
-    now = df.withColumn("component", F.col("seq"))
-    for _ in range(rounds):
-        before = now
+def _labels(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with `component`: the least `seq` of the rows that share keys, over chains of keys.
+
+    Labels only fall, so the rounds end.  Each round also takes the label of the row that a label names, so that a chain of
+    rows needs far fewer rounds than it has links.
+    """
+    now, total = df.withColumn("component", F.col("seq")), None
+    while True:
         for k in keys:
             least = now.where(F.col(k) != "").groupBy(F.col(k).alias("__k")).agg(F.min("component").alias("__c"))
             now = now.join(least, F.col(k) == F.col("__k"), "left").withColumn("component", F.least("component", F.coalesce("__c", "component"))).drop("__k", "__c")
         now = now.checkpoint()
-        if before is not df and before.select(F.sum("component")).first() == now.select(F.sum("component")).first():
+        before, total = total, now.select(F.sum(F.col("component").cast("decimal(38,0)"))).first()
+        if before == total:
             return now
-    return now
+        of = now.groupBy(F.col("seq").alias("__k")).agg(F.min("component").alias("__c"))
+        of = of.join(now.select(F.col("component").alias("__k")).distinct(), "__k", "left_semi")
+        now = now.join(of, F.col("component") == F.col("__k"), "left").withColumn("component", F.least("component", "__c")).drop("__k", "__c")
 
 
 def _bucket(labelled: DataFrame) -> Column:
@@ -81,33 +87,50 @@ def _bucket(labelled: DataFrame) -> Column:
     return F.pmod(F.xxhash64("component"), F.lit(max(8, -(-labelled.count() // SCAN_ROWS)))).alias("bucket")
 
 
-def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, rounds: int = 50) -> DataFrame:
+def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, scan_rows: int = SCAN_ROWS) -> DataFrame:
     """Sequential dedup in `seq` order: a row is dropped if any of its keys was registered by a kept row.
 
-    A dropped row registers nothing.  Rows that share no key over any chain cannot affect each other, so every connected component is scanned by itself.  Keys must be strings, '' for none.
-    The outcome of a component depends on its rows one after another; a component that holds much of the data is scanned
-    by one task with a set of its keys.
+    A dropped row registers nothing.  Keys must be strings, '' for none.  A round keeps the rows that are the first
+    undecided ones of all their keys, and drops the undecided rows that share a key with a kept one; no key's rows meet in
+    one task.  At most `scan_rows` rows that are still undecided are scanned one after another.
     """
     df.sparkSession.sparkContext.setCheckpointDir(scratch)
-    labelled = _labels(df.select("seq", *keys), keys, rounds)
+    has = [F.coalesce(k, F.lit("")) != "" for k in keys]
+    bare = df.where(~F.coalesce(F.greatest(*has, F.lit(False)), F.lit(False)))
+    left = df.select("seq", *keys).where(F.greatest(*has, F.lit(False))).checkpoint()
+    kept = left.select("seq").limit(0)
+    while (n := left.count()) > scan_rows:
+        pairs = [F.when(h, F.struct(F.lit(i).alias("kind"), F.col(k).alias("value"))) for i, (k, h) in enumerate(zip(keys, has))]
+        pairs = left.select("seq", F.filter(F.array(*pairs), lambda x: x.isNotNull()).alias("all"))
+        first = pairs.select("seq", F.size("all").alias("keys"), F.explode("all").alias("key"))
+        first = first.groupBy("key").agg(F.min(F.struct("seq", "keys")).alias("first"), F.count("*").alias("rows"))
+        first = first.select("key", "first.*", "rows").checkpoint()
+        won = first.groupBy("seq").agg(F.count("*").alias("of"), F.min("keys").alias("keys")).where(F.col("of") == F.col("keys")).select("seq").checkpoint()
+        kept = kept.union(won).checkpoint()
+        used = first.join(won, "seq", "left_semi").select(F.col("key.kind").alias("kind"), F.col("key.value").alias("value"), (F.col("rows") > n // 1000).alias("hot"))
+        for i, k in enumerate(keys):
+            of = used.where(F.col("kind") == i).select(F.col("value").alias("__k"), "hot")
+            left = left.join(F.broadcast(of.where("hot")), F.col(k) == F.col("__k"), "left_anti")
+            left = left.join(of.where("not hot"), F.col(k) == F.col("__k"), "left_anti")
+        left = left.checkpoint()
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        seen, kept = [set() for _ in keys], []
+        seen, stays = [set() for _ in keys], []
         for row in pdf[keys].itertuples(index=False):
             dup = any(v and v in s for v, s in zip(row, seen))
-            kept.append(not dup)
+            stays.append(not dup)
             if not dup:
                 for v, s in zip(row, seen):
                     if v:
                         s.add(v)
-        return pd.DataFrame({"seq": pdf["seq"], "kept": kept})
+        return pd.DataFrame({"seq": pdf["seq"][stays]})
 
-    kept = labelled.groupBy(_bucket(labelled)).applyInPandas(scan, "seq long, kept boolean").where("kept")
-    return df.join(kept.select("seq"), "seq", "left_semi")
+    rest = left.groupBy(F.lit(0).alias("all")).applyInPandas(scan, "seq long")
+    return df.join(kept.union(rest), "seq", "left_semi").unionByName(bare)
 
 
-def clean_sheet(df: DataFrame, scratch: str, rounds: int = 50) -> DataFrame:
+def clean_sheet(df: DataFrame, scratch: str) -> DataFrame:
     """Greedy dedup by url, phone, and name where both are missing; a later SENT duplicate takes the place of the kept row.
 
     Columns: seq, name, phone, url (strings, '' for none), sent.  Returns place (the seq of the place in the result) and
@@ -115,7 +138,7 @@ def clean_sheet(df: DataFrame, scratch: str, rounds: int = 50) -> DataFrame:
     matches on the name alone.
     """
     df.sparkSession.sparkContext.setCheckpointDir(scratch)
-    labelled = _labels(df.select("seq", "name", "phone", "url", "sent"), ["url", "phone", "name"], rounds)
+    labelled = _labels(df.select("seq", "name", "phone", "url", "sent"), ["url", "phone", "name"])
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")

@@ -50,6 +50,25 @@ def test_greedy_dedup_equals_a_scan(spark, seed):
     assert sorted(x.seq for x in out.collect()) == greedy(rows)
 
 
+def chain(n):
+    """Rows that are linked one to the next by phone and url in turn; the order along the chain is mixed."""
+    seqs = random.Random(5).sample(range(n), n)
+    return sorted((seq, f"p{k // 2}", f"u{(k + 1) // 2}") for k, seq in enumerate(seqs))
+
+
+def test_labels_of_a_long_chain_settle(spark):
+    rows = sorted((k, f"p{k // 2}", f"u{(k + 1) // 2}") for k in range(400))
+    df = spark.createDataFrame(rows, "seq long, phone string, url string")
+    assert {r.component for r in dedup._labels(df, ["phone", "url"]).collect()} == {0}
+
+
+@pytest.mark.parametrize("rows", [chain(300), [(i, "p0" if i % 3 else f"p{i}", f"u{i % 50}" if i % 7 else "") for i in range(300)], [(i, "p0", f"u{i // 2}") for i in range(99)] + [(99, "", ""), (100, "", "u0"), (101, "q", "u49")]])
+def test_greedy_rounds_equal_a_scan(spark, rows):
+    df = spark.createDataFrame(rows, "seq long, phone string, url string")
+    out = dedup.greedy_dedup(df, ["phone", "url"], scratch(spark), scan_rows=2)
+    assert sorted(x.seq for x in out.collect()) == greedy(rows)
+
+
 def clean_scan(rows):
     phones, urls, names, kept = set(), set(), set(), []
     for seq, n, p, u, sent in rows:
