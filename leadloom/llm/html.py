@@ -31,6 +31,10 @@ BLOCK = OUTSIDE | MAIN | HEADING | {"html", "body", "div", "p", "section", "ul",
 IMPLIED = {"p": {"p"} | HEADING, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"label", "option", "legend"}
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar side menu nav navbar navigation breadcrumb breadcrumbs masthead footer foot comment comments commentlist reply replies respond discussion disqus related recommended recommendations widget toolbar pagination pager copyright legal search skip hidden".split())
+#: A class name with one of these says what a layout has or leaves out, or names content: its other words are no hints.
+LAYOUT = frozenset("has no with without layout article post entry content story result results main page body text".split())
+#: Elements that are hints only, as they may wrap whole pages.
+WRAPPERS = {"form", "fieldset"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 STOP_WORDS = frozenset(
     "the of and to in a is that for on with as was it by be at this are or an from not have he his but they which "
@@ -46,33 +50,38 @@ class Block:
     text: str
     heading: bool
     outside: bool
+    hinted: int  # number of the innermost element around it that looks outside by a hint, 0 for none
     region: int  # number of the article or main element around it, 0 for none
     linked: int  # characters inside links
     label: str = ""
 
 
-def _outside(name: str, attributes: str) -> bool:
-    if name in OUTSIDE:
-        return True
+def _outside(name: str, attributes: str) -> str:
+    """'hard' for elements that are never main text, 'hint' for those that only look so, else ''."""
+    if name in OUTSIDE and name not in WRAPPERS:
+        return "hard"
+    found = "hint" if name in WRAPPERS else ""
     if not attributes:
-        return False
+        return found
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "").lower()
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & HINTS or "header" in words and not words & {"article", "post", "entry", "content", "story"}:
-                return name not in ("html", "body") and name not in MAIN
+            for compound in value.split():
+                words = set(re.split(r"[^a-z0-9]+", compound))
+                if words & (HINTS | {"header"}) and not words & LAYOUT and name not in ("html", "body") and name not in MAIN:
+                    found = "hint"
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
-            return True
+            return "hard"
         elif key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I) is not None
+            return "hard"
+    return "hard" if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I) else found
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order; entities are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, outside, region
+    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, outside, hinted, region
+    around: list[tuple[int, set[str]]] = [(0, set())]  # of each hinted element: the hinted one around it; which of article and main are in it
     parts: list[str] = []
     linked = links = regions = 0
     heading = False
@@ -82,8 +91,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = WHITE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                outside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-                out.append(Block(text, heading, outside, region, linked))
+                outside, hinted, region = stack[-1][1:] if stack else (False, 0, 0)
+                out.append(Block(text, heading, outside, hinted, region, linked))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -133,27 +142,71 @@ def blocks_of(page: str) -> list[Block]:
                 if name not in VOID:
                     if stack and (name in IMPLIED.get(stack[-1][0], ()) or stack[-1][0] == "p" and name in CLOSES_P):
                         close(len(stack) - 1)
-                    outside, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                    outside, hinted, region = stack[-1][1:] if stack else (False, 0, 0)
+                    how = _outside(name, m[3])
+                    if how == "hint":
+                        around.append((hinted, set()))
+                        hinted = len(around) - 1
+                    if name in MAIN and not outside:
+                        around[hinted][1].add(name)
                     if name in MAIN and not region:
                         regions += 1
                         region = regions
-                    stack.append((name, outside or _outside(name, m[3]), region))
+                    stack.append((name, outside or how == "hard", hinted, region))
             heading = bool(stack) and stack[-1][0] in HEADING
         elif ending and any(s[0] == name for s in stack):
             close(max(k for k, s in enumerate(stack) if s[0] == name))
     flush()
+    settle(out, around)
     return out
 
 
+def looks_good(b: Block) -> bool:
+    """Prose by length, stop words and links, wherever it is."""
+    words = b.text.lower().split()
+    stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
+    return b.linked <= LINKS * len(b.text) and not b.heading and len(words) >= SHORT and (b.region > 0 or stop >= STOP_HIGH or len(words) >= LONG_WORDS and stop >= STOP_LOW)
+
+
+def settle(blocks: list[Block], around: list[tuple[int, set[str]]]) -> None:
+    """Decide which hinted elements are outside: not those that hold a main element or most of the page's prose.
+
+    Prose in an article without hints makes the other hints hold, as comments and related articles are prose too; without
+    it, prose in articles counts before other prose, and with no prose at all an article clears what is around it.
+    """
+    if len(around) == 1:
+        return
+    prose = [b for b in blocks if not b.outside and looks_good(b)]
+    prose = [b for b in prose if b.region] or prose
+    held = [0] * len(around)
+    for b in prose:
+        held[b.hinted] += len(b.text)
+    for k in range(len(around) - 1, 0, -1):
+        parent, names = around[k]
+        held[parent] += held[k]
+        around[parent][1].update(names)
+
+    def inside(cleared: list[bool]) -> list[bool]:
+        out = [True]
+        for (parent, _), ok in zip(around[1:], cleared[1:]):
+            out.append(ok and out[parent])
+        return out
+
+    cleared = ["main" in names for _, names in around]
+    fine = inside(cleared)
+    if not any(b.region and fine[b.hinted] for b in prose):
+        fine = inside([c or h * 2 > held[0] or not held[0] and bool(names) for c, h, (_, names) in zip(cleared, held, around)])
+    for b in blocks:
+        b.outside = b.outside or not fine[b.hinted]
+
+
 def decide(blocks: list[Block]) -> None:
     """Pass one: label blocks 'good' or 'bad'; headings, short blocks and prose without stop words stay ambiguous."""
     article = any(b.region and not b.outside for b in blocks)
     for b in blocks:
-        words = b.text.lower().split()
-        stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
         if b.outside or b.linked > LINKS * len(b.text) or article and not b.region:
             b.label = "bad"
-        elif not b.heading and len(words) >= SHORT and (b.region or stop >= STOP_HIGH or len(words) >= LONG_WORDS and stop >= STOP_LOW):
+        elif looks_good(b):
             b.label = "good"
 
 

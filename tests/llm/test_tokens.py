@@ -126,6 +126,20 @@ def test_main_text():
     assert len(html.main_text("<p>" + "word " * 200_000)) == 999_999 and html.main_text("<a " + "b" * 50_000) is not None
 
 
+PROSE = "This is the text of a page, and it has many of the words that are in all texts of the kind."
+
+
+def test_class_names_do_not_empty_a_page():
+    for wrapper in ("class='layout has-sidebar'", "class=no-sidebar", "class='with-nav'", "class='legal-article'", "class=search-result", "class=widget", "id=search", "class='notice wrap'"):
+        assert html.main_text(f"<body><div {wrapper}><article><h1>Title</h1><p>{PROSE}</p></article></div></body>") == f"Title\n\n{PROSE}"
+        assert html.main_text(f"<body><div {wrapper}><div class=ad><p>Buy it</p></div><h1>Title</h1><p>{PROSE}</p></div></body>") == f"Title\n\n{PROSE}"
+    assert html.main_text(f"<form id=aspnet><main><p>{PROSE}</p></main></form>") == PROSE
+    assert html.main_text("<div class=widget><article><p>Short.</p></article></div>") == "Short."
+    related = f"<div class=related><article><p>{PROSE} {PROSE}</p></article></div>"
+    assert html.main_text(f"<article><p>{PROSE}</p><div class=comments><p>{PROSE} {PROSE}</p></div></article>{related}") == PROSE
+    assert html.main_text(f"<div><p>{PROSE}</p></div><div class=ad><p>Buy this and that for the best of the prices in town</p></div>") == PROSE
+
+
 def test_extraction_equals_the_articles(spark):
     import re
 
