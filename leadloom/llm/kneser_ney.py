@@ -1,10 +1,11 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and read by workers as memory-mapped hash arrays.
+"""Interpolated modified Kneser-Ney bigram model, counted in Spark and scored in parts, each with its slice of the model.
 
 The corpus is tokenised once into parts: per part the sorted hashes of its distinct words and the stream of its tokens as
 positions in them.  Each part sends its distinct bigrams, with their counts in training texts, to the shards of the model,
 grouped by context.  A shard merges them into sorted hash arrays and answers each part with the counts of exactly the
-bigrams that the part has.  The same goes for words.  A worker that scores a part writes that slice of the model to a file
-without a name, maps it, and computes probabilities from the mapped arrays.  No task and no machine holds the whole model.
+bigrams that the part has.  The same goes for words.  A worker that scores a part computes the probabilities of
+that slice in memory, writes them to a file without a name and sums them from the map; the map is nominal, as no n-gram is
+looked up in it by hash.  No task and no machine holds the whole model, and none is stored.
 
 Skew: counts are summed within parts before the shuffle, and bigrams of very frequent contexts - there can be HOT_WORDS at
 most - are dealt out by context and word; their context totals are added up from the shards and broadcast.
