@@ -21,8 +21,8 @@ from .bpe import PairTable, merge_all
 from .common import map_texts
 from .hashing import IS_SPACE, Batch, ranges_hash
 
-#: Distinct segments whose encodings a worker keeps (about 40 bytes each); beyond that the store starts anew.
-CACHE_SEGMENTS = 1_500_000
+#: Distinct segments (32 bytes each) and ids (4 bytes) that a worker keeps; beyond that the store starts anew.
+CACHE_SEGMENTS, CACHE_IDS = 1_500_000, 16_000_000
 
 
 # --- byte-level BPE -------------------------------------------------------------------------------------------------
@@ -63,47 +63,73 @@ class ByteBpe:
 
 
 class SegmentStore:
-    """Encodings of distinct text segments in a worker: sorted hashes, and the ids in one flat array.  Bounded."""
+    """Encodings of distinct text segments in a worker, by 128-bit hashes; the ids are in one flat array.
 
-    def __init__(self, most: int = CACHE_SEGMENTS):
-        self.most = most
+    Sorted keys are kept in a large level and a small one that is merged into it now and then.  A segment whose first 64
+    bits equal another's but not the second 64 is encoded anew each time.  Bounded in segments and in ids.
+    """
+
+    def __init__(self, most: int = CACHE_SEGMENTS, most_ids: int = CACHE_IDS):
+        self.most, self.most_ids = most, most_ids
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
-        self.flat = np.zeros(0, np.int32)
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, found) of each hash."""
-        at = np.searchsorted(self.keys, hashes)
-        found = np.zeros(len(hashes), bool)
-        inside = at < len(self.keys)
-        found[inside] = self.keys[at[inside]] == hashes[inside]
-        return at, found
-
-    def add(self, hashes: np.ndarray, ids: list[np.ndarray]) -> None:
+        empty = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+        self.levels = [empty, empty]  # (first hash, second hash, place) by first hash
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _, _ in self.levels)
+
+    def _append(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Put ids at the end of the flat array: (start, size) of each."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        place = np.column_stack([len(self.flat) + np.cumsum(sizes) - sizes, sizes])
-        self.flat = np.concatenate([self.flat, *ids]).astype(np.int32)
-        keys = np.concatenate([self.keys, hashes])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.place = keys[order], np.concatenate([self.place, place])[order]
+        start, total = self.used + np.cumsum(sizes) - sizes, int(sizes.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), np.int32)])
+        if total:
+            self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.used += total
+        return np.column_stack([start, sizes])
+
+    def _insert(self, keys: np.ndarray, second: np.ndarray, place: np.ndarray) -> None:
+        large, small = self.levels
+        parts = [small, (keys, second, place)]
+        merge = (len(small[0]) + len(keys)) * 4 > len(large[0])
+        joined = [np.concatenate(x) for x in zip(*([large] if merge else []), *parts)]
+        order = np.argsort(joined[0], kind="stable")
+        level = tuple(x[order] for x in joined)
+        self.levels = [level, tuple(x[:0] for x in level)] if merge else [large, level]
 
     def encode(self, batch: Batch, start: np.ndarray, end: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offset): the ids of segment i are ids[offset[i]:offset[i + 1]].
 
         `encode` gets the bytes of the distinct segments that are not yet in the store.
         """
-        hashes, first, inverse = np.unique(ranges_hash(batch.buffer, start, end), return_index=True, return_inverse=True)
-        if len(self.keys) > self.most:
+        one, two = ranges_hash(batch.buffer, start, end, both=True)
+        keys, first, inverse = np.unique(one, return_index=True, return_inverse=True)
+        second = two[first]
+        if len(self) > self.most or self.used > self.most_ids:
             self.clear()
-        _, found = self.find(hashes)
-        new = np.flatnonzero(~found)
+        place, clash = np.full((len(keys), 2), -1), np.zeros(len(keys), bool)
+        for have, have_second, have_place in self.levels:
+            at = np.searchsorted(have, keys)
+            hit = np.flatnonzero(at < len(have))
+            hit = hit[have[at[hit]] == keys[hit]]
+            same = have_second[at[hit]] == second[hit]
+            place[hit[same]] = have_place[at[hit[same]]]
+            clash[hit[~same]] = True
+        raw = batch.buffer.tobytes()
+        cut = lambda some: [raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())]
+        new = np.flatnonzero(place[:, 1] < 0)
         if len(new):
-            raw = batch.buffer.tobytes()
-            self.add(hashes[new], encode([raw[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())]))
-        at, _ = self.find(hashes)
-        place = self.place[at][inverse] if len(at) else np.zeros((0, 2), np.int64)
+            place[new] = self._append(encode(cut(first[new])))
+            fresh = new[~clash[new]]
+            self._insert(keys[fresh], second[fresh], place[fresh])
+        place = place[inverse]
+        wrong = np.flatnonzero(two != second[inverse])
+        if len(wrong):
+            place[wrong] = self._append(encode(cut(wrong)))
         offset = np.concatenate([[0], np.cumsum(place[:, 1])])
         index = np.repeat(place[:, 0] - offset[:-1], place[:, 1]) + np.arange(offset[-1])
         return self.flat[index], offset

@@ -7,15 +7,26 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from leadloom.llm import html, packing, tokens
+from leadloom.llm import html, packing, rules, tokens
 from leadloom.llm.bpe import PairTable, merge_all
 from leadloom.llm.common import table
-from leadloom.llm.hashing import Batch
+from leadloom.llm.hashing import Batch, ranges_hash
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n", "  \n\n x", "a\t\tb  \n", "▁▁ a▁b", "🙂🙂x́é", "<s>hi</s><unk>\x00\x01", "x" * 1000, "ab " * 500, " " * 300, "中文字符测试" * 50, "don't I'll 12345 67", "a\xa0b　 c", "\r\n\r\n a", "<|endoftext|> a<|startoftext|>b", "\x1c a\x1d\x1e \n b", "İSTANBUL ΣΑΣ"]
 
 
+def thue_morse(n):
+    """A word over a and b and its complement: any polynomial hash modulo a power of two gives them one value."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return [s, s.translate(str.maketrans("ab", "ba"))]
+
+
+TWINS = thue_morse(200) + thue_morse(1024) + thue_morse(8192) + [f"{w} and {w} " * 3 for w in thue_morse(1024)]
+
+
 def random_texts(seed, n=20):
     r = random.Random(seed)
     return ["".join(r.choice("ab \n'.!é▁\t0Z") for _ in range(r.randrange(200))) for _ in range(n)] + ["".join(chr(r.randrange(1, 0x3FFF)) for _ in range(400))]
@@ -23,7 +34,7 @@ def random_texts(seed, n=20):
 
 @pytest.fixture(scope="module")
 def texts(spark):
-    return [r.text for r in table(spark, SF, "documents").limit(120).collect()] + ODD + random_texts(3)
+    return [r.text for r in table(spark, SF, "documents").limit(120).collect()] + ODD + TWINS + random_texts(3)
 
 
 def frame(spark, texts):
@@ -37,6 +48,40 @@ def test_words_of_a_batch():
     assert len(w.windows(2)[0]) == 2
 
 
+def test_twin_ranges_are_told_apart():
+    for n in (8, 64, 200, 1024, 8192):
+        one, two = ranges_hash(*whole(thue_morse(n)), both=True)
+        assert one[0] != one[1] and two[0] != two[1]
+    lines = ["\n".join(thue_morse(n)) for n in (200, 1024)]
+    assert rules.base_counts(lines)["n_dup_lines"].tolist() == [0, 0]
+    windows = [" ".join(w[k : k + 256] for w in thue_morse(2048) for k in range(0, 2048, 256)) for _ in range(1)]
+    words = windows[0].split()
+    assert len(set(words)) == len(np.unique(Batch.of(windows).words().hash))
+
+
+def whole(texts):
+    batch = Batch.of(texts)
+    return batch.buffer, batch.offset[:-1], batch.offset[1:] - 1
+
+
+@pytest.mark.parametrize("bits", [0, 3])
+def test_the_store_is_exact_when_first_hashes_collide(monkeypatch, bits):
+    real = tokens.ranges_hash
+
+    def weak(*args, **kwargs):
+        one, two = real(*args, **kwargs)
+        return one & np.uint64((1 << bits) - 1), two
+
+    monkeypatch.setattr(tokens, "ranges_hash", weak)
+    segments, r = tokens.SegmentStore(most=40, most_ids=300), random.Random(bits)
+    for _ in range(30):
+        batch = Batch.of([" ".join(f"w{r.randrange(60)}" for _ in range(25)) for _ in range(3)])
+        words = batch.words()
+        ids, offset = segments.encode(batch, words.start, words.end, lambda some: [np.array(list(x), np.int32) for x in some])
+        raw = batch.buffer.tobytes()
+        assert [bytes(ids[a:b].tolist()) for a, b in zip(offset[:-1], offset[1:])] == [raw[a:b] for a, b in zip(words.start, words.end)]
+
+
 def test_merges_take_the_leftmost_least_pair():
     t = PairTable(*map(np.array, ([0, 2, 0], [1, 0, 0], [1, 0, 2], [2, 3, 4])))
     seqs = [[0, 1, 0, 1], [0, 0, 0], [1], [], [0] * 300, [0, 1] * 200, [-1, 0, 1, -1]]
