@@ -35,6 +35,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, limit: int) -> DataFrame:
+    """Inner join of rows with groups, which has each key once, so that the rows of a large group do not meet in one task.
+
+    groups[size] is the number of rows of a group.  Groups larger than `limit` are broadcast: with N rows in all there are
+    N / limit of them at most.  The others are joined by a shuffle, in which no key has more than `limit` rows.
+    """
+    more = [c for c in groups.columns if c != key]
+    heavy = F.broadcast(groups.where(F.col(size) > limit).select(key, F.struct(*more).alias("__group")))
+    marked = rows.join(heavy, key, "left")
+    hot = marked.where("__group is not null").select(*rows.columns, "__group.*")
+    rest = marked.where("__group is null").select(*rows.columns)
+    rest = rest.join(groups.where(F.col(size) <= limit).hint("merge"), key).select(*rows.columns, *more)
+    return hot.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_group, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Groups with more than 1/HEAVY of all rows are broadcast: never more than HEAVY rows.
@@ -168,13 +168,7 @@ def attach(base: DataFrame, found: DataFrame, rows: int) -> DataFrame:
 
     `rows` is the number of rows of base.  Large groups are broadcast, so that no digest's rows meet in one task.
     """
-    limit = rows // HEAVY
-    heavy = F.broadcast(found.where(F.col("group_size") > limit).select("digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")))
-    marked = base.join(heavy, "digest", "left")
-    hot = marked.where("hot_size is not null").select("doc_id", "digest", F.col("hot_id").alias("keep_id"), F.col("hot_size").alias("group_size"))
-    rest = marked.where("hot_size is null").select("doc_id", "digest")
-    rest = rest.join(found.where(F.col("group_size") <= limit), "digest").select("doc_id", "digest", "keep_id", "group_size")
-    return hot.unionByName(rest)
+    return by_group(base, found, "digest", "group_size", rows // HEAVY).select("doc_id", "digest", "keep_id", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

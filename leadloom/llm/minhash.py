@@ -10,18 +10,23 @@ the work grows with the logarithm of a weight; points after the time at which al
 Texts with equal words are one class and go on as one representative.  Bands of the signature give buckets.  In small
 buckets all pairs are candidates.  In large ones every text is compared with the bucket's leader, the text with the most
 texts beside it over all bands, which for copies of one text is the text itself.  Candidates are verified on the multisets.
-At last, large buckets that still hold several components are completed: texts outside a bucket's main component are
-compared with all texts of other components, but for those whose unshared shingles rule out a link.
+
+Large buckets that then still hold several components are completed exactly.  For a text u write u = L - R + A against
+the bucket's leader L.  Two texts have |L| - |R_u| - |R_v| + |R_u & R_v| + |A_u & A_v| shingles in common, and at most as
+many of R and A in common as of each occur with other texts too, or as their bitmaps share.  So a number `e` and a number
+`cap` of every text rule a pair out unless e_u <= cap_v and e_v <= cap_u, and so does a count of common bits.  Texts that
+no member of their bucket can link to leave at once; while many pairs are left, further leaders are elected; the pairs
+that remain are verified.  Nothing that may be a link is left out: all that is lost is what no band of the signatures finds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import by_group, map_texts, materialize
 from .components import components
 from .exact_dedup import attach
 from .hashing import Batch, Words, combine, mix
@@ -29,11 +34,19 @@ from .hashing import Batch, Words, combine, mix
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-#: Integers that hold four bits of each component.  Texts with a similarity of 0.8 differ in 22 or 23 of 120 components by
-#: these bits; more than DIFFERING differ with a probability of 0.0003.
-MARKS, DIFFERING = COMPONENTS // 15, 37
+#: Share of the shingles of two texts that a link has in common.
+COMMON = SIMILARITY / (1 + SIMILARITY)
 #: Buckets up to this size give all pairs.
 SMALL = 16
+#: Buckets with more than 1/HEAVY of all (text, bucket) rows are joined by broadcast: never more than HEAVY rows.
+HEAVY = 20_000
+#: Texts of a large bucket that one task compares with its others.
+SALTED = 256
+#: Rounds in which texts outside the main components elect further leaders.
+ROUNDS = 4
+#: Integers of 64 bits in the bitmap of a text's differences from its leader.
+MAPS = 8
+MAP_NAMES = [f"m{k}" for k in range(MAPS)]
 #: Points are drawn up to the time at which all components are filled but for a probability of exp(-SLACK).
 SLACK = 7.0
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -109,31 +122,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def marks(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each component, fifteen components in an integer: n x MARKS."""
-    four = (mix(signature) & np.uint64(15)).reshape(len(signature), MARKS, 15)
-    out = np.zeros((len(signature), MARKS), np.uint64)
-    for k in range(15):
-        out |= four[:, :, k] << np.uint64(4 * k)
-    return out.view(np.int64)
-
-
-def differing(x: str, y: str) -> Column:
-    """How many components differ by their marks, of the columns x_m0, x_m1, ... and y_m0, y_m1, ..."""
-    total = F.lit(0)
-    for k in range(MARKS):
-        d = F.col(f"{x}_m{k}").bitwiseXOR(F.col(f"{y}_m{k}"))
-        either = d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseOR(F.shiftrightunsigned(d, 3))
-        total = total + F.bit_count(either.bitwiseAND(F.lit(0x111111111111111)))
-    return total
-
-
 def _sketch(texts, batch) -> dict:
     words = Batch.of(texts, lower=True).words()
     n = len(texts)
     text, h = shingles(words)
     signature = signatures(*multiset(text, h), n)
-    keys, four = band_keys(signature), marks(signature)
+    keys = band_keys(signature)
     # the words in order, as 128 bits: two sums of hashed (word, place)
     place = (np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.counts)).astype(np.uint64)
     whole = np.zeros((n, 2), np.uint64)
@@ -145,7 +139,7 @@ def _sketch(texts, batch) -> dict:
         "doc_id": batch.column("doc_id"),
         "digest": pa.array([row.tobytes() for row in whole], pa.binary()),
         "bands": pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-    } | {f"m{k}": pa.array(np.ascontiguousarray(four[:, k])) for k in range(MARKS)}
+    }
 
 
 def _multisets(texts, batch) -> dict:
@@ -195,55 +189,142 @@ def _pairs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
 
-def _leaders(buckets: DataFrame) -> DataFrame:
-    """Pairs of each text of a large bucket with the bucket's leader."""
-    weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
-    large = buckets.where(F.col("n") > SMALL).join(weight, "doc_id")
-    leader = large.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("leader"))
-    pairs = large.join(leader.hint("merge"), "key").where("doc_id <> leader")
-    return pairs.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+def differences(ends: DataFrame, bags: DataFrame) -> DataFrame:
+    """(leader, doc_id, room, e, diff, m0, m1, ...) of ends(leader, doc_id).
+
+    room is the part of the leader's shingles that e_u and e_v may exceed in sum without anything in common; diff holds a
+    hash for each occurrence in R and A, and m0, m1, ... is its bitmap.
+    """
 
+    def occurrences(kinds, count, side):
+        occurrence = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return combine(np.repeat(kinds, count), (2 * occurrence + side).astype(np.uint64))
 
-def _unique(bags: DataFrame) -> DataFrame:
-    """(doc_id, n, shared): shingles of each text, and how many of them another of these texts has."""
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            room, e, diff, bits = np.zeros(n), np.zeros(n), [], np.zeros((n, MAPS), np.uint64)
+            for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                kinds, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                more = np.bincount(at[len(x) :], minlength=len(kinds)) - np.bincount(at[: len(x)], minlength=len(kinds))
+                gone, new = occurrences(kinds, np.maximum(-more, 0), 0), occurrences(kinds, np.maximum(more, 0), 1)
+                room[k], e[k] = (1 - 2 * COMMON) * len(x), (1 - COMMON) * len(gone) + COMMON * len(new)
+                both = np.concatenate([gone, new])
+                diff.append(both.tobytes())
+                np.bitwise_or.at(bits[k], ((both >> np.uint64(6)) % np.uint64(MAPS)).astype(np.int64), np.uint64(1) << (both & np.uint64(63)))
+            maps = [pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(MAPS)]
+            yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("doc_id"), pa.array(room), pa.array(e), pa.array(diff, pa.binary()), *maps], names=["leader", "doc_id", "room", "e", "diff", *MAP_NAMES])
+
+    left = ends.join(bags.select(F.col("doc_id").alias("leader"), F.col("bag").alias("x")).hint("merge"), "leader")
+    both = left.join(bags.select("doc_id", F.col("bag").alias("y")).hint("merge"), "doc_id")
+    return both.select("leader", "doc_id", "x", "y").mapInArrow(run, "leader long, doc_id long, room double, e double, diff binary" + "".join(f", {m} long" for m in MAP_NAMES))
+
+
+def caps(diffs: DataFrame) -> DataFrame:
+    """(leader, doc_id, room, e, cap, spare, m0, m1, ...).
+
+    A text can link only to texts v with e_v <= cap and e <= cap_v; spare is how many differences its bitmap hides.
+    """
 
     def explode(batches):
         for batch in batches:
-            for doc, bag in zip(batch.column("doc_id").to_pylist(), batch.column("bag").to_pylist()):
-                kinds, count = np.unique(np.frombuffer(bag, np.int64), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), doc)), pa.array(kinds), pa.array(count)], names=["doc_id", "h", "c"])
+            for leader, doc, diff in zip(batch.column("leader").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("diff").to_pylist()):
+                h = np.frombuffer(diff, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), leader)), pa.array(np.full(len(h), doc)), pa.array(h)], names=["leader", "doc_id", "h"])
 
-    rows = bags.mapInArrow(explode, "doc_id long, h long, c long")
-    own = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id"), F.sum("c").alias("c")).where("df = 1")
-    own = own.groupBy("doc_id").agg(F.sum("c").alias("own"))
-    sizes = bags.groupBy("doc_id").agg(F.max(F.length("bag") / 8).cast("long").alias("n"))
-    return sizes.join(own, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+    rows = diffs.select("leader", "doc_id", "diff").mapInArrow(explode, "leader long, doc_id long, h long")
+    own = rows.groupBy("leader", "h").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).where("df = 1")
+    own = own.groupBy("leader", "doc_id").agg(F.count("*").alias("own"))
+    size = F.length("diff") / 8
+    cap = size - F.coalesce("own", F.lit(0)) + F.col("room") - F.col("e") + 1e-6
+    spare = size - sum(F.bit_count(m) for m in MAP_NAMES)
+    return diffs.join(own.hint("merge"), ["leader", "doc_id"], "left").select("leader", "doc_id", "room", "e", cap.alias("cap"), spare.alias("spare"), *MAP_NAMES)
 
 
-def _rest(buckets: DataFrame, stars: DataFrame, bags: DataFrame, sketch: DataFrame) -> DataFrame | None:
-    """Pairs over components in large buckets, of a text outside the main component and any other, that may be links.
+def _large(texts: DataFrame) -> DataFrame:
+    """(doc_id, ..., key, n): a row for each large bucket of each text."""
+    rows = texts.withColumn("__b", F.explode("buckets"))
+    return rows.select(*[c for c in texts.columns if c != "buckets"], "__b.key", "__b.n").where(F.col("n") > SMALL)
 
-    Of texts with m and n shingles of which s and t occur in other texts, min(s, t) are common at most.  Signatures that
-    differ too much rule a link out, too.  A pair comes from the first bucket that it shares.
-    """
-    large = buckets.where(F.col("n") > SMALL).select("key", "doc_id").join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+def _split(texts: DataFrame, stars: DataFrame, leaders: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, root, key, main, leader, n) of the large buckets that hold several components; main is the largest one."""
+    rooted = texts.select("doc_id", "buckets").join(stars.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
+    large = _large(rooted.withColumn("root", F.coalesce("root", "doc_id")))
     count = large.groupBy("key", "root").agg(F.count("*").alias("size"))
     main = count.groupBy("key").agg(F.max(F.struct("size", "root")).getField("root").alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    split = materialize(large.join(main.select("key", "main").hint("merge"), "key"), "split")
+    groups = leaders.join(main.select("key", "main").hint("merge"), "key").select("key", "main", "leader", "n")
+    return by_group(large.select("doc_id", "root", "key"), groups, "key", "n", limit)
+
+
+BOUNDS = ["room", "e", "cap", "spare", *MAP_NAMES]
+
+
+def _open(split: DataFrame, bounds: DataFrame, limit: int) -> DataFrame:
+    """The rows of split that may have a link to another component: doc_id, key, root, out, partner, n and BOUNDS.
+
+    `out` marks texts outside the main component that some text may link to, `partner` all that one of them may link to.
+    """
+    rows = split.where("doc_id <> leader").join(bounds.hint("merge"), ["leader", "doc_id"]).withColumn("away", F.col("root") != F.col("main"))
+    away = lambda c: F.when(F.col("away"), F.col(c))
+    reach = rows.groupBy("key").agg(F.max("cap").alias("far"), F.min("e").alias("near"), F.max(away("cap")).alias("far_out"), F.min(away("e")).alias("near_out"), F.count("*").alias("members"))
+    rows = by_group(rows.select("doc_id", "key", "root", "away", "n", *BOUNDS), reach.where("far_out is not null"), "key", "members", limit)
+    rows = rows.withColumn("out", F.col("away") & (F.col("e") <= F.col("far")) & (F.col("cap") >= F.col("near")))
+    rows = rows.withColumn("partner", (F.col("e") <= F.col("far_out")) & (F.col("cap") >= F.col("near_out")))
+    return rows.where("out or partner").select("doc_id", "key", "root", "out", "partner", "n", *BOUNDS)
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows from `_open` that may be links, each once: from the first bucket that both have.
+
+    Rows of large buckets are dealt to several tasks: texts outside by a salt, their partners to each of the salts.
+    """
+    texts = rows.groupBy("doc_id", "root").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.collect_list(F.struct("key", "out", "partner", "n", *BOUNDS)).alias("b"))  # as many as there are bands at most
+    rows = texts.withColumn("b", F.explode("b")).select("doc_id", "root", "keys", "b.*").withColumn("salts", F.greatest(F.lit(1), F.col("n").cast("int") / SALTED).cast("int"))
+    left = rows.where("out").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    right = rows.where("partner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    one = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("key", "salt", "keys", "doc_id", "root", *BOUNDS)]
+    need = F.col("x_e") + F.col("y_e") - F.col("x_room") - 1e-6
+    bits = sum(F.bit_count(F.col(f"x_{m}").bitwiseAND(F.col(f"y_{m}"))) for m in MAP_NAMES)
+    may = (F.col("x_key") == F.col("y_key")) & (F.col("x_salt") == F.col("y_salt")) & (F.col("x_root") != F.col("y_root"))
+    may = may & (F.col("x_e") <= F.col("y_cap")) & (F.col("y_e") <= F.col("x_cap")) & (bits + F.least("x_spare", "y_spare") >= need)
+    may = may & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("x_key"))
+    found = left.select(*one("x")).hint("merge").join(right.select(*one("y")), may)
+    pair = F.struct(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
+    return found.select(pair.alias("p")).select("p.*").distinct()
+
+
+def _complete(texts: DataFrame, leaders: DataFrame, links: DataFrame, stars: DataFrame, bags: DataFrame, limit: int) -> DataFrame:
+    """The components after all links inside large buckets are known."""
+    split = materialize(_split(texts, stars, leaders, limit), "split")
     if split.isEmpty():
-        return None
-    some = split.select("doc_id").distinct().hint("merge")
-    sizes = materialize(_unique(bags.join(some, "doc_id", "left_semi")), "sizes")
-    names = [f"m{k}" for k in range(MARKS)]
-    keys = split.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # as many as there are bands at most
-    split = split.join(sizes, "doc_id").join(keys, "doc_id").join(sketch.select("doc_id", *names).hint("merge"), "doc_id")
-    one = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("key", "keys", "doc_id", "root", "n", "shared", *names)]
-    common = F.least("x_shared", "y_shared")
-    may = (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & (common >= SIMILARITY * (F.col("x_n") + F.col("y_n") - common) - 1e-9)
-    may = may & (differing("x", "y") <= DIFFERING)
-    may = may & (F.array_min(F.array_intersect("x_keys", "y_keys")) == F.col("x_key"))  # each pair in one bucket only
-    found = split.where("root <> main").select(*one("x")).join(split.select(*one("y")), may)
-    return found.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+        return stars
+    ends = split.where("doc_id <> leader").select("leader", "doc_id").distinct()
+    bounds = materialize(caps(materialize(differences(ends, bags), "differences")), "caps")
+    led = None
+    for round_ in range(ROUNDS + 1):
+        rows = materialize(_open(split, bounds, limit), "open")
+        n = rows.count()
+        if not n:
+            return stars
+        pairs = _rest(rows)
+        if round_ == ROUNDS or pairs.count() <= SMALL * n:
+            break
+        outs = rows.where("out").select("doc_id", "key", "cap")
+        fresh = outs if led is None else outs.join(led, [outs["key"] == led["led_key"], outs["doc_id"] == led["led"]], "left_anti")
+        elected = fresh.groupBy("key").agg(F.max(F.struct("cap", (-F.col("doc_id")).alias("minus"))).alias("top"))
+        sizes = outs.groupBy("key").agg(F.count("*").alias("n"))
+        elected = materialize(elected.join(sizes.hint("merge"), "key").select("key", (-F.col("top.minus")).alias("leader"), "n"), "elected")
+        now = elected.select(F.col("key").alias("led_key"), F.col("leader").alias("led"))
+        led = now if led is None else led.union(now)
+        tried = by_group(outs, elected, "key", "n", limit).where("doc_id <> leader")
+        new = materialize(verify(tried.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct(), bags), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            stars = components(links)
+            split = materialize(_split(texts, stars, leaders, limit), "split")
+    return components(links.union(materialize(verify(pairs, bags), "links")))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,26 +339,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null")
-    sketch = materialize(map_texts(known, "text", "doc_id long, digest binary, bands array<long>" + "".join(f", m{k} long" for k in range(MARKS)), _sketch), "sketch")
+    sketch = materialize(map_texts(known, "text", "doc_id long, digest binary, bands array<long>", _sketch), "sketch")
     base = sketch.select("doc_id", "digest")
     n = base.count()
+    limit = n * BANDS // HEAVY
     same = materialize(base.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "same")
     first = same.select(F.col("digest").alias("d"), "keep_id").hint("merge")
     alone = sketch.join(first, (F.col("doc_id") == F.col("keep_id")) & (F.col("digest") == F.col("d")), "left_semi")
     rows_ = alone.select("doc_id", F.explode("bands").alias("key"))
     sizes = rows_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = materialize(rows_.join(sizes.hint("merge"), "key").distinct(), "buckets")
-    small = buckets.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("doc_id").alias("docs"))
-    pairs = small.select("docs").mapInArrow(_pairs, "a long, b long").union(_leaders(buckets)).distinct()
-
-    wanted = buckets.select("doc_id").distinct().hint("merge")
-    bags = materialize(map_texts(known.join(wanted, "doc_id", "left_semi"), "text", "doc_id long, bag binary", _multisets), "bags")
+    buckets = by_group(rows_, sizes, "key", "n", limit)
+    texts = materialize(buckets.groupBy("doc_id").agg(F.collect_set(F.struct("key", "n")).alias("buckets"), F.sum("n").alias("weight")), "texts")  # as many as there are bands at most
+
+    small = texts.select("doc_id", F.explode("buckets").alias("b")).where(F.col("b.n") <= SMALL).groupBy("b.key").agg(F.collect_list("doc_id").alias("docs"))
+    large = _large(texts)
+    leaders = large.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("minus"))).alias("top"), F.count("*").alias("n"))
+    leaders = materialize(leaders.select("key", (-F.col("top.minus")).alias("leader"), "n"), "leaders")
+    led = by_group(large.select("doc_id", "key"), leaders, "key", "n", limit).where("doc_id <> leader")
+    pairs = small.select("docs").mapInArrow(_pairs, "a long, b long")
+    pairs = pairs.union(led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))).distinct()
+
+    bags = materialize(map_texts(known.join(texts.select("doc_id").hint("merge"), "doc_id", "left_semi"), "text", "doc_id long, bag binary", _multisets), "bags")
     links = materialize(verify(pairs, bags), "links")
-    stars = components(links)
-    rest = _rest(buckets, stars, bags, alone)
-    if rest is not None:
-        links = links.union(materialize(verify(rest, bags), "links"))
-        stars = components(links)
+    stars = _complete(texts, leaders, links, components(links), bags, limit)
 
     rooted = same.join(stars.withColumnRenamed("node", "keep_id"), "keep_id", "left")
     rooted = rooted.select("digest", F.coalesce("root", "keep_id").alias("keep_id"), "group_size")

@@ -100,6 +100,53 @@ def test_near_dedup_equals_brute_force(spark):
     assert out == classes(texts)
 
 
+def spread(seed, size=150, length=120):
+    """Copies of one text with so many edits that their similarities spread around 0.8, and versions that share edits."""
+    r = random.Random(seed)
+    base = [f"w{k}" for k in range(length)]
+    versions = [base, edited(r, base, 5).split(), edited(r, base, 6).split(), edited(r, base, 9).split()]
+    return [edited(r, r.choice(versions), r.choice([0, 1, 2, 3, 4, 6])) for _ in range(size)]
+
+
+@pytest.mark.parametrize("rounds", [0, 6])
+def test_near_dedup_completes_large_buckets(spark, monkeypatch, rounds):
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    opened, real = [], minhash._rest
+    monkeypatch.setattr(minhash, "_rest", lambda rows: opened.append(rows.where("out").count()) or real(rows))
+    texts = list(enumerate(spread(3) + spread(4) + [" ".join(thue) + " c d e f" for thue in zip(*[iter(twins(1024))] * 1)]))
+    out = {r.doc_id: r.class_id for r in minhash.near_dedup(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    want = classes(texts)
+    assert len(set(want.values())) > 20 and opened
+    assert out == want
+
+
+def twins(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return [s, s.translate(str.maketrans("ab", "ba"))]
+
+
+def test_bounds_of_large_buckets_hold(spark):
+    """No pair that is a link is ruled out by e and cap, whatever the leader."""
+    texts = list(enumerate(spread(7, 60)))
+    bags = spark.createDataFrame([(i, minhash._multisets([t], _Batch())["bag"][0].as_py()) for i, t in texts], "doc_id long, bag binary")
+    counts = dict((i, bag(t)) for i, t in texts)
+    for leader in (0, 17, 42):
+        ends = spark.createDataFrame([(leader, i) for i, _ in texts if i != leader], "leader long, doc_id long")
+        found = {r.doc_id: (r.e, r.cap) for r in minhash.caps(minhash.differences(ends, bags)).collect()}
+        assert len(found) == len(texts) - 1
+        for a in found:
+            for b in found:
+                if a < b and jaccard(counts[a], counts[b]) >= 0.8:
+                    assert found[a][0] <= found[b][1] and found[b][0] <= found[a][1]
+
+
+class _Batch:
+    def column(self, name):
+        return None
+
+
 def test_near_dedup_cases(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b c")], "doc_id long, text string")
     out = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash.near_dedup(df).collect()), key=str)
