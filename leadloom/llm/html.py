@@ -1,14 +1,16 @@
 """Main-text extraction from HTML by two passes of block rules.
 
-Pass one cuts a page into text blocks and decides by container, link density, length and stop-word density which are
-main text and which are not.  Pass two lets the ambiguous short blocks inherit the label of their nearest decided
-neighbours.  Pages are independent of each other, so the work needs no shuffle.
+Pass one cuts a page into text blocks and decides by link density, length and stop-word density which are main text and
+which are not; names of elements and classes are evidence beside that.  Pass two lets the ambiguous short blocks inherit
+the label of their nearest decided neighbours, those of the same container first; the edges of a page count as not main.
+Reading a page takes time in proportion to its length.  Pages are independent of each other, so the work needs no shuffle.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*+"[^"]*"|=\s*+'[^']*'|[="'])*+)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*+"[^"]*"|=\s*+'[^']*'|[="'])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WHITE = re.compile(r"\s+")
 
@@ -42,6 +44,8 @@ STOP_WORDS = frozenset(
     "der die das und den von zu mit sich auf für ist im dem nicht ein eine als auch es aus werden "
     "el los las del por con para una su al lo como más sus y o".split()
 )
+#: Blocks of these belong to the container around the element.
+LEAVES = HEADING | {"p", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "tr"}
 SHORT, LONG_WORDS, LINKS, STOP_LOW, STOP_HIGH = 10, 25, 0.5, 0.05, 0.2
 
 
@@ -53,6 +57,7 @@ class Block:
     hinted: int  # number of the innermost element around it that looks outside by a hint, 0 for none
     region: int  # number of the article or main element around it, 0 for none
     linked: int  # characters inside links
+    group: int  # number of the container
     label: str = ""
 
 
@@ -80,10 +85,11 @@ def _outside(name: str, attributes: str) -> str:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order; entities are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int]] = []  # open elements: name, outside, hinted, region
+    stack: list[tuple[str, bool, int, int, int]] = []  # open elements: name, outside, hinted, region, group
+    open_: Counter[str] = Counter()
     around: list[tuple[int, set[str]]] = [(0, set())]  # of each hinted element: the hinted one around it; which of article and main are in it
     parts: list[str] = []
-    linked = links = regions = 0
+    linked = links = regions = groups = 0
     heading = False
 
     def flush() -> None:
@@ -91,8 +97,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = WHITE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                outside, hinted, region = stack[-1][1:] if stack else (False, 0, 0)
-                out.append(Block(text, heading, outside, hinted, region, linked))
+                outside, hinted, region, group = stack[-1][1:] if stack else (False, 0, 0, 0)
+                out.append(Block(text, heading, outside, hinted, region, linked, group))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -104,8 +110,12 @@ def blocks_of(page: str) -> list[Block]:
 
     def close(k: int) -> None:
         flush()
+        open_.subtract(s[0] for s in stack[k:])
         del stack[k:]
 
+    def last_open(name: str) -> int:
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+
     at = 0
     while at < len(page):
         m = TOKEN.search(page, at)
@@ -121,7 +131,7 @@ def blocks_of(page: str) -> list[Block]:
         name, ending = m[2].lower(), m[1] == "/"
         if name in RAW:
             if not ending and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if name == "a":
@@ -131,10 +141,8 @@ def blocks_of(page: str) -> list[Block]:
         elif name in BLOCK or not ending and name not in VOID and m[3] and _outside(name, m[3]):
             links = 0
             if ending:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
+                if open_[name] > 0:
+                    close(last_open(name))
                 else:
                     flush()
             else:
@@ -142,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
                 if name not in VOID:
                     if stack and (name in IMPLIED.get(stack[-1][0], ()) or stack[-1][0] == "p" and name in CLOSES_P):
                         close(len(stack) - 1)
-                    outside, hinted, region = stack[-1][1:] if stack else (False, 0, 0)
+                    outside, hinted, region, group = stack[-1][1:] if stack else (False, 0, 0, 0)
                     how = _outside(name, m[3])
                     if how == "hint":
                         around.append((hinted, set()))
@@ -152,20 +160,31 @@ def blocks_of(page: str) -> list[Block]:
                     if name in MAIN and not region:
                         regions += 1
                         region = regions
-                    stack.append((name, outside or how == "hard", hinted, region))
+                    if name not in LEAVES:
+                        groups += 1
+                        group = groups
+                    stack.append((name, outside or how == "hard", hinted, region, group))
+                    open_[name] += 1
             heading = bool(stack) and stack[-1][0] in HEADING
-        elif ending and any(s[0] == name for s in stack):
-            close(max(k for k, s in enumerate(stack) if s[0] == name))
+        elif ending and open_[name] > 0:
+            close(last_open(name))
     flush()
     settle(out, around)
     return out
 
 
-def looks_good(b: Block) -> bool:
-    """Prose by length, stop words and links, wherever it is."""
+def prose(b: Block, least: int) -> bool:
+    """At least so many words, few of them linked, and a fair share of stop words."""
     words = b.text.lower().split()
     stop = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
-    return b.linked <= LINKS * len(b.text) and not b.heading and len(words) >= SHORT and (b.region > 0 or stop >= STOP_HIGH or len(words) >= LONG_WORDS and stop >= STOP_LOW)
+    return not b.heading and b.linked <= LINKS * len(b.text) and len(words) >= least and (stop >= STOP_HIGH or len(words) >= LONG_WORDS and stop >= STOP_LOW)
+
+
+def looks_good(b: Block) -> bool:
+    """Prose by length, stop words and links; in an article the length will do."""
+    if b.region and not b.heading and b.linked <= LINKS * len(b.text) and len(b.text.split()) >= SHORT:
+        return True
+    return prose(b, SHORT)
 
 
 def settle(blocks: list[Block], around: list[tuple[int, set[str]]]) -> None:
@@ -176,10 +195,10 @@ def settle(blocks: list[Block], around: list[tuple[int, set[str]]]) -> None:
     """
     if len(around) == 1:
         return
-    prose = [b for b in blocks if not b.outside and looks_good(b)]
-    prose = [b for b in prose if b.region] or prose
+    good = [b for b in blocks if not b.outside and looks_good(b)]
+    good = [b for b in good if b.region] or good
     held = [0] * len(around)
-    for b in prose:
+    for b in good:
         held[b.hinted] += len(b.text)
     for k in range(len(around) - 1, 0, -1):
         parent, names = around[k]
@@ -194,48 +213,82 @@ def settle(blocks: list[Block], around: list[tuple[int, set[str]]]) -> None:
 
     cleared = ["main" in names for _, names in around]
     fine = inside(cleared)
-    if not any(b.region and fine[b.hinted] for b in prose):
+    if not any(b.region and fine[b.hinted] for b in good):
         fine = inside([c or h * 2 > held[0] or not held[0] and bool(names) for c, h, (_, names) in zip(cleared, held, around)])
     for b in blocks:
         b.outside = b.outside or not fine[b.hinted]
 
 
 def decide(blocks: list[Block]) -> None:
-    """Pass one: label blocks 'good' or 'bad'; headings, short blocks and prose without stop words stay ambiguous."""
+    """Pass one: label blocks 'good' or 'bad'; headings, short blocks and prose without stop words stay ambiguous.
+
+    So does prose of middle length that is alone in its container, as notices are.  Beside an article only long prose counts.  With no good block at all the container with most of the other text is
+    main, one of several blocks first.
+    """
     article = any(b.region and not b.outside for b in blocks)
+    together = Counter(b.group for b in blocks)
     for b in blocks:
-        if b.outside or b.linked > LINKS * len(b.text) or article and not b.region:
+        if b.outside or b.linked > LINKS * len(b.text):
             b.label = "bad"
-        elif looks_good(b):
+        elif article and not b.region:
+            b.label = "good" if prose(b, LONG_WORDS) else "bad"
+        elif looks_good(b) and (b.region or together[b.group] > 1 or prose(b, LONG_WORDS)):
             b.label = "good"
+    if not article and not any(b.label == "good" for b in blocks):
+        size: Counter[int] = Counter()
+        for b in blocks:
+            if not b.label:
+                size[b.group] += len(b.text)
+        if size:
+            most = max(size, key=lambda g: (together[g] > 1, size[g], -g))
+            for b in blocks:
+                b.label = b.label or ("good" if b.group == most else "")
+
+
+def nearest(labels: list[str], keys: list[int]) -> list[tuple]:
+    """For each block the (distance, label) of the decided blocks of its key before and after it, None where there is none."""
+    before, after, last = [], [None] * len(labels), {}
+    for i, (label, key) in enumerate(zip(labels, keys)):
+        before.append((i - last[key][0], last[key][1]) if key in last else None)
+        if label:
+            last[key] = (i, label)
+    last = {}
+    for i in range(len(labels) - 1, -1, -1):
+        key = keys[i]
+        after[i] = (last[key][0] - i, last[key][1]) if key in last else None
+        if labels[i]:
+            last[key] = (i, labels[i])
+    return list(zip(before, after))
 
 
 def inherit(blocks: list[Block]) -> None:
-    """Pass two: ambiguous blocks take the label of the nearest decided block of their region; a heading looks ahead first.
+    """Pass two: ambiguous blocks take the label of the nearest decided block; a heading looks ahead first.
 
-    At equal distances main text wins; with no decided block in the region a block is main text.
+    Blocks of the same container come first, then those of the same article, then all, with the page's edges as bad.  At
+    equal distances main text wins inside a container or article and loses outside.  In an article without any decided
+    block all are main text.
     """
     first = [b.label for b in blocks]
-    ahead: list[tuple[int, str] | None] = [None] * len(blocks)
-    last: dict[int, tuple[int, str]] = {}
-    for i in range(len(blocks) - 1, -1, -1):
-        ahead[i] = last.get(blocks[i].region)
-        if first[i] and not blocks[i].outside:
-            last[blocks[i].region] = (i, first[i])
-    last = {}
+    group, region, all_ = (nearest(first, keys) for keys in ([b.group for b in blocks], [b.region for b in blocks], [0] * len(blocks)))
     for i, b in enumerate(blocks):
         if first[i]:
-            if not b.outside:
-                last[b.region] = (i, first[i])
             continue
-        left, right = last.get(b.region), ahead[i]
+        left, right = group[i]
+        if not (left or right) and b.region:
+            left, right = region[i]
+        inside = bool(left or right)
+        if not inside and b.region:
+            b.label = "good"
+            continue
+        if not inside:
+            left, right = all_[i]
+            left, right = left or (i + 1, "bad"), right or (len(blocks) - i, "bad")
         if b.heading and right:
             b.label = right[1]
-        elif left and right:
-            near, far = i - left[0], right[0] - i
-            b.label = left[1] if near < far else right[1] if far < near else "good" if "good" in (left[1], right[1]) else "bad"
+        elif left and right and left[0] == right[0]:
+            b.label = ("good" if "good" in (left[1], right[1]) else "bad") if inside else "good" if left[1] == right[1] == "good" else "bad"
         else:
-            b.label = (left or right or (0, "good"))[1]
+            b.label = min(x for x in (left, right) if x)[1]
 
 
 def main_text(page: str | None) -> str:
@@ -249,7 +302,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """page_id, url, text, n_chars of each page.
 
     Null html counts as empty, and a page without main text gives an empty text.  Broken markup is read as far as it can
-    be: unclosed elements end with their parent, an unclosed script or comment ends with the page.  Repeated rows are all
+    be: unclosed elements end with their parent, an unclosed script, comment or tag ends with the page.  Repeated rows are all
     returned; other columns are not read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -195,3 +196,32 @@ def test_extraction_equals_the_articles(spark):
         blocks = [re.sub(r"\s+", " ", html.entities.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x)))).strip() for x in re.split("</?(?:p|h1)>", inner)]
         assert out[r.page_id].text == "\n\n".join(x for x in blocks if x) and out[r.page_id].n_chars == len(out[r.page_id].text)
     assert html.extract_main_text(rows.limit(0)).count() == 0
+
+
+def test_text_rules_decide_without_names(spark):
+    """With all names of articles, menus, footers and classes taken away the rules on text find the same blocks."""
+    import re
+
+    wrong = total = 0
+    for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        bare = re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", r.html))
+        want, got = html.main_text(r.html).split("\n\n"), html.main_text(bare).split("\n\n")
+        total += len(html.blocks_of(bare))
+        wrong += sum(((Counter(want) - Counter(got)) + (Counter(got) - Counter(want))).values())
+    assert wrong <= 0.01 * total
+
+
+def test_prose_beside_an_article_and_lone_notices():
+    assert html.main_text(f"<article><p>{PROSE}</p></article><p>{PROSE} {PROSE}</p><p>Short.</p>") == f"{PROSE}\n\n{PROSE} {PROSE}"
+    notice = "<div>We use cookies on this site and by the use of it you agree to that</div>"
+    assert html.main_text(f"{notice}<div><h1>Title</h1><p>{PROSE}</p><p>Short.</p></div>{notice}") == f"Title\n\n{PROSE}\n\nShort."
+    assert html.main_text("<ul><li><a href=a>Home</a></li></ul><div><p>One.</p><p>Two.</p></div><div>Three</div>") == "One.\n\nTwo."
+
+
+@pytest.mark.parametrize("page", ["<a ", "<div></b>", '<p a="', "<!", "<script></script ", "<p>x ", "<b><p>", "<div class=ad>", "&", "<ul><li>a", "<![CDATA[", "<!--"])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.time()
+    html.main_text(page * (500_000 // len(page)))
+    assert time.time() - began < 10
