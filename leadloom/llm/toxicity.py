@@ -2,20 +2,27 @@
 
 The kernel compares words by their letter triples that need not be adjacent: a triple spread over k positions counts
 DECAY ** (k - 3), up to SPAN positions.  Characters that are no letters only widen the gaps, so insults with inserted or
-separating characters stay close to the plain word, and so do inflected forms.  Landmarks and training examples are words
-from labelled sentences, counted in Spark; a linear machine is trained on the Nystroem map of the kernel.  As kernel and
-map are linear in the triples, the machine folds into one weight for each triple, and a word costs a few table lookups.
-A text's score is that of its worst word, calibrated on labelled texts.
+separating characters stay close to the plain word, and so do inflected forms.  A linear machine is trained on the Nystroem
+map of the kernel.  As kernel and map are linear in the triples, the machine folds into one weight for each triple, and a
+word costs a few table lookups.
+
+Training is by labelled sentences, as bags of words: all words of sentences of other texts are negative, and in the
+sentences of a toxic text at least one word, not known which, is positive (a multiple-instance machine).  In each round two
+machines, each learnt from half of the toxic texts, point out the positive words of the other half; a word counts only if
+it is found by what other texts teach, so that evidence is pooled over forms by the kernel and texts without any insult
+drop out.  Negative words that come out worst among all words of the labelled texts join the examples.  A sentence has the
+value of its worst word and a text that of its worst sentence, calibrated on labelled texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, map_texts, materialize
@@ -25,11 +32,13 @@ from .quality import TIES, isotonic
 DECAY, SPAN = 0.7, 6
 #: Bound on the labelled texts that the words are learnt from (chosen by a hash of the id).
 TRAIN_TEXTS = 20_000
-#: Bounds on landmarks (a quarter each from toxic and other words, the rest are hard examples) and on training words.
-LANDMARKS, TRAIN_WORDS, MIN_SENTENCES = 640, 16_000, 3
-#: A word of toxic sentences is a positive example if its log-likelihood gain and its share of them are this great; words
-#: that lean to toxic sentences without reaching both are no examples.
-MIN_GAIN, MIN_PURITY, COST = 40.0, 0.97, 10.0
+#: Bounds on landmarks (a quarter each from toxic and other words, the rest are hard examples), on negative words - half of
+#: them the most frequent, half the worst - and on the words of a bag.
+LANDMARKS, TRAIN_WORDS, BAG_WORDS = 640, 12_000, 200
+#: A word may be positive if it is found so many times as often in toxic sentences as in others; one occurrence will do.
+PURE = 3.0
+#: Rounds of pointing out positive words, the landmarks of their machines, the cost of an example, and the value of a positive word.
+ROUNDS, ROUND_LANDMARKS, COST, POINTED = 3, 320, 10.0, 0.3
 BINS, LIMIT = 800, 4.0
 #: Score of every text when there are no labels, or labels of one class, to learn from.
 NO_LABELS = 0.0
@@ -119,7 +128,7 @@ class Machine:
         hit = self.keys[at] == key
         total = np.bincount(word[hit], weight[hit] * self.weights[at[hit]], minlength=len(parts))
         value = total / _norms(word, weight, len(parts)) + self.bias
-        out = np.full(len(words), self.bias)
+        out = np.full(len(words), -np.inf)
         np.maximum.at(out, index, value)
         return out
 
@@ -165,28 +174,23 @@ def with_gaps(word: str) -> list[str]:
     return [".".join(word), *(word[:k] + c + word[k:] for k in middle for c in ("x", "*"))]
 
 
-def train(counts: pa.Table) -> Machine | None:
-    """A machine from (word, toxic sentences, other sentences)."""
-    words = counts["word"].to_pylist()
-    toxic, other = counts["toxic"].to_numpy().astype(float), counts["other"].to_numpy().astype(float)
-    if not toxic.sum() or not other.sum():
-        return None
-    share = lambda c: (c + 0.5) / (c.sum() + 1)
-    gain = np.where(toxic + other > 0, toxic * np.log(share(toxic) / share(other)), 0)
-    purity = share(toxic) / (share(toxic) + share(other))
-    long_enough = np.array([sum(c.isalpha() for c in w) > 2 for w in words])
-    y = np.where((gain >= MIN_GAIN) & (purity >= MIN_PURITY), 1.0, np.where(purity < 0.5, -1.0, 0.0)) * long_enough
-    cost = COST * np.sqrt(np.where(y > 0, toxic, other))
-    gapped = [(g, cost[k] / 4) for k in np.flatnonzero(y > 0) for g in with_gaps(words[k])]
-    words, y = words + [g for g, _ in gapped], np.concatenate([y, np.ones(len(gapped))])
-    cost = np.concatenate([cost, [c for _, c in gapped]])
-    seen = np.flatnonzero(y)
-    if len(set(y[seen])) < 2:
-        return None
-    words, y, cost = [words[k] for k in seen], y[seen], cost[seen]
+@dataclass
+class Learnt:
+    """A machine with what it came from: its values are kernel(words, landmarks) @ dual + bias."""
+
+    machine: Machine
+    landmarks: list[str]
+    dual: np.ndarray
+
 
+def learn(positive: dict[str, float], negative: dict[str, float], most: int = LANDMARKS) -> Learnt:
+    """The machine that tells words apart; each word has a number of bags or occurrences."""
+    gapped = {g: n / 16 for w, n in positive.items() for g in with_gaps(w)} | positive
+    words = [*gapped, *(w for w in negative if w not in gapped)]
+    y = np.where(np.arange(len(words)) < len(gapped), 1.0, -1.0)
+    cost = COST * np.sqrt(np.array([gapped.get(w) or negative[w] for w in words], float))
     order = np.argsort(-cost, kind="stable")
-    chosen = [*order[y[order] > 0][: LANDMARKS // 4], *order[y[order] < 0][: LANDMARKS // 4]]
+    chosen = [*order[y[order] > 0][: most // 4], *order[y[order] < 0][: most // 4]]
     for last in (False, False, True):
         landmarks = sorted({p for k in chosen for p in stretches([words[k]])[0]})
         value, vector = np.linalg.eigh(kernel(landmarks, landmarks))
@@ -197,11 +201,39 @@ def train(counts: pa.Table) -> Machine | None:
         if not last:  # the examples that the machine gets most wrong are landmarks next
             loss = cost * np.maximum(0, 1 - y * (x @ w + bias)) ** 2
             loss[chosen] = 0
-            chosen += list(np.argsort(-loss, kind="stable")[: LANDMARKS // 4])
+            chosen += list(np.argsort(-loss, kind="stable")[: most // 4])
     wb, kb, vb = triples(landmarks)
     scaled = vb / _norms(wb, vb, len(landmarks))[wb] * (root @ w)[wb]
     keys, at = np.unique(kb, return_inverse=True)
-    return Machine(keys, np.bincount(at, scaled, minlength=len(keys)), bias)
+    return Learnt(Machine(keys, np.bincount(at, scaled, minlength=len(keys)), bias), landmarks, root @ w)
+
+
+def train(bags: list[tuple[list[str], list[float]]], negative: dict[str, float], worst) -> Machine | None:
+    """A machine from bags (words, gains) of toxic texts and negative words with their occurrences.
+
+    worst(machine) gives the negative words of all labelled texts with the greatest values.  A bag starts with its word of
+    the greatest gain.
+    """
+    bags = [bag for bag in bags if bag[0]]
+    if not bags or not negative:
+        return None
+    flat = [w for words, _ in bags for w in words]
+    edge = np.concatenate([[0], np.cumsum([len(words) for words, _ in bags])])
+    found = [[words[int(np.argmax(gains))]] for words, gains in bags]
+    count = lambda some: dict(Counter(w for words in some for w in set(words)))
+    if len(bags) > 3:
+        first = found
+        for _ in range(ROUNDS):
+            values = np.empty(len(flat))
+            for half in (0, 1):
+                machine = learn(count(found[1 - half :: 2]) or count(first[1 - half :: 2]), negative, ROUND_LANDMARKS).machine
+                mine = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in range(half, len(bags), 2)])
+                values[mine] = machine.words([flat[k] for k in mine])
+                negative = negative | {w: n for w, n in worst(machine, TRAIN_WORDS // 4).items()}
+            found = [[words[k] for k in np.flatnonzero(v > POINTED)] for (words, _), v in zip(bags, np.split(values, edge[1:-1]))]
+        if not any(found):
+            found = first
+    return learn(count(found), negative).machine
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -239,14 +271,51 @@ def word_counts(labelled: DataFrame) -> DataFrame:
     return contexts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def bag_words(labelled: DataFrame) -> DataFrame:
+    """(bag, word): the different words of each toxic text of (doc_id, text, label)."""
+
+    def split(batches):
+        for batch in chunks(batches, "text"):
+            bag, word = [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                own = {p for p in stretches(list({w.strip(".,;:!?\"'()") for w in prepared(text).split()}))[0]}
+                bag += [doc] * len(own)
+                word += own
+            yield pa.RecordBatch.from_arrays([pa.array(bag, pa.int64()), pa.array(word, pa.string())], names=["bag", "word"])
+
+    return labelled.where("label > 0").select("doc_id", "text").mapInArrow(split, "bag long, word string").distinct()
+
+
 def fit(rows: DataFrame, known: DataFrame) -> Machine | None:
     """Learn the machine, without calibration, from rows(doc_id, text) and known(doc_id, label)."""
     some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(TRAIN_TEXTS))
-    labelled = rows.join(some, "doc_id").select("text", "label")
-    counted = materialize(word_counts(labelled).where(F.col("toxic") + F.col("other") >= MIN_SENTENCES), "words")
-    toxic = counted.where("toxic > 0").orderBy(F.desc(F.col("toxic") / (F.col("toxic") + F.col("other"))), F.desc("toxic"), "word").limit(TRAIN_WORDS // 2)
-    other = counted.orderBy(F.desc("other"), "word").limit(TRAIN_WORDS // 2)
-    return train(toxic.union(other).distinct().orderBy("word").toArrow())
+    labelled = rows.join(some, "doc_id").select("doc_id", "text", "label")
+    counted = materialize(word_counts(labelled.select("text", "label")).where(F.length(F.regexp_replace("word", r"\P{L}", "")) > 2), "words")
+    toxic, other = counted.agg(F.sum("toxic"), F.sum("other")).first()
+    if not toxic or not other:
+        return None
+    share = F.log((F.col("toxic") + 0.5) / (toxic + 1.0) / ((F.col("other") + 0.5) / (other + 1.0)))
+    leans = (share > 0) & (F.col("toxic") + 0.5 >= PURE * (F.col("other") + 0.5))
+    gains = counted.where(leans).select("word", (F.col("toxic") * share).alias("gain"))
+    rank = F.row_number().over(Window.partitionBy("bag").orderBy(F.desc("gain"), "word"))
+    bags = bag_words(labelled).join(gains, "word").withColumn("n", rank).where(F.col("n") <= BAG_WORDS)
+    bags = bags.orderBy("bag", "n").select("bag", "word", "gain").toArrow()
+    of: dict[int, tuple[list[str], list[float]]] = {}
+    for bag, word, gain in zip(*(bags[c].to_pylist() for c in ("bag", "word", "gain"))):
+        words, values = of.setdefault(bag, ([], []))
+        words.append(word), values.append(gain)
+    negative = counted.where("other > 0").where(~leans).select("word", "other")
+
+    def worst(machine: Machine, n: int) -> dict[str, int]:
+        def value(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("other"), pa.array(machine.words(batch.column("word").to_pylist()))], names=["word", "other", "value"])
+
+        found = negative.mapInArrow(value, "word string, other long, value double").orderBy(F.desc("value"), "word").limit(n).toArrow()
+        return dict(zip(found["word"].to_pylist(), found["other"].to_pylist()))
+
+    often = negative.orderBy(F.desc("other"), "word").limit(TRAIN_WORDS // 2).toArrow()
+    return train(list(of.values()), dict(zip(often["word"].to_pylist(), often["other"].to_pylist())), worst)
 
 
 class ValueCache:

@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -125,6 +126,43 @@ def test_kernel_equals_its_definition():
     assert np.allclose(got, [[kernel(x, y) for y in b] for x in a])
 
 
+def test_the_folded_machine_equals_the_kernel_machine():
+    r = random.Random(2)
+    positive = {f"blarg{x}": 3.0 for x in ("an", "it", "el", "os")} | {"snorfle": 5.0}
+    negative = {"".join(r.choice("banekrlio") for _ in range(r.randrange(3, 9))): float(r.randrange(1, 30)) for _ in range(80)}
+    learnt = toxicity.learn(positive, negative, 60)
+    some = [*positive, *list(negative)[:20], "blargun", "sn.or.fle", "zzz", "a"]
+    direct = [sum(kernel(w, l) * a for l, a in zip(learnt.landmarks, learnt.dual)) + learnt.machine.bias for w in some]
+    assert np.allclose(learnt.machine.words(some), direct, atol=1e-6)
+    assert min(direct[:5]) > 0 and max(direct[5:25]) < 0 and direct[25] > 0 and direct[26] > 0
+    # no small step improves the objective that the machine minimises over the span of its landmarks
+    words = [*positive, *negative]
+    y, cost = np.array([1.0] * 5 + [-1.0] * len(negative)), np.ones(len(words))
+    x = toxicity.kernel(words, words)
+    value, vector = np.linalg.eigh(x)
+    z = vector * np.sqrt(np.maximum(value, 0))
+    w, b = toxicity.svm(z, y, cost)
+    loss = lambda v, c: v @ v + 1e-3 * c * c + (np.maximum(0, 1 - y * (z @ v + c)) ** 2).sum()
+    steps = np.random.default_rng(0).normal(size=(30, len(w) + 1)) * 1e-3
+    assert all(loss(w, b) <= loss(w + d[:-1], b + d[-1]) + 1e-9 for d in steps)
+
+
+def test_toxicity_pools_inflected_forms(spark):
+    """Insults that never occur twice in one form are found by their stem, and texts labelled by mistake teach nothing."""
+    r, rows = random.Random(4), []
+    part = lambda: r.choice(["ba", "ke", "li", "so", "tu", "nan", "rel", "mip", "dos", "ri", "po"])
+    for i in range(900):
+        w = [part() + part() + part() for _ in range(25)]
+        label = int(i % 5 == 0 or i % 90 == 1)
+        if i % 5 == 0:
+            w[r.randrange(25)] = "grunzlat" + part() + part()
+        rows.append((i, " ".join(w), label))
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    out = {x.doc_id: x.score for x in toxicity.toxicity(df, df.select("doc_id", "label"), F.col("doc_id") % 7 != 0).collect()}
+    held = [(out[i] >= 0.3, i % 5 == 0) for i, _, _ in rows if i % 7 == 0]
+    assert np.mean([s for s, t in held if t]) > 0.9 and np.mean([s for s, t in held if not t]) < 0.05
+
+
 def test_toxicity_finds_plain_and_gapped_insults(spark):
     names, clean = ["blargit", "snorfle", "quogwump"], [f"{a}{b}{c}" for a in ("ba", "ke", "li", "so", "tu") for b in ("nan", "rel", "mip", "dos") for c in ("ta", "ne", "ri", "po")]
     rows = []
