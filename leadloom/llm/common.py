@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task holds as numpy arrays at a time; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Rows of ids, 8 to 40 bytes each, that may be broadcast.
+SMALL_IDS = 500_000
 
 
 def scratch(spark: SparkSession) -> str:
@@ -85,6 +87,21 @@ def map_texts(df: DataFrame, text: str, schema: str, f: Callable, limit: int = C
     return df.mapInArrow(run, schema)
 
 
+def filter_texts(df: DataFrame, text: str, keep: Callable, limit: int = CHUNK_BYTES) -> DataFrame:
+    """The rows of df, all columns as they are, for which keep(texts) is true; rows stay where they lie."""
+
+    def run(batches):
+        for batch in chunks(batches, text, limit):
+            yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), bool)))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """ids, a narrow table read from scratch, for a join: broadcast if it has SMALL_IDS rows at most, else merged."""
+    return F.broadcast(ids) if ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else ids.hint("merge")
+
+
 def _arrow(values):
     return values if isinstance(values, (pa.Array, pa.ChunkedArray)) else pa.array(values)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_group, map_texts, materialize
+from .common import by_group, map_texts, materialize, sized
 from .components import components
 from .exact_dedup import attach
 from .hashing import Batch, Words, combine, mix
@@ -359,7 +359,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     pairs = small.select("docs").mapInArrow(_pairs, "a long, b long")
     pairs = pairs.union(led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))).distinct()
 
-    bags = materialize(map_texts(known.join(texts.select("doc_id").hint("merge"), "doc_id", "left_semi"), "text", "doc_id long, bag binary", _multisets), "bags")
+    bags = materialize(map_texts(known.join(sized(texts.select("doc_id")), "doc_id", "left_semi"), "text", "doc_id long, bag binary", _multisets), "bags")
     links = materialize(verify(pairs, bags), "links")
     stars = _complete(texts, leaders, links, components(links), bags, limit)
 

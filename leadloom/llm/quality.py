@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_per_text, in_repeats, map_texts, materialize, sums
+from .common import distinct_per_text, filter_texts, in_repeats, map_texts, materialize, sums
 from .hashing import Batch
 from .rules import duplicate_lines
 
@@ -143,23 +143,31 @@ def fit(labelled: DataFrame, features: int = FEATURES) -> Model | None:
     return model
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score for each document.  labels: doc_id, label (0 or 1); `train` is a condition on doc_id.
-
-    Only rows that fulfil `train` are learnt from; null labels are passed over.  Null texts count as empty; empty texts
-    get the score of their statistics.  If several rows share an id each is scored by its own text.  Without any label
-    every score is 0.5.  Other columns are not read.  An empty table gives an empty result.
-    """
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id and the statistics of each text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, " + ", ".join(f"{c} double" for c in STATISTICS)
 
     def measure(texts, batch):
         return {"doc_id": batch.column("doc_id")} | dict(zip(STATISTICS, statistics(texts).T))
 
-    stats = materialize(map_texts(rows, "text", schema, measure), "statistics")
+    return materialize(map_texts(rows, "text", schema, measure), "statistics")
+
+
+def fit_labels(stats: DataFrame, labels: DataFrame, train) -> Model | None:
     known = labels.where("label is not null and doc_id is not null").select("doc_id", F.col("label").cast("double").alias("label"))
-    labelled = materialize(stats.where(train).join(known, "doc_id").select("label", *STATISTICS), "labelled")
-    model = fit(labelled)
+    return fit(materialize(stats.where(train).join(known, "doc_id").select("label", *STATISTICS), "labelled"))
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, score for each document.  labels: doc_id, label (0 or 1); `train` is a condition on doc_id.
+
+    Only rows that fulfil `train` are learnt from; null labels are passed over.  Null texts count as empty; empty texts
+    get the score of their statistics.  If several rows share an id each is scored by its own text.  Without any label
+    every score is 0.5.  Other columns are not read.  An empty table gives an empty result.
+    """
+    stats = measured(docs, id_col, text_col)
+    model = fit_labels(stats, labels, train)
 
     def score(batches):
         for batch in batches:
@@ -167,3 +175,14 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, train, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s)], names=["doc_id", "score"])
 
     return stats.mapInArrow(score, "doc_id long, score double")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, train, limit: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, with a score of `limit` or more; texts are measured twice, not shuffled.
+
+    Every row is judged by its own text, whatever its id; else as `quality_classifier`.
+    """
+    model = fit_labels(measured(docs, id_col, text_col), labels, train)
+    if model is None:
+        return docs.where(F.lit(NO_LABELS >= limit))
+    return filter_texts(docs, text_col, lambda texts: model.score(statistics(texts)) >= limit)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_repeats, map_texts, sums
+from .common import chunks, filter_texts, in_repeats, map_texts, sums
 from .hashing import Batch, combine, ranges_hash
 
 #: Hash buckets of the two multinomials: a bound on what reaches the driver and the workers.
@@ -139,24 +139,40 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Counts cover all rows.  Very long texts are handled one at a time per task.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    judge = _judge(docs, id_col, text_col, trusted_col, good)
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
+    scored = map_texts(rows, "text", schema, lambda texts, batch: judge(texts) | {"doc_id": batch.column("doc_id")})
+    failed = scored.withColumn("base_failed", base_failed())
+    return failed.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+
+
+def _judge(docs: DataFrame, id_col: str, text_col: str, trusted_col: str, good: DataFrame | None):
+    """A function of texts that gives the base counts and llr, after counting the multinomials of docs."""
     if good is None:
         packed = packed_ngrams(docs.select(F.col(text_col).alias("text"), F.col(trusted_col).cast("boolean").alias("trusted")))
     else:
-        packed = mark_trusted(packed_ngrams(rows), good)
+        packed = mark_trusted(packed_ngrams(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), good)
     ratio = log_ratios(*ngram_counts(packed))
     shared = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
 
-    def score(texts, batch):
+    def judge(texts) -> dict[str, np.ndarray]:
         out = base_counts(texts)
         bucket, index = ngram_buckets(Batch.of(texts).words())
-        total = sums(index, len(texts), shared.value[bucket].astype(np.float64))
-        out["llr"] = total / np.maximum(1, sums(index, len(texts)))
-        return out | {"doc_id": batch.column("doc_id")}
+        out["llr"] = sums(index, len(texts), shared.value[bucket].astype(np.float64)) / np.maximum(1, sums(index, len(texts)))
+        return out
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
-    scored = map_texts(rows, "text", schema, score)
-    failed = scored.withColumn("base_failed", base_failed())
-    return failed.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    return judge
+
+
+def kept_documents(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns as they are, that `quality_rules` keeps; texts are read twice, not shuffled."""
+    judge = _judge(docs, id_col, text_col, "", good)
+
+    def keep(texts) -> np.ndarray:
+        found = judge(texts)
+        return (found["n_words"] >= 10) & (found["n_repeat_words"] * 100 <= found["n_words"] * 20) & (found["llr"] >= threshold)
+
+    return filter_texts(docs, text_col, keep)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
