@@ -2,10 +2,14 @@
 
 The corpus is tokenised once into parts: per part the sorted hashes of its distinct words and the stream of its tokens as
 positions in them.  Each part sends its distinct bigrams, with their counts in training texts, to the shards of the model,
-grouped by context.  A shard merges them into sorted hash arrays and answers each part with the counts of exactly the
-bigrams that the part has.  The same goes for words.  A worker that scores a part computes the probabilities of
-that slice in memory, writes them to a file without a name and sums them from the map; the map is nominal, as no n-gram is
-looked up in it by hash.  No task and no machine holds the whole model, and none is stored.
+grouped by context.  A shard merges them into sorted hash arrays in a file without a name, maps it and answers each part
+by binary search in the map with the counts of exactly the bigrams that the part has.  The same goes for words.  A worker
+that scores a part works out its probabilities from the answers.  No task and no machine holds the whole model, and no
+shard outlives its task, so only texts of the counted table are scored.
+
+Rows between parts and shards: one for each pair of them that has a bigram in common, which is never more than the distinct
+bigrams of all parts, and in practice parts times shards.  Both sizes are parameters; a corpus that has many more than
+10,000 of each wants larger ones, so that a row still holds hundreds of bigrams.
 
 Skew: counts are summed within parts before the shuffle, and bigrams of very frequent contexts - there can be HOT_WORDS at
 most - are dealt out by context and word; their context totals are added up from the shards and broadcast.
@@ -157,7 +161,7 @@ def bigram_requests(table: DataFrame, shards: int, hot: np.ndarray) -> DataFrame
             shard, n, names = part.shards(code, shards, hot), len(part.words) + 1, part.hashes()
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in range(shards):
+            for s in np.flatnonzero(np.diff(edge)).tolist():
                 at = order[edge[s] : edge[s + 1]]
                 if len(at):
                     context, run_ = np.unique(code[at] // n, return_counts=True)
@@ -181,29 +185,24 @@ def merge_bigrams(hot: np.ndarray, words_by: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        v_of = [np.frombuffer(r["v"], np.uint64) for r in rows]
-        runs = [np.frombuffer(r["run"], np.uint32) for r in rows]
-        v = np.concatenate([np.repeat(a, n) for a, n in zip(v_of, runs)])
-        w = np.concatenate([_from_six(r["w"]) for r in rows])
+        asked = [(np.frombuffer(r["v"], np.uint64), np.frombuffer(r["run"], np.uint32), _from_six(r["w"])) for r in rows]
+        v, w = np.concatenate([np.repeat(v, n) for v, n, _ in asked]), np.concatenate([w for _, _, w in asked])
         c = np.concatenate([_unpack(r["c"], np.uint32) for r in rows]).astype(np.int64)
-        order = np.lexsort((w, v))
-        sv, sw = v[order], w[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])
-        first = np.flatnonzero(new)
-        total = np.add.reduceat(c[order], first)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.cumsum(new) - 1
+        key = combine(v, w)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        keys, total, sw, sv = key[order][first], np.add.reduceat(c[order], first), w[order][first], v[order][first]
         known = total > 0
-        contexts, where = np.unique(sv[first], return_inverse=True)
+        contexts, where = np.unique(sv, return_inverse=True)
         stats = np.column_stack([np.bincount(where, total, minlength=len(contexts)), *(np.bincount(where[t], minlength=len(contexts)) for t in (total == 1, total == 2, total > 2))]).astype(np.int64)
-        out, at = [], 0
-        for row, own in zip(rows, v_of):
-            n = len(row["w"]) // 6
-            out.append(("bigram", row["part"], row["shard"], _pack(total[back[at : at + n]].astype(np.uint32)), _pack(stats[np.searchsorted(contexts, own)].astype(np.uint32)), None))
-            at += n
+        del v, w, c, key, order, first, sv, where
+        keys, contexts, counts = mapped([keys, contexts, total.astype(np.uint32)])
+        out = []
+        for row, (own, n, w) in zip(rows, asked):
+            at = np.searchsorted(keys, combine(np.repeat(own, n), w))
+            out.append(("bigram", row["part"], row["shard"], _pack(counts[at]), _pack(stats[np.searchsorted(contexts, own)].astype(np.uint32)), None))
         out.append(("count", None, None, None, None, [int((total == k).sum()) for k in (1, 2, 3, 4)]))
-        words, follows = np.unique(sw[first][known], return_counts=True)
+        words, follows = np.unique(sw[known], return_counts=True)
         shard = word_shards(words << np.uint64(16), words_by)
         for s in np.unique(shard).tolist():
             out.append(("follows", None, s, words[shard == s].tobytes(), _pack(follows[shard == s].astype(np.uint32)), None))
@@ -220,8 +219,10 @@ def word_requests(table: DataFrame, shards: int) -> DataFrame:
             part = Part.of(row)
             count = np.bincount(part.stream[part.training()], minlength=len(part.words))
             shard = word_shards(part.words, shards)
-            for s in range(shards):
-                at = np.flatnonzero(shard == s)
+            order = np.argsort(shard, kind="stable")
+            edge = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(edge)).tolist():
+                at = order[edge[s] : edge[s + 1]]
                 if len(at):
                     yield _answer([("word", row["part"], s, part.words[at].tobytes(), _pack(count[at].astype(np.uint32)), None)]).to_batches()[0]
 
@@ -244,12 +245,11 @@ def merge_words(table: pa.Table) -> pa.Table:
         n = np.bincount(fat, np.concatenate([_unpack(r["b"], np.uint32) for r in follows])).astype(np.int64)
         place = np.minimum(np.searchsorted(fw, words >> np.uint64(16)), len(fw) - 1)
         after = np.where(fw[place] == words >> np.uint64(16), n[place], 0)
-    out, start = [], 0
+    keys, counts, follow = mapped([words, count.astype(np.uint32), after.astype(np.uint32)])
+    out = []
     for r in asks:
-        n = len(r["a"]) // 8
-        mine = at[start : start + n]
-        out.append(("word", r["part"], r["shard"], _pack(count[mine].astype(np.uint32)), _pack(after[mine].astype(np.uint32)), None))
-        start += n
+        mine = np.searchsorted(keys, np.frombuffer(r["a"], np.uint64))
+        out.append(("word", r["part"], r["shard"], _pack(counts[mine]), _pack(follow[mine]), None))
     out.append(("total", None, None, None, None, [int((count > 0).sum()), int(count.sum()), int(after.sum()), *(int((after == k).sum()) for k in (1, 2, 3, 4)), int((after > 2).sum())]))
     return _answer(out)
 
@@ -319,13 +319,13 @@ def score_part(part: Part, answers: list[dict], shards: int, words_by: int, hot:
     rest = np.where(seen, stats[:, 1:] @ t.bigram[1:] / total, 1.0)
     high = (pair_count - t.bigram[np.minimum(pair_count, 3)]) / total[context] + rest[context] * low[code % n]
     base = np.log10((count + 1) / (t.tokens + t.types + 1))
-    keys, log_high, log_base, known = mapped([code, np.log10(high), base, (count > 0).astype(np.int64)])
+    log_high, known = np.log10(high), count > 0
     text = np.repeat(np.arange(len(part.size)), part.size)
     total_of = lambda x: np.bincount(text, x, minlength=len(part.size))
     return {
         "doc_id": pa.array(part.doc_id, pa.int64()), "held_out": pa.array(part.held), "n_tokens": pa.array(part.size, pa.int64()),
         "n_known": pa.array(total_of(known[part.stream]).astype(np.int64)), "train_tokens": pa.array(np.full(len(part.size), t.tokens, np.int64)),
-        "base_score": pa.array(total_of(log_base[part.stream])), "score": pa.array(total_of(log_high[at])),
+        "base_score": pa.array(total_of(base[part.stream])), "score": pa.array(total_of(log_high[at])),
     }
 
 
@@ -343,14 +343,16 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     shards = int(max(32, tokens // SHARD_TOKENS))
     words_by = max(8, shards // FEWER)
     hot = hot_words(table, tokens)
-    found = materialize(bigram_requests(table, shards, hot).groupBy("shard").applyInArrow(merge_bigrams(hot, words_by), ANSWER), "bigrams")
+    spread = lambda df, key, n: df.repartition(int(max(n, default)), key).groupBy(key)
+    default = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(spread(bigram_requests(table, shards, hot), "shard", shards // 4).applyInArrow(merge_bigrams(hot, words_by), ANSWER), "bigrams")
     counts = found.where("kind = 'count'").agg(*[F.coalesce(F.sum(F.col("stat")[k]), F.lit(0)) for k in range(4)]).first()
     hot_rows = found.where("kind = 'hot'").groupBy("part").agg(*[F.sum(F.col("stat")[k]).alias(f"s{k}") for k in range(4)]).toArrow()
     hot_stats = np.zeros((len(hot), 4), np.int64)
     if hot_rows.num_rows:
         hot_stats[np.searchsorted(hot, hot_rows["part"].to_numpy().view(np.uint64))] = np.column_stack([hot_rows[f"s{k}"].to_numpy() for k in range(4)])
     asked = word_requests(table, words_by).unionByName(found.where("kind = 'follows'"))
-    words = materialize(asked.groupBy("shard").applyInArrow(merge_words, ANSWER), "words")
+    words = materialize(spread(asked, "shard", words_by // 4).applyInArrow(merge_words, ANSWER), "words")
     s = words.where("kind = 'total'").agg(*[F.coalesce(F.sum(F.col("stat")[k]), F.lit(0)) for k in range(8)]).first()
     word_discounts = discounts(list(s[3:7]))
     rest = float(word_discounts[1:] @ [s[3], s[4], s[7]] / s[2]) if s[2] else 1.0
@@ -362,5 +364,6 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
 
     answers = found.where("kind = 'bigram'").unionByName(words.where("kind = 'word'"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = table.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(score, schema)
+    pieces = tokens // PART_TOKENS // 2
+    scored = spread(table, "part", pieces).cogroup(spread(answers, "part", pieces)).applyInArrow(score, schema)
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
