@@ -162,3 +162,24 @@ def reviews_text(reviews: Column) -> Column:
 
 def strip_prefix(c: Column, prefix: str) -> Column:
     return strip(F.regexp_replace(c, rf"(?i)^{prefix}:\s*", ""))
+
+
+def longest_candidate(texts: Column) -> Column:
+    """The longest text of at least 30 characters and five words that does not begin with a digit; the first of equal ones."""
+    trimmed = F.filter(F.transform(texts, strip), lambda t: (F.length(t) >= 30) & (F.size(F.split(t, " ")) >= 5) & ~t.rlike(r"^\d"))
+    best = F.aggregate(trimmed, F.lit(None).cast("string"), lambda acc, t: F.when(acc.isNull() | (F.length(t) > F.length(acc)), t).otherwise(acc))
+    return F.when(is_valid_description(best), best)
+
+
+def link_union(*lists: Column) -> Column:
+    """The values of several lists in order and once each; null lists count as empty."""
+    return F.array_distinct(F.concat(*[F.coalesce(v, F.array().cast("array<string>")) for v in lists]))
+
+
+#: How many of a list are kept.
+FIRST_REVIEWS, FIRST_IMAGES, EMAIL_PAGES, RENDERED_PAGES = 5, 10, 6, 4
+
+
+def first_of(values: Column, n: int) -> Column:
+    """The first n values of a list."""
+    return F.slice(values, 1, n)

@@ -111,9 +111,13 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+#: An address needs an at sign, or a character reference or word that may stand for one.
+MAY_HOLD_EMAIL = r"@|&#|&commat|&l(?:s|br|p)|&nbsp|&[A-Z]| \[at\] | \(at\) | AT "
+
+
 def unescape_html(c: Column) -> Column:
-    """Character references decoded; only texts with an ampersand go to the Python worker."""
-    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
+    """Character references decoded in texts that may hold an address; others are not passed to a Python worker."""
+    return F.coalesce(_unescape(F.when(c.contains("&") & c.rlike(MAY_HOLD_EMAIL), c)), c)
 
 
 def _valid(candidates: Column) -> Column:

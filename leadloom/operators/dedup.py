@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.urls import normalize_url
+
 #: Rows that one scan of components should have.
 SCAN_ROWS = 20_000
 
@@ -42,6 +44,18 @@ def unseen(df: DataFrame, seen: DataFrame, *keys: str) -> DataFrame:
     return df
 
 
+def before_visit(urls: DataFrame, seen_urls: DataFrame, seen_ids: DataFrame) -> DataFrame:
+    """urls(cell_id, url, place_id, ...) with `visit` and `duplicate`: those whose normalised URL and place id are both new.
+
+    seen_urls(id) and seen_ids(id) may hold an id more than once.  `duplicates_skipped` of a cell is the sum of `duplicate`.
+    """
+    known = lambda ids, name: ids.select(F.col("id").alias(name)).distinct()
+    rows = urls.withColumn("__u", normalize_url(F.col("url")))
+    rows = rows.join(known(seen_urls, "__su"), F.col("__u") == F.col("__su"), "left").join(known(seen_ids, "__si"), F.col("place_id") == F.col("__si"), "left")
+    duplicate = F.col("__su").isNotNull() | (F.col("__si").isNotNull() & (F.col("place_id") != ""))
+    return rows.withColumns({"visit": ~duplicate, "duplicate": duplicate.cast("int")}).drop("__u", "__su", "__si")
+
+
 def secondary_duplicates(df: DataFrame, most: int = 3) -> DataFrame:
     """Pairs of rows with the same phone or web site under different place ids: `most` matches of each row, by place id.
 

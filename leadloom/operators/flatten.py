@@ -54,3 +54,36 @@ def prune_empty(df: DataFrame) -> DataFrame:
 
     row = df.agg(*[filled(f).alias(f"c{i}") for i, f in enumerate(df.schema.fields)]).first()
     return df.select(*[F.col(f"`{f.name}`") for i, f in enumerate(df.schema.fields) if row[f"c{i}"]])
+
+
+#: Columns of a stored lead and where they come from; JSON marks those that are kept as JSON text.
+STORED = {
+    "place_id": "place_id", "name": "business_name", "full_address": "address.full_address", "city": "address.city", "state": "address.state",
+    "postal_code": "address.postal_code", "country": "address.country", "phone": "contact.phone", "website": "contact.website",
+    "email": "contact.email", "rating": "ratings.average_rating", "review_count": "ratings.total_reviews",
+    "category": "business_info.category", "all_categories": "business_info.all_categories", "latitude": "coordinates.latitude",
+    "longitude": "coordinates.longitude", "google_maps_url": "google_maps_url", "hours": "hours", "attributes": "attributes",
+    "images": "images", "facebook": "social_media.facebook", "instagram": "social_media.instagram", "twitter": "social_media.twitter",
+    "linkedin": "social_media.linkedin", "youtube": "social_media.youtube", "tiktok": "social_media.tiktok",
+}
+JSON = {"all_categories": "[]", "hours": "{}", "attributes": "{}", "images": "{}"}
+
+
+def db_rows(df: DataFrame, source_query: str | None = None, scraped_at: Column | None = None) -> DataFrame:
+    """Nested records as the 28 columns of a stored lead; lists and nested parts are JSON text, nulls in them included."""
+    def column(name: str, path: str) -> Column:
+        if name in JSON:
+            empty = F.lit(JSON[name])
+            return F.coalesce(F.to_json(path, {"ignoreNullFields": "false"}), empty)
+        return F.nullif(F.col(path), F.lit("")) if name == "google_maps_url" else F.col(path)
+
+    query = F.coalesce(F.nullif(F.lit(source_query), F.lit("")), F.col("metadata.query"))
+    stamp = F.current_timestamp() if scraped_at is None else scraped_at
+    return df.select(*[column(n, p).alias(n) for n, p in STORED.items()], query.alias("source_query"), stamp.alias("scraped_at"))
+
+
+def lead_objects(rows: DataFrame) -> DataFrame:
+    """Stored leads with their JSON columns as objects (variants); empty and missing ones become [] or {}."""
+    parsed = {c: F.parse_json(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(empty))) for c, empty in JSON.items() if c in rows.columns}
+    stamp = {"scraped_at": F.date_format("scraped_at", "yyyy-MM-dd'T'HH:mm:ss")} if dict(rows.dtypes).get("scraped_at", "").startswith("timestamp") else {}
+    return rows.withColumns(parsed | stamp)

@@ -118,11 +118,11 @@ def classify(method: str, buildings: Column, landuse: Column, quick: Column | No
 
 
 def grid_stats(cells: DataFrame, *by: str) -> DataFrame:
-    """cells: is_scraped, is_empty, result_count."""
+    """cells: is_scraped, is_empty, result_count.  Cells that are not empty count as populated, scraped or not."""
     total, done = F.count("*"), F.count_if("is_scraped")
     return cells.groupBy(*by).agg(
         total.alias("total"), done.alias("scraped"), (total - done).alias("unscraped"), F.count_if("is_empty").alias("empty"),
-        F.count_if(F.col("is_scraped") & ~F.col("is_empty")).alias("populated"), F.coalesce(F.sum("result_count"), F.lit(0)).cast("long").alias("results"),
+        F.count_if(~F.col("is_empty")).alias("populated"), F.coalesce(F.sum("result_count"), F.lit(0)).cast("long").alias("results"),
         F.coalesce(F.round(done / F.nullif(total, F.lit(0)) * 100, 1), F.lit(0.0)).alias("completion_pct"),
     )
 
@@ -132,3 +132,55 @@ def scrape_estimate(cells: DataFrame, km: float, per_lead: float = 36.0, overhea
     seconds = F.col("populated_cells") * (F.lit(overhead) + leads * per_lead)
     counts = cells.groupBy(*by).agg(F.count("*").alias("total_cells"), F.count_if(~F.col("is_empty")).alias("populated_cells"))
     return counts.select(*by, "total_cells", "populated_cells", (F.col("total_cells") - F.col("populated_cells")).alias("empty_cells"), leads.alias("avg_leads_per_cell"), (F.col("populated_cells") * leads).alias("estimated_leads"), F.bround(seconds).cast("long").alias("estimated_seconds"), F.bround(seconds / 60, 1).alias("estimated_minutes"), F.bround(seconds / 3600, 2).alias("estimated_hours"))
+
+
+def cell_selectors(cells: DataFrame) -> DataFrame:
+    """cells with `unscraped` (neither scraped nor empty), `scraped` and `empty`; an empty cell counts as scraped once marked."""
+    return cells.withColumns({"unscraped": ~F.col("is_scraped") & ~F.col("is_empty"), "scraped": F.col("is_scraped"), "empty": F.col("is_empty")})
+
+
+def mark_scraped(cells: DataFrame, results: DataFrame, *by: str) -> DataFrame:
+    """cells with the counts of results(by..., cell_id, result_count), which has each cell once; those are scraped."""
+    found = results.select(*by, "cell_id", F.col("result_count").alias("__n"), F.lit(True).alias("__hit"))
+    joined = cells.join(found, [*by, "cell_id"], "left")
+    marks = {"is_scraped": F.col("is_scraped") | F.coalesce("__hit", F.lit(False)), "result_count": F.coalesce("__n", "result_count")}
+    return joined.withColumns(marks).select(cells.columns)
+
+
+def mark_empty(cells: DataFrame, checks: DataFrame, *by: str) -> DataFrame:
+    """cells merged with checks(by..., cell_id, is_populated): those that are not populated are empty, and count as scraped.
+
+    Cells without a check stay as they are; a cell is empty if any of its checks says so.
+    """
+    empty = checks.where(~F.col("is_populated")).select(*by, "cell_id").distinct().withColumn("__hit", F.lit(True))
+    joined = cells.join(empty, [*by, "cell_id"], "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+    return joined.withColumns({"is_empty": F.col("is_empty") | F.col("__hit"), "is_scraped": F.col("is_scraped") | F.col("__hit")}).select(cells.columns)
+
+
+def grid_shape(cells: DataFrame, *by: str) -> DataFrame:
+    """rows, cols and total_cells of each grid."""
+    return cells.groupBy(*by).agg((F.coalesce(F.max("row"), F.lit(-1)) + 1).alias("rows"), (F.coalesce(F.max("col"), F.lit(-1)) + 1).alias("cols"), F.count("*").alias("total_cells"))
+
+
+GRID_ROWS = 100
+CELL = ["lat", "lng", "radius_km", "cell_id", "zoom", "row", "col", "is_scraped", "is_empty", "result_count"]
+
+
+def grid_json(boxes: DataFrame, cells: DataFrame, km: float) -> DataFrame:
+    """(id, part, grid): grids as JSON documents with bounds, size, shape and cells, in the order of rows and columns.
+
+    A document holds GRID_ROWS rows of cells, so that a large grid is written in parts, numbered from 0; each part has the
+    shape of the whole grid.
+    """
+    within = cells.withColumn("part", F.floor(F.col("row") / GRID_ROWS).cast("long"))
+    lists = within.groupBy("id", "part").agg(F.sort_array(F.collect_list(F.struct("row", "col", F.struct(*CELL).alias("cell")))).alias("c"))
+    box = F.struct(*[F.col(k) for k in ("north", "south", "east", "west")]).alias("bounds")
+    joined = lists.join(grid_shape(cells, "id"), "id").join(boxes.select("id", box), "id")
+    whole = F.struct("bounds", F.lit(km).alias("cell_size_km"), "rows", "cols", "total_cells", F.transform("c", lambda x: x["cell"]).alias("cells"))
+    return joined.select("id", "part", F.to_json(whole).alias("grid"))
+
+
+def cells_of_json(grids: DataFrame) -> DataFrame:
+    """The cells of (id, grid), as `grid_json` writes them."""
+    cell = "array<struct<lat:double,lng:double,radius_km:double,cell_id:string,zoom:int,row:int,col:int,is_scraped:boolean,is_empty:boolean,result_count:int>>"
+    return grids.select("id", F.inline(F.from_json("grid", f"cells {cell}")["cells"]))

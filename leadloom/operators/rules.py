@@ -107,3 +107,21 @@ def is_sent(*columns: Column) -> Column:
 def unsent(leads: DataFrame) -> DataFrame:
     """Rows with an e-mail and no status."""
     return leads.where((F.coalesce(strip(F.col("email")), F.lit("")) != "") & (strip(F.coalesce("status", F.lit(""))) == ""))
+
+
+def query_leads(df: DataFrame, city: str | None = None, category: str | None = None, min_rating: float | None = None, has_email: bool | None = None, has_phone: bool | None = None, source_query: str | None = None, limit: int = 0, offset: int = 0) -> DataFrame:
+    """Leads by city and category (parts, any case), rating, contact and query, in the order of place id and seq.
+
+    A limit of 0 is no limit.  Limit and offset are the feature.
+    """
+    for c, v in (("city", city), ("category", category)):
+        df = df.where(F.col(c).ilike(f"%{v}%")) if v else df
+    rating = "average_rating" if "average_rating" in df.columns else "rating"
+    df = df.where(F.col(rating) >= min_rating) if min_rating is not None else df
+    for c, v in (("email", has_email), ("phone", has_phone)):
+        df = df if v is None else df.where(present(F.col(c)) if v else ~present(F.col(c)))
+    df = df.where(F.col("source_query") == source_query) if source_query else df
+    if limit or offset:
+        df = df.orderBy("place_id", *[c for c in ("seq",) if c in df.columns]).offset(offset)
+        df = df.limit(limit) if limit else df
+    return df

@@ -20,6 +20,89 @@ def config_delta(df: DataFrame, config: str, value: str, first: str, second: str
     return df.where(F.col(config).isin(first, second)).agg(F.format_string("%+.2f", mean(first) - mean(second)).alias("delta"))
 
 
+#: Metrics of a run and how the difference of two configurations is shown.
+METRICS = {"pass_rate": "%+.2f", "time_seconds": "%+.1f", "tokens": "%+.0f"}
+
+
+def run_summary(runs: DataFrame) -> DataFrame:
+    """config, metric, mean, stddev, min, max of runs(config, pass_rate, time_seconds, tokens); missing values count as 0."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value")) for m in METRICS])
+    return metric_stats(runs.select("config", F.explode(pairs).alias("p")).select("config", "p.*"), ["config", "metric"], "value")
+
+
+def run_delta(summary: DataFrame) -> DataFrame:
+    """(metric, delta): the means of the first configuration by name less those of the second; a missing one counts as 0."""
+    configs = summary.select("config").distinct()
+    ranked = summary.join(F.broadcast(configs.orderBy("config").limit(2).withColumn("__n", F.row_number().over(Window.orderBy("config")))), "config")
+    mean = lambda n: F.coalesce(F.sum(F.when(F.col("__n") == n, F.col("mean"))), F.lit(0.0))
+    both = ranked.groupBy("metric").agg((mean(1) - mean(2)).alias("d"))
+    shown = F.coalesce(*[F.when(F.col("metric") == m, F.format_string(f, "d")) for m, f in METRICS.items()])
+    return both.select("metric", shown.alias("delta"))
+
+
+def run_results(graded: DataFrame) -> DataFrame:
+    """Flat rows of graded(path, grading, timing): the JSON texts of a run's grading and timing files; timing may be null.
+
+    The path ends in eval-<id>/<config>/run-<n>/<file>.  Rows whose grading is no JSON object are dropped.  The time is that
+    of the grading, else that of the timing file, whose tokens count only then; tokens of 0 give way to the characters put out.
+    """
+    g, t = "summary struct<pass_rate:double,passed:long,failed:long,total:long>, timing struct<total_duration_seconds:double>, execution_metrics struct<total_tool_calls:long,output_chars:long,errors_encountered:long>, user_notes_summary struct<uncertainties:array<string>,needs_review:array<string>,workarounds:array<string>>", "total_duration_seconds double, total_tokens long"
+    rows = graded.where(F.try_parse_json("grading").isNotNull() & F.trim("grading").startswith("{"))
+    rows = rows.select("path", F.from_json("grading", g).alias("g"), F.from_json("timing", t).alias("t"))
+    part = lambda pattern: F.regexp_extract("path", pattern, 1)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    own = zero("g.timing.total_duration_seconds")
+    tokens = F.nullif(F.when(own == 0, F.col("t.total_tokens")), F.lit(0).cast("long"))
+    none = F.array().cast("array<string>")
+    return rows.select(
+        part(r"eval-(\d+)/").cast("long").alias("eval_id"), part(r"eval-[^/]*/([^/]+)/run-").alias("config"), part(r"/run-(\d+)/").cast("int").alias("run_number"),
+        F.coalesce("g.summary.pass_rate", F.lit(0.0)).alias("pass_rate"), *[zero(f"g.summary.{c}").alias(c) for c in ("passed", "failed", "total")],
+        F.when(own == 0, F.coalesce("t.total_duration_seconds", F.lit(0.0))).otherwise(own).alias("time_seconds"),
+        F.coalesce(tokens, zero("g.execution_metrics.output_chars")).alias("tokens"), zero("g.execution_metrics.total_tool_calls").alias("tool_calls"),
+        zero("g.execution_metrics.errors_encountered").alias("errors"),
+        F.concat(*[F.coalesce(f"g.user_notes_summary.{c}", none) for c in ("uncertainties", "needs_review", "workarounds")]).alias("notes"),
+    )
+
+
+def correct_runs(df: DataFrame, *by: str) -> DataFrame:
+    """correct and total of df(should_trigger, triggers, runs); runs that should not trigger are correct if they did not."""
+    right = F.when(F.coalesce("should_trigger", F.lit(True)), F.col("triggers")).otherwise(F.col("runs") - F.col("triggers"))
+    return df.groupBy(*by).agg(F.coalesce(F.sum(right), F.lit(0)).alias("correct"), F.coalesce(F.sum("runs"), F.lit(0)).alias("total"))
+
+
+def run_counters(outcomes: DataFrame, *by: str) -> DataFrame:
+    """Counts of outcomes(outcome, at): scraped, failed, retried, restarts and breaks, and scraped per hour of the time span."""
+    names = {"scraped": "scraped", "failed": "failed", "retried": "retried", "restart": "restarts", "break": "breaks"}
+    hours = (F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / 3.6e9
+    n = {v: F.count_if(F.col("outcome") == k) for k, v in names.items()}
+    return outcomes.groupBy(*by).agg(*[c.alias(k) for k, c in n.items()], F.round(F.coalesce(n["scraped"] / F.nullif(hours, F.lit(0.0)), F.lit(0.0)), 1).alias("per_hour"))
+
+
+def filter_stats(checks: DataFrame, *by: str, seconds: int = 30) -> DataFrame:
+    """total, populated and empty cells of checks(is_populated), the share that is skipped and the time that this saves."""
+    total, empty = F.count("*"), F.count_if(~F.col("is_populated"))
+    skip = F.coalesce(F.round(empty / F.nullif(total, F.lit(0)) * 100, 1), F.lit(0.0))
+    return checks.groupBy(*by).agg(total.alias("total_cells"), (total - empty).alias("populated_cells"), empty.alias("empty_cells"), skip.alias("skip_pct"), (empty * seconds).alias("seconds_saved"))
+
+
+def preview(checks: DataFrame, order: str, sample: int) -> DataFrame:
+    """sampled, empty and estimated_empty from a systematic sample of `sample` rows at most: every step-th row by `order`.
+
+    Rows are numbered within ranges of `order` whose counts are added up, so no window runs over the whole table.
+    """
+    n = checks.count()
+    step = max(1, n // sample) if sample else 1
+    cut = checks.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01) if n else []
+    bucket = sum([(F.col(order) > c).cast("int") for c in sorted(set(cut))], F.lit(0))
+    ranged = checks.withColumn("__b", bucket)
+    sizes = ranged.groupBy("__b").agg(F.count("*").alias("__c")).withColumn("__o", F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"))
+    at = F.col("__o") + F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
+    some = ranged.join(F.broadcast(sizes), "__b").withColumn("__i", at).where((F.col("__i") % step == 0) & (F.col("__i") / step < sample))
+    empty = F.count_if(~F.col("is_populated"))
+    rate = F.coalesce(empty / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
+    return some.agg(F.count("*").alias("sampled"), empty.alias("empty"), F.floor(rate * n).cast("long").alias("estimated_empty"))
+
+
 def trigger_rate(df: DataFrame, query: str, triggered: Column, should: Column, threshold: float = 0.5) -> DataFrame:
     rates = df.groupBy(query).agg(F.avg(triggered.cast("int")).alias("rate"), F.max(should.cast("int")).alias("should"))
     return rates.withColumn("passed", F.when(F.col("should") == 1, F.col("rate") >= threshold).otherwise(F.col("rate") < threshold))
@@ -58,7 +141,7 @@ def stratified_split(df: DataFrame, label: str, id_: str, holdout: float, seed:
     running = Window.partitionBy(label).orderBy("__r")
     offsets = counts.select(label, "__r", (F.sum("__c").over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__o"), F.sum("__c").over(Window.partitionBy(label)).alias("__n"))
     assert ranges == 256
-    ranked = hashed.join(F.broadcast(offsets), [label, "__r"]).withColumn("__k", F.col("__o") + F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", id_)))
+    ranked = hashed.join(offsets, [label, "__r"]).withColumn("__k", F.col("__o") + F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", id_)))
     return ranked.withColumn("test", F.col("__k") <= F.greatest(F.lit(1), F.floor(F.col("__n") * holdout))).drop("__h", "__r", "__o", "__n", "__k")
 
 

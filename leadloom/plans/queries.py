@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields, text, urls
 from ..operators import dedup, geo, rules, stats
-from ..operators.rules import FilterConfig
+from ..operators.rules import FilterConfig, query_leads
 from ..sources import dims
 from .leads import SQL as LEADS
 from .leads import leads, read
@@ -117,23 +117,6 @@ def _(df):
     return df.where("source_query = 'BUILDING in ASIA' and place_id <> ''").select("place_id").distinct()
 
 
-def query_leads(df: DataFrame, city: str | None = None, category: str | None = None, min_rating: float | None = None, has_email: bool | None = None, has_phone: bool | None = None, source_query: str | None = None, limit: int = 0, offset: int = 0) -> DataFrame:
-    """Leads by city and category (parts, any case), rating, contact and query, in the order of place id and seq.
-
-    A limit of 0 is no limit.  Limit and offset are the feature.
-    """
-    for c, v in (("city", city), ("category", category)):
-        df = df.where(F.col(c).ilike(f"%{v}%")) if v else df
-    df = df.where(F.col("average_rating") >= min_rating) if min_rating is not None else df
-    for c, v in (("email", has_email), ("phone", has_phone)):
-        df = df if v is None else df.where(text.present(F.col(c)) if v else ~text.present(F.col(c)))
-    df = df.where(F.col("source_query") == source_query) if source_query else df
-    if limit or offset:
-        df = df.orderBy("place_id", "seq").offset(offset)
-        df = df.limit(limit) if limit else df
-    return df
-
-
 @on_leads("query_leads_city", f"SELECT {COLS} FROM leads WHERE city ILIKE '%nation_1%'")
 def _(df):
     return query_leads(df, city="nation_1").select(FLAT)
@@ -348,7 +331,21 @@ def _(spark, d):
 
 @query("find_emails_in_texts")
 def _(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.find_emails(F.col("text")).alias("emails")).where(F.size("emails") > 0)
+    return read(spark, d, "documents").select("doc_id", text.find_emails(F.col("text")).alias("emails"))
+
+
+NOTE = "CASE seq % 4 WHEN 0 THEN 'Write to Info' || seq || '&#64;acme.ae, sales@acme.ae or info' || seq || '@acme.ae; logo@2x.png' WHEN 1 THEN '<p>info' || seq || ' [at] acme [dot] ae and x@sentry.io</p>' WHEN 2 THEN '<a data-cfemail=\"5a33343c351a3b39373f743b3f\">x</a> b' || seq || '@acme.ae' END"
+
+
+@on_leads("find_emails_in_notes", "SELECT seq, CASE seq % 4 WHEN 0 THEN 'info' || seq || '@acme.ae,sales@acme.ae' WHEN 1 THEN 'info' || seq || '@acme.ae' WHEN 2 THEN 'info@acme.ae,b' || seq || '@acme.ae' ELSE '' END AS emails FROM leads")
+def _(df):
+    return df.select("seq", F.array_join(text.find_emails(F.expr(NOTE)), ",").alias("emails"))
+
+
+@on_leads("find_email_in_html", "SELECT seq, CASE seq % 3 WHEN 0 THEN 'sales' || seq || '@acme.ae' WHEN 1 THEN CASE seq % 4 WHEN 2 THEN 'info@acme.ae' WHEN 3 THEN NULL ELSE 'info' || seq || '@acme.ae' END END AS email FROM leads")
+def _(df):
+    page = F.expr(f"CASE seq % 3 WHEN 0 THEN '<a href=\"mailto:x@sentry.io\">a</a> info@acme.ae <a href=\"mailto:Sales' || seq || '@Acme.ae?subject=a\">' WHEN 1 THEN {NOTE} END")
+    return df.select("seq", text.find_email_in_html(page).alias("email"))
 
 
 @query("find_email_pages")
@@ -356,10 +353,10 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", text.find_email_in_html(F.col("html")).alias("email"))
 
 
-@on_leads("decode_cf_email", "SELECT seq, lower(email) AS email FROM leads WHERE email LIKE 'Info%'")
+@on_leads("decode_cf_email", rf"SELECT seq, CASE WHEN regexp_matches(e, '^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}$') AND {_junk('e')} THEN e END AS email FROM (SELECT seq, lower(email) AS e FROM leads)")
 def _(df):
     hidden = F.expr("concat('5a', array_join(transform(sequence(1, length(email)), i -> lpad(lower(hex(ascii(substring(email, i, 1)) ^ 90)), 2, '0')), ''))")
-    return df.where("email LIKE 'Info%'").select("seq", text.decode_cf_email(hidden).alias("email"))
+    return df.select("seq", text.decode_cf_email(hidden).alias("email"))
 
 
 @query("clean_text", r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'))) AS digest FROM documents WHERE trim(text, E' \n\t') <> ''")
@@ -370,9 +367,9 @@ def _(spark, d):
 PAGE = "'<a href=\"https://facebook.com/sharer?u=1\"></a><a href=\"https://facebook.com/Shop' || seq || '\"></a> <a href=\"twitter.com/Shop' || seq || '\"> x <a href=\"https://www.linkedin.com/company/shop-' || seq || '\"> <a href=\"//tiktok.com/shop' || seq || '\"> <a href=\"https://youtube.com/channel/UC' || seq || '\">'"
 
 
-@on_leads("social_links", "SELECT seq, 'https://www.facebook.com/Shop' || seq AS facebook, CAST(NULL AS VARCHAR) AS instagram, 'https://www.x.com/shop' || seq AS twitter, 'https://www.linkedin.com/company/shop-' || seq AS linkedin, 'https://www.youtube.com/channel/UC' || seq AS youtube, 'https://www.tiktok.com/@shop' || seq AS tiktok FROM leads WHERE length('Shop' || seq) <= 15")
+@on_leads("social_links", "SELECT seq, 'https://www.facebook.com/Shop' || seq AS facebook, CAST(NULL AS VARCHAR) AS instagram, CASE WHEN length('Shop' || seq) <= 15 THEN 'https://www.x.com/shop' || seq END AS twitter, 'https://www.linkedin.com/company/shop-' || seq AS linkedin, 'https://www.youtube.com/channel/UC' || seq AS youtube, 'https://www.tiktok.com/@shop' || seq AS tiktok FROM leads")
 def _(df):
-    return df.where("length(concat('Shop', seq)) <= 15").select("seq", text.social_links(F.expr(PAGE)).alias("s")).select("seq", "s.*")
+    return df.select("seq", text.social_links(F.expr(PAGE)).alias("s")).select("seq", "s.*")
 
 
 @on_leads("social_url_normalise", "SELECT seq, 'https://www.x.com/acme' || seq AS twitter, CASE WHEN instagram IS NOT NULL THEN 'https://www.instagram.com/acme' || seq END AS instagram FROM leads")
@@ -389,9 +386,14 @@ def _(spark, d):
 HREF_SQL = """unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1))"""
 
 
-@query("contact_links", f"WITH l AS (SELECT page_id, trim({HREF_SQL}) AS h FROM pages), p AS (SELECT page_id, regexp_replace(h, '[?#].*$', '') AS path FROM l WHERE starts_with(h, '/') AND NOT starts_with(h, '//')) SELECT DISTINCT page_id, path FROM p WHERE path <> '/' AND regexp_matches(lower(path), 'contact|about|team|reach|connect|privacy|impressum|agent')")
-def _(spark, d):
-    return read(spark, d, "pages").select("page_id", F.explode(urls.contact_paths(F.col("html"), F.col("url"))).alias("path"))
+CONTACT = "'<a href=\"/contact-' || seq || '?x=1\">c</a><a class=b href=\"https://www.site' || seq || '.example.org/About/' || city || '#t\">a</a><a href=\"team' || seq % 5 || '.html\">t</a><a href=\"/contact-' || seq || '\">again</a><a href=\"https://elsewhere.example.net/contact\">x</a><a href=\"/shop\">s</a><a href=\"mailto:a@b.org\">m</a><a href=\"//site' || seq || '.example.org/impressum;v=2\">i</a>'"
+
+
+@on_leads("contact_links", "SELECT seq, unnest(['/contact-' || seq, '/About/' || city, '/de/team' || seq % 5 || '.html', '/impressum']) AS path, unnest([1, 2, 3, 4]) AS place FROM leads")
+def _(df):
+    base = F.concat(F.lit("https://site"), "seq", F.lit(".example.org/de/index.html?q=1"))
+    found = F.posexplode(urls.contact_paths(F.expr(CONTACT), base)).alias("place", "path")
+    return df.select("seq", found).select("seq", "path", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("page_links", f"SELECT DISTINCT page_id, trim(h) AS link FROM (SELECT page_id, {HREF_SQL} AS h FROM pages) WHERE trim(h) <> ''")
@@ -405,13 +407,13 @@ def _(spark, d):
     return read(spark, d, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@on_leads("coords_from_url", "SELECT seq, round(latitude, 2) AS lat, round(longitude, 2) AS lng FROM leads WHERE round(latitude * 10) <> latitude * 10 AND round(longitude * 10) <> longitude * 10")
+@on_leads("coords_from_url", "SELECT seq, CASE WHEN ok THEN CAST(lat AS DOUBLE) END AS lat, CASE WHEN ok THEN CAST(lng AS DOUBLE) END AS lng FROM (SELECT *, lat <= 90 AND lng >= -180 AS ok FROM (SELECT seq, CAST(latitude AS DECIMAL(10, 4)) + 0.0101 AS lat, CAST(longitude AS DECIMAL(10, 4)) - 0.0101 AS lng FROM leads))")
 def _(df):
-    at = F.concat(F.lit("https://maps.example.com/place/x/@"), F.col("latitude").cast("decimal(10,2)"), F.lit(","), F.col("longitude").cast("decimal(10,2)"), F.lit(",17z"))
-    data = F.concat(F.lit("https://maps.example.com/place/x/data=!3d"), F.col("latitude").cast("decimal(10,2)"), F.lit("!4d"), F.col("longitude").cast("decimal(10,2)"))
+    lat, lng = F.expr("cast(cast(latitude as decimal(10,4)) + 0.0101 as string)"), F.expr("cast(cast(longitude as decimal(10,4)) - 0.0101 as string)")
+    at = F.concat(F.lit("https://maps.example.com/place/x/@"), lat, F.lit(","), lng, F.lit(",17z"))
+    data = F.concat(F.lit("https://maps.example.com/place/x/data=!3d"), lat, F.lit("!4d"), lng)
     c = urls.coords_of_url(F.when(F.col("seq") % 2 == 0, at).otherwise(data))
-    some = df.where("round(latitude * 10) <> latitude * 10 and round(longitude * 10) <> longitude * 10")
-    return some.select("seq", F.round(c["lat"], 2).alias("lat"), F.round(c["lng"], 2).alias("lng"))
+    return df.select("seq", c["lat"].alias("lat"), c["lng"].alias("lng"))
 
 
 @on_leads("place_id_from_url", "SELECT seq, CASE seq % 3 WHEN 0 THEN '0x' || lower(to_hex(seq)) || ':0xabc' WHEN 1 THEN 'ChIJ' || seq END AS place_id, CASE seq % 3 WHEN 1 THEN 'ChIJ' || seq WHEN 2 THEN 'ChIJ-' || seq END AS data_id FROM leads")
@@ -500,16 +502,16 @@ def _(spark, d):
 
 # --- geo grid -------------------------------------------------------------------------------------------------------
 
-#: A box around each nation's number, so that the grid grows with the tables.
-BOX = "n_nationkey AS id, n_nationkey + 1.0 + 0.31 AS north, n_nationkey + 1.0 AS south, n_nationkey * 2 + 0.27 AS east, CAST(n_nationkey * 2 AS DOUBLE) AS west"
-BOX_SQL = f"SELECT CAST(id AS INT) AS id, CAST(north AS DOUBLE) AS north, CAST(south AS DOUBLE) AS south, CAST(east AS DOUBLE) AS east, west FROM (SELECT {BOX} FROM nation)"
+#: A box for each supplier, so that the grid grows with the tables.
+BOX = "s_suppkey AS id, s_suppkey % 60 + 1.31 AS north, s_suppkey % 60 + 1.0 AS south, s_suppkey % 170 + 0.27 AS east, CAST(s_suppkey % 170 AS DOUBLE) AS west"
+BOX_SQL = f"SELECT CAST(id AS INT) AS id, CAST(north AS DOUBLE) AS north, CAST(south AS DOUBLE) AS south, CAST(east AS DOUBLE) AS east, west FROM (SELECT {BOX} FROM supplier)"
 CELLS_SQL = f"""box AS ({BOX_SQL}), step AS (SELECT *, 2.0 / 111.0 AS ls, 2.0 / (111.0 * cos(radians((north + south) / 2))) AS gs FROM box),
     cell AS (SELECT id, 'r' || r || '_c' || c AS cell_id, CAST(r AS INT) AS row, CAST(c AS INT) AS col, south + r * ls + ls / 2 AS y, west + c * gs + gs / 2 AS x, north, east FROM step, generate_series(0, 40) t(r), generate_series(0, 40) u(c)),
     cells AS (SELECT id, cell_id, row, col, round(y, 6) AS lat, round(x, 6) AS lng FROM cell WHERE y <= north AND x <= east)"""
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
-    b = read(spark, d, "nation").selectExpr(*[e.strip() for e in BOX.split(", ")])
+    b = read(spark, d, "supplier").selectExpr(*[e.strip() for e in BOX.split(", ")])
     return b.select(F.col("id").cast("int").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("north", "south", "east", "west")])
 
 
@@ -549,14 +551,14 @@ def _(spark, d):
     return geo.refine(marked_cells(spark, d), 120).select("id", "cell_id")
 
 
-@query("grid_stats", f"WITH {MARKED_SQL} SELECT id, count(*) AS total, count_if(is_scraped) AS scraped, count_if(NOT is_scraped) AS unscraped, count_if(is_empty) AS empty, count_if(is_scraped AND NOT is_empty) AS populated, CAST(sum(result_count) AS BIGINT) AS results, round(count_if(is_scraped) / count(*) * 100, 1) AS completion_pct FROM marked GROUP BY id")
+@query("grid_stats", f"WITH {MARKED_SQL} SELECT id, count(*) AS total, count_if(is_scraped) AS scraped, count_if(NOT is_scraped) AS unscraped, count_if(is_empty) AS empty, count(*) - count_if(is_empty) AS populated, CAST(sum(result_count) AS BIGINT) AS results, round(count_if(is_scraped) / count(*) * 100, 1) AS completion_pct FROM marked GROUP BY id")
 def _(spark, d):
     return geo.grid_stats(marked_cells(spark, d), "id").withColumns({c: F.col(c).cast("long") for c in ("total", "scraped", "unscraped", "empty", "populated")})
 
 
-@query("grid_selectors", f"WITH {MARKED_SQL} SELECT id, cell_id, CASE WHEN is_empty THEN 'empty' WHEN is_scraped THEN 'scraped' ELSE 'unscraped' END AS state FROM marked")
+@query("grid_selectors", f"WITH {MARKED_SQL} SELECT id, cell_id, NOT is_scraped AND NOT is_empty AS unscraped, is_scraped AS scraped, is_empty AS empty FROM marked")
 def _(spark, d):
-    return marked_cells(spark, d).select("id", "cell_id", F.when(F.col("is_empty"), "empty").when(F.col("is_scraped"), "scraped").otherwise("unscraped").alias("state"))
+    return geo.cell_selectors(marked_cells(spark, d)).select("id", "cell_id", "unscraped", "scraped", "empty")
 
 
 @query("scrape_estimate", f"WITH {MARKED_SQL}, n AS (SELECT id, count(*) AS total_cells, count_if(NOT is_empty) AS p FROM marked GROUP BY id) SELECT id, total_cells, p AS populated_cells, total_cells - p AS empty_cells, CAST(72 AS BIGINT) AS avg_leads_per_cell, p * 72 AS estimated_leads, p * 2615 AS estimated_seconds, round_even(p * 2615 / 60, 1) AS estimated_minutes, round_even(p * 2615 / 3600, 2) AS estimated_hours FROM n")
@@ -595,18 +597,6 @@ def _(spark, d):
     return read(spark, d, "part").select("p_partkey", combined["is_populated"].alias("combined"), F.round(combined["confidence"], 6).alias("combined_confidence"), auto["is_populated"].alias("auto"), geo.classify("quick", b, land, quick)["confidence"].alias("quick_confidence"))
 
 
-@query("filter_stats", "SELECT s_nationkey, count(*) AS checked, count_if(s_suppkey % 4 = 0) AS empty, round(count_if(s_suppkey % 4 = 0) / count(*) * 100, 1) AS skip_pct, count_if(s_suppkey % 4 = 0) * 30 AS seconds_saved FROM supplier GROUP BY s_nationkey")
-def _(spark, d):
-    empty = F.count_if(F.col("s_suppkey") % 4 == 0)
-    return read(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("checked"), empty.alias("empty"), F.round(empty / F.count("*") * 100, 1).alias("skip_pct"), (empty * 30).alias("seconds_saved"))
-
-
-@query("preview_sample", "SELECT count(*) AS sampled, count_if(p_size % 5 = 0) AS empty, CAST(floor(count_if(p_size % 5 = 0) / count(*) * (SELECT count(*) FROM part)) AS BIGINT) AS estimated_empty FROM part WHERE p_partkey % 10 = 0")
-def _(spark, d):
-    sampled, empty = F.count_if(F.col("p_partkey") % 10 == 0), F.count_if((F.col("p_partkey") % 10 == 0) & (F.col("p_size") % 5 == 0))
-    return read(spark, d, "part").agg(sampled.alias("sampled"), empty.alias("empty"), F.floor(empty / sampled * F.count("*")).cast("long").alias("estimated_empty"))
-
-
 def place(names: list[str]) -> tuple[str, str]:
     """A place name for each lead as an expression: the dimension's names and two unknown ones, in turn (Spark, DuckDB)."""
     array, n = ", ".join(f"'{n}'" for n in [*names, "narnia", "ca"]), len(names) + 2
@@ -628,15 +618,6 @@ def _(df):
     return dims.with_country_code(df.select("seq", F.expr(COUNTRY).alias("place")), "place").select("seq", "code")
 
 
-@query("geocode_cascade", "WITH hit AS (SELECT s_nationkey AS k, max(s_acctbal) AS importance FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY 1) SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'cache' WHEN c_nationkey < 5 THEN 'predefined' WHEN importance IS NOT NULL THEN 'hit' ELSE 'none' END AS source, CASE WHEN c_custkey % 4 = 0 OR c_nationkey < 5 THEN NULL ELSE importance END AS importance FROM customer LEFT JOIN hit ON c_nationkey = k")
-def _(spark, d):
-    hits = read(spark, d, "supplier").where("s_suppkey % 3 <> 0")
-    top = stats.best(hits, ["s_nationkey"], "s_acctbal", "s_suppkey").select(F.col("s_nationkey").alias("c_nationkey"), F.col("s_acctbal").alias("importance"))
-    joined = read(spark, d, "customer").join(top, "c_nationkey", "left")
-    source = F.when(F.col("c_custkey") % 4 == 0, "cache").when(F.col("c_nationkey") < 5, "predefined").when(F.col("importance").isNotNull(), "hit").otherwise("none")
-    return joined.select("c_custkey", source.alias("source"), F.when((F.col("c_custkey") % 4 != 0) & (F.col("c_nationkey") >= 5), F.col("importance")).alias("importance"))
-
-
 @query("best_hit", "SELECT s_nationkey, s_acctbal, s_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS rn FROM supplier) WHERE rn = 1")
 def _(spark, d):
     return stats.best(read(spark, d, "supplier"), ["s_nationkey"], "s_acctbal", "s_suppkey")
@@ -655,7 +636,12 @@ def nested(df: DataFrame) -> DataFrame:
         s(full_address=F.concat_ws(", ", "city", "country"), street=null, city=c("city"), state=null, postal_code=null, country=c("country")).alias("address"),
         s(phone=c("phone"), website=c("website"), email=c("email")).alias("contact"),
         s(facebook=c("facebook"), instagram=c("instagram"), twitter=null, linkedin=null, youtube=null, tiktok=null).alias("social_media"),
-        s(category=c("category"), all_categories=c("all_categories"), description=c("description")).alias("business_info"),
+        s(category=c("category"), all_categories=c("all_categories"), description=c("description"), price_level=F.when(c("seq") % 2 == 0, "$$"), years_in_business=null).alias("business_info"),
+        s(latitude=c("latitude"), longitude=c("longitude")).alias("coordinates"),
+        s(current_status=F.when(c("seq") % 3 == 0, "Open")).alias("hours"),
+        s(amenities=F.array(F.lit("Wi-Fi"), F.lit(" Toilets")), payments_accepted=F.array(F.lit("Wi-Fi")), service_options=F.when(c("seq") % 2 == 0, F.array(F.lit("Delivery"))), highlights=F.lit(None).cast("array<string>")).alias("attributes"),
+        s(main_image_url=F.concat(F.lit("https://img/"), "seq"), all_image_urls=F.array().cast("array<string>")).alias("images"),
+        F.array(s(author=c("business_name"), rating=(c("seq") % 5).cast("int"), text=F.lit("Good"), date=c("city"))).alias("reviews_sample"),
         s(average_rating=c("average_rating"), total_reviews=c("total_reviews")).alias("ratings"),
         s(query=c("source_query"), scraped_at=null).alias("metadata"),
     )
@@ -682,12 +668,6 @@ def _(df):
     return prune_empty(df.select("seq", "phone", "facebook", "twitter", "tiktok", "status"))
 
 
-@on_leads("sheet_projection", "SELECT seq, CASE WHEN phone LIKE '+%' THEN '''' || phone ELSE coalesce(phone, '') END AS phone, coalesce(email, '') AS email, CASE WHEN coalesce(average_rating, 0) = 0 THEN '' ELSE CAST(average_rating AS VARCHAR) END AS rating, replace(categories, '|', ', ') AS categories FROM leads")
-def _(df):
-    phone = F.coalesce("phone", F.lit(""))
-    return df.select("seq", F.when(phone.rlike("^[+=-]"), F.concat(F.lit("'"), phone)).otherwise(phone).alias("phone"), F.coalesce("email", F.lit("")).alias("email"), F.when(F.coalesce("average_rating", F.lit(0.0)) == 0, "").otherwise(F.col("average_rating").cast("string")).alias("rating"), F.concat_ws(", ", "all_categories").alias("categories"))
-
-
 @on_leads("column_widths", 'SELECT \'city\' AS "column", CAST(least(greatest(max(length(city)), 4) + 2, 60) AS INT) AS width FROM leads UNION ALL SELECT \'maps_url\', CAST(least(greatest(max(length(maps_url)), 8) + 2, 60) AS INT) FROM leads UNION ALL SELECT \'total_reviews\', CAST(least(greatest(max(length(CAST(total_reviews AS VARCHAR))), 13) + 2, 60) AS INT) FROM leads')
 def _(df):
     return stats.column_widths(df.select("city", "maps_url", "total_reviews"))
@@ -752,3 +732,6 @@ def _(spark, d):
 
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     return read(spark, d, "events").select("event_id", *[(n % k == 0).alias(c) for c, k in (("take_break", 40), ("restart", 100), ("checkpoint", 10))])
+
+
+from . import records  # noqa: E402, F401 - registers its queries here

@@ -115,3 +115,34 @@ def with_country_code(df: DataFrame, country: str) -> DataFrame:
     key: Column = F.lower(F.trim(country))
     joined = df.join(F.broadcast(dim), key == F.col("__name"), "left")
     return joined.withColumn("code", F.when(F.length(key) == 2, key).otherwise(F.col("__code"))).drop("__name", "__code")
+
+
+def geocode(places: DataFrame, cache: DataFrame, hits: DataFrame) -> DataFrame:
+    """places(..., location, country) with source, north, south, east, west and importance of each.
+
+    In this order: cache(key, north, ...), whose key is the lower-case location and country around a bar; the known
+    cities; the best of hits(query, code, boundingbox, importance, n) for the location with the country's code, by
+    importance and then by n, among those with a box of four numbers [south, north, west, east]; the best hit for
+    "location, country" without a code.  source says which one it was, 'none' if none.
+    """
+    norm = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    box = ["north", "south", "east", "west"]
+    rows = with_country_code(places.withColumn("__country", F.nullif(F.trim("country"), F.lit(""))), "__country").withColumnRenamed("code", "__code")
+    rows = rows.withColumn("__key", F.concat(norm(F.col("location")), F.lit("|"), norm(F.col("country"))))
+    rows = rows.join(cache.select(F.col("key").alias("__key"), F.struct(*box, "importance").alias("__cached")), "__key", "left")
+    known = cities(places.sparkSession).select(F.col("name").alias("__name"), F.struct(*box, F.lit(1.0).alias("importance")).alias("__city"))
+    rows = rows.join(F.broadcast(known), norm(F.col("location")) == F.col("__name"), "left")
+    numbers = F.transform("boundingbox", lambda x: x.try_cast("double"))
+    good = hits.where(F.size("boundingbox") == 4).select("query", F.coalesce("code", F.lit("")).alias("code"), "importance", "n", numbers.alias("b"))
+    best = good.groupBy("query", "code").agg(F.max(F.struct(F.coalesce("importance", F.lit(0.0)).alias("importance"), (-F.col("n")).alias("minus"), "b")).alias("t"))
+    b = lambda i: F.col("t.b")[i]
+    best = best.select("query", "code", F.struct(b(1).alias("north"), b(0).alias("south"), b(3).alias("east"), b(2).alias("west"), F.col("t.importance").alias("importance")).alias("hit"))
+    named = lambda q, c, hit: best.select(F.col("query").alias(q), F.col("code").alias(c), F.col("hit").alias(hit))
+    rows = rows.join(named("__q1", "__c1", "__hit"), (F.col("location") == F.col("__q1")) & (F.coalesce("__code", F.lit("")) == F.col("__c1")), "left")
+    longer = F.when(F.col("__country").isNotNull(), F.concat("location", F.lit(", "), "country"))
+    rows = rows.join(named("__q2", "__c2", "__far"), (longer == F.col("__q2")) & (F.col("__c2") == ""), "left")
+    steps = {"cache": "__cached", "predefined": "__city", "hit": "__hit", "hit with country": "__far"}
+    source, found = F.lit("none"), F.coalesce(*steps.values())
+    for name, c in reversed(steps.items()):
+        source = F.when(F.col(c).isNotNull(), name).otherwise(source)
+    return rows.select(*places.columns, source.alias("source"), *[found[k].alias(k) for k in (*box, "importance")])

@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import resolve_query
-from ..operators.flatten import flatten_business, flatten_generic, prune_empty
-from .schema import BUSINESS, CORRUPT
+from ..operators.flatten import flatten_business, flatten_generic, lead_objects, prune_empty
+from ..operators.rules import query_leads
+from .schema import BUSINESS, CORRUPT, EXTRA
 
+BOM = "\ufeff"
+#: CSV doubles quotes inside quoted values.
+QUOTE = "\""
 
-def _form(spark: SparkSession, path: str) -> tuple[str, str]:
-    """The first characters and the last one of the first line with text."""
+
+def _is_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line with text is a record by itself: an object that is no envelope.  An empty file has lines."""
     line = F.trim("value")
-    row = spark.read.text(path).where(line != "").select(F.left(line, F.lit(4000)), F.right(line, F.lit(1))).limit(1).first()
-    return (row[0], row[1]) if row else ("", "")
+    envelope = F.try_variant_get(F.try_parse_json("value"), "$.businesses", "variant").isNotNull()
+    row = spark.read.text(path).where(line != "").select(line.startswith("{") & line.endswith("}") & ~envelope).limit(1).first()
+    return row[0] if row else True
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str = BUSINESS) -> DataFrame:
-    """One record per line; lines that are no record are dropped, blank lines are no lines."""
-    lines = spark.read.text(path).where("trim(value) like '{%'")
+def _records(lines: DataFrame, schema: str, extra: bool) -> DataFrame:
+    """Records of lines(value), without those that are no object; with `extra` their unknown keys, too."""
     record = F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
-    return lines.select(record.alias("r")).where(f"r.{CORRUPT} is null").select("r.*").drop(CORRUPT)
+    more = {EXTRA: unknown_keys(F.col("value"), schema)} if extra else {}
+    rows = lines.where("trim(value) like '{%'").select(record.alias("r"), *[c.alias(k) for k, c in more.items()])
+    return rows.where(f"r.{CORRUPT} is null").select("r.*", *more).drop(CORRUPT)
+
+
+def unknown_keys(value: Column, schema: str = BUSINESS) -> Column:
+    """A map of the keys of a JSON object that the schema does not name, and of those of its nested records."""
+    as_map = lambda c: F.from_json(c, "map<string,string>")
+    fields = T.StructType.fromDDL(schema).fields
+    rest = lambda m, names: F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin(names))
+    parts = [rest(as_map(value), [f.name for f in fields])]
+
+    def inner(name: str, names: list[str]) -> Column:
+        found = rest(as_map(F.get_json_object(value, f"$.{name}")), names)
+        return F.transform_keys(found, lambda k, _: F.concat(F.lit(name + "."), k))
+
+    parts += [inner(f.name, f.dataType.names) for f in fields if isinstance(f.dataType, T.StructType)]
+    return F.map_concat(*parts)
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str = BUSINESS, extra: bool = False) -> DataFrame:
+    """One record per line; lines that are no record are dropped, blank lines are no lines."""
+    return _records(spark.read.text(path), schema, extra)
 
 
 def count_bad_lines(spark: SparkSession, path: str) -> int:
@@ -30,24 +58,19 @@ def count_bad_lines(spark: SparkSession, path: str) -> int:
     return lines.where(F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{")).count()
 
 
-def read_leads(spark: SparkSession, path: str, schema: str = BUSINESS) -> DataFrame:
+def read_leads(spark: SparkSession, path: str, schema: str = BUSINESS, extra: bool = False) -> DataFrame:
     """A list of records, an envelope {"businesses": [...]}, one record, or JSON lines - by the form of the file.
 
-    Only the first line with text is looked at here; the rest is read by Spark's JSON source.  An unknown envelope and an
-    empty file give no rows.
+    Only the first line with text decides between lines and the other forms, which Spark parses whole, so that the order
+    and the size of an envelope's parts do not matter.  A folder should hold files of one form.  An object that is neither
+    an envelope nor has a name, an empty file and values that are no objects give no rows.
     """
-    head, last = _form(spark, path)
-    if head.startswith("{") and last == "}" and '"businesses"' not in head:
-        return read_jsonl(spark, path, schema)
-    if head.startswith("["):
-        rows = spark.read.schema(schema).option("multiLine", True).json(path)
-        return rows.where(F.to_json(F.struct("*")) != "{}")
-    if head.startswith("{"):
-        envelope = f"businesses array<struct<{schema}>>, {schema}"
-        rows = spark.read.schema(envelope).option("multiLine", True).json(path)
-        many = rows.where("businesses is not null").select(F.inline("businesses"))
-        return many.unionByName(rows.where("businesses is null and business_name is not null").drop("businesses"))
-    return read_jsonl(spark, path, schema)
+    if _is_lines(spark, path):
+        return read_jsonl(spark, path, schema, extra)
+    whole = spark.read.option("singleVariantColumn", "v").option("multiLine", True).json(path)
+    many = F.coalesce(F.try_variant_get("v", "$.businesses", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"))
+    one = F.when(F.try_variant_get("v", "$.business_name", "variant").isNotNull(), F.array("v"))
+    return _records(whole.select(F.explode(F.coalesce(many, one)).alias("r")).select(F.to_json("r").alias("value")), schema, extra)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -90,15 +113,32 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return lines.where("query <> '' and query not like '#%'")
 
 
+def export_jsonl(leads: DataFrame, path: str, **filters) -> int:
+    """Stored leads that pass the filters of `query_leads`, as JSON lines with their JSON columns as objects; how many."""
+    found = lead_objects(query_leads(leads, **filters))
+    found.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    return leads.sparkSession.read.text(path).count()
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A stored table as Parquet."""
+    df.write.mode("overwrite").parquet(path)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def write_filtered(df: DataFrame, stem: str) -> None:
     """Nested records as JSON and the 25 named columns as CSV."""
     df.write.mode("overwrite").json(f"{stem}_filtered.jsonl")
-    flatten_business(df).write.mode("overwrite").option("header", True).csv(f"{stem}_filtered.csv")
+    flatten_business(df).write.mode("overwrite").option("header", True).option("escape", QUOTE).csv(f"{stem}_filtered.csv")
 
 
 def write_exported(df: DataFrame, stem: str) -> None:
-    """Flattened and pruned records as CSV."""
-    prune_empty(flatten_generic(df)).write.mode("overwrite").option("header", True).csv(f"{stem}_exported.csv")
+    """Flattened and pruned records as CSV, with a byte order mark before the header, as spreadsheets want it."""
+    flat = prune_empty(flatten_generic(df))
+    flat.toDF(*[BOM * (i == 0) + c for i, c in enumerate(flat.columns)]).write.mode("overwrite").option("header", True).option("escape", QUOTE).csv(f"{stem}_exported.csv")
 
 
 def write_flat_csv(df: DataFrame, path: str) -> bool:
@@ -106,7 +146,7 @@ def write_flat_csv(df: DataFrame, path: str) -> bool:
     if df.isEmpty():
         return False
     flat = [F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(f"`{c}`") for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", QUOTE).csv(path)
     return True
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: As DDL text: nested and fixed; keys that are not named are dropped.
+#: As DDL text: nested and fixed; keys that are not named go to the column EXTRA where readers are asked for it.
 BUSINESS = """business_name string, place_id string, google_maps_url string,
     address struct<full_address:string, street:string, city:string, state:string, postal_code:string, country:string>,
     coordinates struct<latitude:double, longitude:double>,
@@ -16,3 +16,5 @@ BUSINESS = """business_name string, place_id string, google_maps_url string,
     reviews_sample array<struct<author:string, rating:double, text:string, date:string, language:string>>,
     metadata struct<scraped_at:string, data_freshness:string, verification_status:string, scraper_version:string, query:string, has_warnings:boolean, warnings:array<string>>"""
 CORRUPT = "_corrupt_record"
+#: Unknown keys: names, with the outer one and a point before those of nested records, and their values as JSON text.
+EXTRA = "_extra"

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.dedup import keep_first
 from ..sources.schema import BUSINESS
 
 
@@ -30,19 +32,20 @@ def ingest(source: DataFrame, target: str, checkpoint: str, key: str = "place_id
     """Append each batch's new records to the Parquet table `target` and stop when nothing is left.
 
     Records whose key is in the table already are passed over; the key's first record of a batch is kept.  Records with a
-    null or empty key are all kept, in every batch.  The checkpoint
-    makes a rerun go on after the last complete batch.  A batch that is run again after a failure finds its own rows by
-    their batch number and writes them anew.
+    null or empty key are all kept, in every batch.  The checkpoint makes a rerun go on after the last complete batch.
+    A batch that is run again after a failure finds its own rows by their batch number and writes them anew.  Each batch
+    reads the key column of the whole table; where batches are small beside the table, `unique_stream` keeps keys as state.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        first = batch.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").dropDuplicates([key])
+        keyed = batch.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != "").withColumn("__at", F.monotonically_increasing_id())
+        first = keep_first(keyed, key, "__at").drop("__at")
         blank = batch.where(F.coalesce(F.col(key).cast("string"), F.lit("")) == "")
         try:
             seen = spark.read.parquet(target).where(F.col("batch") != number).select(key)
-        except Exception as e:  # the table is not there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # the table is not there before the first batch
                 raise
         else:
             first = first.join(seen, key, "left_anti").select(batch.columns)

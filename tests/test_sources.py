@@ -3,10 +3,11 @@ import json
 import pytest
 
 from leadloom.plans.leads import leads
-from leadloom.plans.queries import nested, query_leads
+from leadloom.operators.rules import query_leads
+from leadloom.plans.queries import nested
 from leadloom.sources import io
 from leadloom.sources.schema import BUSINESS
-from leadloom.streaming.ingest import ingest, read_stream, remaining_cells
+from leadloom.streaming.ingest import ingest, read_stream, remaining_cells, unique_stream
 
 A = {"business_name": "A", "place_id": "p1", "contact": {"phone": "1"}, "unknown": 1}
 B = {"business_name": "B", "place_id": "p2"}
@@ -20,6 +21,9 @@ B = {"business_name": "B", "place_id": "p2"}
         (json.dumps([A, B], indent=1), ["A", "B"]),
         (json.dumps({"metadata": {}, "businesses": [A, B]}), ["A", "B"]),
         (json.dumps({"metadata": {}, "businesses": [A, B]}, indent=1), ["A", "B"]),
+        (json.dumps({"metadata": {"note": "x" * 9000}, "businesses": [A, B]}), ["A", "B"]),
+        (json.dumps({"metadata": {"note": "x" * 9000}, "other": [A, B]}, indent=1), []),
+        (json.dumps({**B, "note": "businesses"}) + "\n" + json.dumps(A), ["A", "B"]),
         (json.dumps(A, indent=1), ["A"]),
         (json.dumps(A), ["A"]),
         ("", []),
@@ -43,6 +47,51 @@ def test_bad_lines_and_envelope(spark, tmp_path):
     assert io.latest_file(spark, str(tmp_path), "*.jsonl").endswith("x.jsonl")
 
 
+@pytest.mark.parametrize("form", ["lines", "list", "envelope"])
+def test_unknown_keys_are_kept_where_asked_for(spark, tmp_path, form):
+    rows = [{**A, "contact": {"phone": "1", "fax": "2"}, "deep": {"a": [1]}}, B]
+    content = {"lines": "\n".join(map(json.dumps, rows)), "list": json.dumps(rows, indent=1), "envelope": json.dumps({"businesses": rows})}[form]
+    (tmp_path / "x.json").write_text(content)
+    got = {r.business_name: r._extra for r in io.read_leads(spark, str(tmp_path / "x.json"), extra=True).collect()}
+    assert got == {"A": {"unknown": "1", "contact.fax": "2", "deep": '{"a":[1]}'}, "B": {}}
+
+
+def test_stored_table_and_filtered_export(spark, tmp_path):
+    from leadloom.operators.flatten import db_rows
+
+    table = db_rows(nested(leads(spark, "/root/testdata/sf0.001")), source_query="q")
+    assert len(table.columns) == 28 and {r.source_query for r in table.select("source_query").collect()} == {"q"}
+    io.write_table(table, str(tmp_path / "t"))
+    stored = io.read_table(spark, str(tmp_path / "t"))
+    n = io.export_jsonl(stored, str(tmp_path / "e"), has_phone=True, min_rating=3.0)
+    rows = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "e")).collect()]
+    assert 0 < n == len(rows) < stored.count() and all(r["phone"] and r["rating"] >= 3 for r in rows)
+    assert all(isinstance(r["all_categories"], list) and isinstance(r["hours"], dict) and r["images"]["all_image_urls"] == [] and r["twitter"] is None for r in rows)
+
+
+def test_append_jsonl_and_export(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "n int, t string")
+    io.append_jsonl(df, str(tmp_path / "j"))
+    io.append_jsonl(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+    assert [r.value for r in io.export(df).collect()] == ['{"n":1,"t":"a"}']
+    assert io.write_flat_csv(nested(leads(spark, "/root/testdata/sf0.001")).limit(3), str(tmp_path / "f"))
+    assert json.loads(spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "f")).first()["contact"]) is not None
+
+
+def test_streams_keep_one_record_of_a_key(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate([[A, A, B], [B, {"business_name": "C", "place_id": "p3"}]]):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+    seen = []
+    out = unique_stream(read_stream(spark, str(tmp_path / "in"), files_per_batch=1))
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.business_name for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["A", "B", "C"]
+    ingest(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "m2"), on_batch=lambda df, n: seen.append((n, df.count()))).awaitTermination()
+    assert seen == [(0, 3)]
+
+
 def test_query_lists(spark, tmp_path):
     (tmp_path / "q.csv").write_text("query,niche,location\n hotels ,,\n,bars,Rome\n")
     (tmp_path / "q.txt").write_text("# c\n\n cafes in Bonn \n")
