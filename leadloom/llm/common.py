@@ -21,10 +21,12 @@ SMALL_IDS = 500_000
 def scratch(spark: SparkSession) -> str:
     """The folder for intermediate tables: spark.checkpoint.dir, which all machines share.
 
-    Only where that setting is missing, as in local tests, a temporary folder is made and set for the session.
+    Only where that setting is missing on a local master, as in tests, a temporary folder is made and set for the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -1,12 +1,13 @@
 """Exact deduplication by cuckoo filters over content digests.
 
-Each shard of the digest space has one cuckoo filter: 16-bit fingerprints in buckets of four.  A digest that misses is
-new for certain and is inserted; a hit may be a false positive and is verified against the full digests stored for the
-bucket.  A removed digest leaves the filter.  When an insertion finds no place, the table doubles and is refilled from
-the stored keys.
+Each shard of the digest space has one cuckoo filter: 16-bit fingerprints in buckets of four slots.  Beside each slot lies
+the content of its key, the whole digest, and a number; they move with the fingerprint.  A digest whose fingerprint is in
+neither of its two buckets is new for certain and is inserted; a hit may be a false positive and is verified against the
+content of its slot.  A removed digest leaves the filter.  When an insertion finds no place, the table doubles and is
+refilled from the stored keys.
 
 Skew: rows with one digest are merged inside every input partition before the shuffle, so a text that makes a third of
-the corpus reaches its shard as one row per input partition.  When documents get their group's decision back, groups
+the corpus reaches its shard as a few rows per input partition.  When documents get their group's decision back, groups
 larger than 1/HEAVY of the corpus - of which there can be HEAVY at most - are broadcast, all others are joined by digest.
 """
 
@@ -23,29 +24,29 @@ from .common import by_group, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Groups with more than 1/HEAVY of all rows are broadcast: never more than HEAVY rows.
-HEAVY = 1000
-#: Rows of partial groups that a shard should hold.
-SHARD_ROWS = 200_000
-SLOTS, MAX_KICKS = 4, 200
+HEAVY = 20_000
+#: Rows of partial groups that a shard should hold, and digests that are merged at a time inside an input partition.
+SHARD_ROWS = LOCAL_ROWS = 200_000
+SLOTS, MAX_KICKS, KEY = 4, 200, 32
 
 
 class CuckooFilter:
-    """A cuckoo filter with the full keys beside it, for verification, deletion and resizing.
+    """A cuckoo filter with the whole key and a number beside each fingerprint.
 
-    Keys are bytes of at least 16 random bytes (digests).  `insert` and `delete` return whether they changed the set;
-    `slot` finds the number under which a live key is stored, or -1.
+    Keys are digests of KEY random bytes.  `insert` and `delete` return whether they changed the set; `slot` is where a live
+    key lies, or -1, and `numbers[slot]` is its number; slots hold until the next change.
     """
 
     def __init__(self, buckets: int = 1024):
         self._reset(1 << max(4, (buckets - 1).bit_length()))
-        self._number: dict[int, list[tuple[bytes, int]]] = {}
         self.resizes = 0
         self.size = 0
-        self._next = 0
 
     def _reset(self, buckets: int) -> None:
         self.mask = buckets - 1
-        self.table = array("H", bytes(2 * buckets * SLOTS))
+        self.marks = array("H", bytes(2 * buckets * SLOTS))
+        self.content = bytearray(KEY * buckets * SLOTS)
+        self.numbers = array("q", bytes(8 * buckets * SLOTS))
 
     def _places(self, key: bytes) -> tuple[int, int, int]:
         mark = int.from_bytes(key[:2], "little") or 1
@@ -55,78 +56,92 @@ class CuckooFilter:
     def _other(self, bucket: int, mark: int) -> int:
         return (bucket ^ (mark * 0x5BD1E995)) & self.mask
 
-    def _find(self, bucket: int, mark: int) -> int:
-        for i in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
-            if self.table[i] == mark:
-                return i
-        return -1
-
     def may_contain(self, key: bytes) -> bool:
-        """The filter's own answer: no false negatives, a few false positives."""
+        """The fingerprints' own answer: no false negatives, a few false positives."""
         mark, a, b = self._places(key)
-        return self._find(a, mark) >= 0 or self._find(b, mark) >= 0
+        return any(mark in self.marks[x * SLOTS : x * SLOTS + SLOTS] for x in (a, b))
 
     def slot(self, key: bytes) -> int:
-        """The number of a live key: a filter hit, verified against the stored keys of its content bucket."""
-        if not self.may_contain(key):
-            return -1
-        return next((n for k, n in self._number.get(self._content(key), ()) if k == key), -1)
-
-    @staticmethod
-    def _content(key: bytes) -> int:
-        return int.from_bytes(key[8:16], "little")
+        """Where a live key is: a hit of its fingerprint, verified against the content of the slot."""
+        mark, a, b = self._places(key)
+        for bucket in (a, b):
+            for i in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
+                if self.marks[i] == mark and self.content[i * KEY : i * KEY + KEY] == key:
+                    return i
+        return -1
 
     def __contains__(self, key: bytes) -> bool:
         return self.slot(key) >= 0
 
-    def insert(self, key: bytes) -> bool:
+    def insert(self, key: bytes, number: int = 0) -> bool:
         if self.slot(key) >= 0:
             return False
-        self._number.setdefault(self._content(key), []).append((key, self._next))
-        self._next += 1
         self.size += 1
-        if not self._place(key):
-            self._grow()
+        left = self._place(key, number)
+        if left:
+            self._grow(left)
         return True
 
-    def _place(self, key: bytes) -> bool:
+    def _free(self, bucket: int) -> int:
+        for i in range(bucket * SLOTS, bucket * SLOTS + SLOTS):
+            if not self.marks[i]:
+                return i
+        return -1
+
+    def _put(self, i: int, mark: int, key: bytes, number: int) -> None:
+        self.marks[i], self.content[i * KEY : i * KEY + KEY], self.numbers[i] = mark, key, number
+
+    def _place(self, key: bytes, number: int) -> tuple[bytes, int] | None:
+        """Put a key that is not in the table; the key and number that found no place, if so, which may be others'."""
         mark, a, b = self._places(key)
         for bucket in (a, b):
-            if (i := self._find(bucket, 0)) >= 0:
-                self.table[i] = mark
-                return True
+            if (i := self._free(bucket)) >= 0:
+                self._put(i, mark, key, number)
+                return None
         bucket = b
         for kick in range(MAX_KICKS):
             i = bucket * SLOTS + (kick * 7 + mark) % SLOTS
-            mark, self.table[i] = self.table[i], mark
+            out = self.marks[i], bytes(self.content[i * KEY : i * KEY + KEY]), self.numbers[i]
+            self._put(i, mark, key, number)
+            mark, key, number = out
             bucket = self._other(bucket, mark)
-            if (i := self._find(bucket, 0)) >= 0:
-                self.table[i] = mark
-                return True
-        return False
+            if (i := self._free(bucket)) >= 0:
+                self._put(i, mark, key, number)
+                return None
+        return key, number
+
+    def items(self) -> list[tuple[bytes, int]]:
+        return [(bytes(self.content[i * KEY : i * KEY + KEY]), self.numbers[i]) for i, mark in enumerate(self.marks) if mark]
 
-    def _grow(self) -> None:
+    def _grow(self, left: tuple[bytes, int]) -> None:
         """Double the table and refill it from the stored keys until every key has a place."""
+        keys, buckets = [*self.items(), left], self.mask + 1
         while True:
             self.resizes += 1
-            self._reset((self.mask + 1) * 2)
-            if all(self._place(k) for group in self._number.values() for k, _ in group):
+            buckets *= 2
+            self._reset(buckets)
+            if all(self._place(k, n) is None for k, n in keys):
                 return
 
     def delete(self, key: bytes) -> bool:
-        if self.slot(key) < 0:
+        i = self.slot(key)
+        if i < 0:
             return False
-        mark, a, b = self._places(key)
-        i = self._find(a, mark)
-        self.table[i if i >= 0 else self._find(b, mark)] = 0
-        group = [x for x in self._number[self._content(key)] if x[0] != key]
-        if group:
-            self._number[self._content(key)] = group
-        else:
-            del self._number[self._content(key)]
+        self._put(i, 0, bytes(KEY), 0)
         self.size -= 1
         return True
 
+    def dump(self) -> tuple[bytes, bytes, bytes]:
+        return self.marks.tobytes(), bytes(self.content), self.numbers.tobytes()
+
+    @classmethod
+    def load(cls, marks: bytes, content: bytes, numbers: bytes) -> "CuckooFilter":
+        out = cls.__new__(cls)
+        out.marks, out.content, out.numbers = array("H", marks), bytearray(content), array("q", numbers)
+        out.mask, out.resizes = len(out.marks) // SLOTS - 1, 0
+        out.size = sum(map(bool, out.marks))
+        return out
+
 
 def digest(text: str = "text"):
     """SHA-256 of the text in lower-case A-Z, as binary; null counts as empty."""
@@ -138,29 +153,40 @@ def text_digest(text: str | None) -> bytes:
     return hashlib.sha256((text or "").translate(str.maketrans(UPPER, LOWER)).encode()).digest()
 
 
-def _merge(batches):
-    """Merge rows of one digest that meet in one partition, through a cuckoo filter."""
-    seen, best, count, keys = CuckooFilter(), [], [], []
-    for batch in batches:
-        for key, doc, n in zip(batch["digest"].to_pylist(), batch["keep_id"].to_pylist(), batch["group_size"].to_pylist()):
-            if seen.insert(key):
-                keys.append(key), best.append(doc), count.append(n)
-            else:
-                i = seen.slot(key)
-                best[i] = doc if best[i] is None or (doc is not None and doc > best[i]) else best[i]
-                count[i] += n
-    for at in range(0, len(keys), 50_000):
-        to = at + 50_000
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at:to], pa.binary()), pa.array(best[at:to], pa.int64()), pa.array(count[at:to], pa.int64())], names=["digest", "keep_id", "group_size"])
+def _merge(most: int | None):
+    """Merge rows of one digest that meet in one partition, through a cuckoo filter; with `most` so many digests at a time."""
+
+    def run(batches):
+        seen, best, count, keys = CuckooFilter(), [], [], []
+
+        def flush():
+            for at in range(0, len(keys), 50_000):
+                to = at + 50_000
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at:to], pa.binary()), pa.array(best[at:to], pa.int64()), pa.array(count[at:to], pa.int64())], names=["digest", "keep_id", "group_size"])
+
+        for batch in batches:
+            for key, doc, n in zip(batch["digest"].to_pylist(), batch["keep_id"].to_pylist(), batch["group_size"].to_pylist()):
+                if seen.insert(key, len(keys)):
+                    keys.append(key), best.append(doc), count.append(n)
+                else:
+                    i = seen.numbers[seen.slot(key)]
+                    best[i] = doc if best[i] is None or (doc is not None and doc > best[i]) else best[i]
+                    count[i] += n
+            if most and len(keys) >= most:
+                yield from flush()
+                seen, best, count, keys = CuckooFilter(), [], [], []
+        yield from flush()
+
+    return run
 
 
 def groups(digests: DataFrame, rows: int) -> DataFrame:
     """(digest, keep_id, group_size) of every different digest in (doc_id, digest)."""
     schema = "digest binary, keep_id long, group_size long"
     one = digests.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    local = one.mapInArrow(_merge, schema)
+    local = one.mapInArrow(_merge(LOCAL_ROWS), schema)
     shards = max(digests.sparkSession.sparkContext.defaultParallelism, -(-rows // SHARD_ROWS))
-    return local.repartition(shards, "digest").mapInArrow(_merge, schema)
+    return local.repartition(shards, "digest").mapInArrow(_merge(None), schema)
 
 
 def attach(base: DataFrame, found: DataFrame, rows: int) -> DataFrame:
@@ -189,53 +215,79 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class CuckooIndex:
-    """A persistent digest index: one row per shard, each a list of (digest, live rows); filters are rebuilt per task.
+    """A persistent index of live digests: one row per shard with its cuckoo filter, as it is, and live rows as numbers.
 
     `insert` and `delete` take (doc_id, digest) rows and return a new index; a digest leaves the index when its last live
-    row is deleted.  `lookup` marks which digests are live.
+    row is deleted, and deleting what is not there changes nothing.  `lookup` marks which digests are live, by asking the
+    shards' filters and verifying hits.  Null digests are passed over, and are not live.  The number of shards follows that
+    of the digests: `insert` deals the index anew when shards outgrow SHARD_ROWS.
     """
 
-    def __init__(self, table: DataFrame, shards: int = 64):
+    SCHEMA = "shard int, marks binary, content binary, numbers binary, size long"
+
+    def __init__(self, table: DataFrame, shards: int):
         self.table, self.shards = table, shards
 
     @classmethod
-    def empty(cls, spark, shards: int = 64) -> "CuckooIndex":
-        return cls(spark.createDataFrame([], "shard int, digest binary, live long"), shards)
+    def empty(cls, spark, shards: int = 8) -> "CuckooIndex":
+        return cls(spark.createDataFrame([], cls.SCHEMA), shards)
 
-    def _delta(self, rows: DataFrame, sign: int) -> DataFrame:
-        shard = F.pmod(F.xxhash64("digest"), F.lit(self.shards)).cast("int")
-        return rows.groupBy("digest").agg((F.count("*") * sign).alias("live")).select(shard.alias("shard"), "digest", "live")
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(self.shards)).cast("int"))
 
-    def _apply(self, delta: DataFrame, change) -> "CuckooIndex":
-        schema = "shard int, digest binary, live long"
-        merged = self.table.groupBy("shard").cogroup(delta.groupBy("shard")).applyInArrow(change, schema)
+    def _apply(self, rows: DataFrame, sign: int) -> "CuckooIndex":
+        delta = rows.where("digest is not null").groupBy("digest").agg((F.count("*") * sign).alias("live"))
+        merged = self.table.groupBy("shard").cogroup(self._dealt(delta).groupBy("shard")).applyInArrow(_change, self.SCHEMA)
         return CuckooIndex(materialize(merged, "cuckoo"), self.shards)
 
+    def _resharded(self, shards: int) -> "CuckooIndex":
+        def items(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    found = _filter(row).items()
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], names=["digest", "live"])
+
+        new = CuckooIndex.empty(self.table.sparkSession, shards)
+        rows = self.table.mapInArrow(items, "digest binary, live long")
+        return CuckooIndex(materialize(new.table.groupBy("shard").cogroup(new._dealt(rows).groupBy("shard")).applyInArrow(_change, self.SCHEMA), "cuckoo"), shards)
+
     def insert(self, rows: DataFrame) -> "CuckooIndex":
-        return self._apply(self._delta(rows, 1), _change)
+        out = self._apply(rows, 1)
+        size = out.table.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        return out if size <= out.shards * SHARD_ROWS else out._resharded(-(-2 * size // SHARD_ROWS))
 
     def delete(self, rows: DataFrame) -> "CuckooIndex":
-        return self._apply(self._delta(rows, -1), _change)
+        return self._apply(rows, -1)
 
     def lookup(self, rows: DataFrame) -> DataFrame:
-        """doc_id, digest, live: whether a row with this digest is in the index."""
-        return rows.join(self.table.select("digest", F.lit(True).alias("hit")).hint("shuffle_hash"), "digest", "left").select("doc_id", "digest", F.coalesce("hit", F.lit(False)).alias("live"))
+        """doc_id, digest, live: whether a row with this digest is in the index.  Each digest is asked for once."""
+        asked = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
+
+        def ask(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            keys = right["digest"].to_pylist()
+            have = _filter(left.to_pylist()[0]) if left.num_rows else CuckooFilter(1)
+            return pa.table({"digest": pa.array(keys, pa.binary()), "n": right["n"], "live": pa.array([k in have for k in keys], pa.bool_())})
+
+        found = materialize(self.table.groupBy("shard").cogroup(self._dealt(asked).groupBy("shard")).applyInArrow(ask, "digest binary, n long, live boolean"), "lookup")
+        both = by_group(rows.where("digest is not null").select("doc_id", "digest"), found, "digest", "n", rows.count() // HEAVY).select("doc_id", "digest", "live")
+        return both.unionByName(rows.where("digest is null").select("doc_id", "digest", F.lit(False).alias("live")))
+
+
+def _filter(row: dict) -> CuckooFilter:
+    return CuckooFilter.load(row["marks"], row["content"], row["numbers"])
 
 
 def _change(left: pa.Table, right: pa.Table) -> pa.Table:
-    keys, live = left["digest"].to_pylist(), left["live"].to_pylist()
+    """A shard's filter after the changes of live rows."""
+    seen = _filter(left.to_pylist()[0]) if left.num_rows else CuckooFilter()
+    for key, n in zip(right["digest"].to_pylist(), right["live"].to_pylist()):
+        i = seen.slot(key)
+        if i < 0 and n > 0:
+            seen.insert(key, n)
+        elif i >= 0:
+            seen.numbers[i] += n
+            if seen.numbers[i] <= 0:
+                seen.delete(key)
     shard = (left["shard"].to_pylist() or right["shard"].to_pylist())[0]
-    seen = CuckooFilter(len(keys) // SLOTS + 1)
-    for k in keys:
-        seen.insert(k)
-    for k, n in zip(right["digest"].to_pylist(), right["live"].to_pylist()):
-        i = seen.slot(k)
-        if i >= 0:
-            live[i] += n
-            if live[i] <= 0:
-                seen.delete(k)
-        elif n > 0:
-            seen.insert(k)
-            keys.append(k), live.append(n)
-    keep = [i for i, n in enumerate(live) if n > 0]
-    return pa.table({"shard": pa.array([shard] * len(keep), pa.int32()), "digest": pa.array([keys[i] for i in keep], pa.binary()), "live": pa.array([live[i] for i in keep], pa.int64())})
+    parts = [pa.array([x], pa.binary()) for x in seen.dump()]
+    return pa.table([pa.array([shard], pa.int32()), *parts, pa.array([seen.size], pa.int64())], names=["shard", "marks", "content", "numbers", "size"])

@@ -271,8 +271,8 @@ class PieceBpe:
         if any(self.SPACE in p.lstrip(self.SPACE) for p in self.id_of):
             raise ValueError("the vocabulary has pieces that run over a space")
 
-    def count(self, texts: list[str | None], segments: SegmentStore) -> np.ndarray:
-        """Tokens of each text.  Pre-tokens are a run of spaces with what follows it, between breaks."""
+    def count(self, texts: list[str | None], segments: SegmentStore, whole: frozenset[str]) -> np.ndarray:
+        """Tokens of each text.  Pre-tokens are a run of spaces with what follows it, between breaks; those in `whole` are one."""
         texts = [" " + t.replace(self.SPACE, " ") if t else "" for t in texts]
         batch = Batch.of(texts)
         stop = self.breaks[batch.buffer]
@@ -288,7 +288,7 @@ class PieceBpe:
         def encode(some: list[bytes]) -> list[np.ndarray]:
             words = [x.decode("utf-8", "surrogatepass").replace(" ", self.SPACE) for x in some]
             counts = np.ones((len(words), 1), np.int32)
-            rest = [k for k, w in enumerate(words) if w not in self.whole_tokens]
+            rest = [k for k, w in enumerate(words) if w not in whole]
             counts[rest, 0] = self.merge_counts([words[k] for k in rest])
             return list(counts)
 
@@ -306,11 +306,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "d
     ordinary text.  Repeated rows are all returned; other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    PieceBpe.load(path).check_spaces()
+    proved = docs.sparkSession.sparkContext.broadcast(PieceBpe.load(path).whole_tokens)  # at most the vocabulary
 
     def count(texts, batch):
-        model = PieceBpe.load(path)
-        model.check_spaces()
-        tokens = model.count(texts, store(path))
+        tokens = PieceBpe.load(path).count(texts, store(path), proved.value)
         sizes = np.array([len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts], np.int64)
         return {"doc_id": batch.column("doc_id"), "n_bytes": sizes, "n_tokens": tokens, "over_limit": tokens > limit}
 

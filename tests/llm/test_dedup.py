@@ -17,12 +17,24 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def test_cuckoo_filter_inserts_deletes_and_grows():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(3000)]
     f = CuckooFilter(16)
-    assert all(f.insert(k) for k in keys) and not f.insert(keys[5])
-    assert f.resizes > 0 and len({f.slot(k) for k in keys}) == 3000
+    assert all(f.insert(k, n) for n, k in enumerate(keys)) and not f.insert(keys[5])
+    assert f.resizes > 0 and [f.numbers[f.slot(k)] for k in keys] == list(range(3000))
     assert all(f.delete(k) for k in keys[::2]) and not f.delete(keys[0])
     assert all((k in f) == (i % 2 == 1) for i, k in enumerate(keys))
-    assert all(f.may_contain(k) for k in keys[1::2])
+    assert all(f.may_contain(k) for k in keys[1::2]) and not all(f.may_contain(k) for k in keys[::2])
     assert f.insert(keys[0]) and keys[0] in f and f.size == 1501
+    g = CuckooFilter.load(*f.dump())
+    assert g.size == 1501 and sorted(g.items()) == sorted(f.items())
+
+
+def test_cuckoo_filter_verifies_false_positives():
+    """Keys with one fingerprint and one bucket are told apart by their content, and each can be deleted by itself."""
+    keys = [b"\x01\x02" + bytes(8) + bytes([k]) * 22 for k in range(1, 8)]
+    f = CuckooFilter(16)
+    assert all(f.insert(k, k[-1]) for k in keys) and all(f.numbers[f.slot(k)] == k[-1] for k in keys)
+    other = b"\x01\x02" + bytes(8) + b"x" * 22
+    assert f.may_contain(other) and other not in f and not f.delete(other)
+    assert f.delete(keys[3]) and keys[3] not in f and all(k in f for i, k in enumerate(keys) if i != 3)
 
 
 def test_exact_dedup_cases(spark):
@@ -51,6 +63,23 @@ def test_cuckoo_index(spark):
     assert index.insert(rows.where("doc_id = 3")).lookup(rows).where("live").count() == 50
 
 
+def test_cuckoo_index_cases(spark, monkeypatch):
+    from leadloom.llm import exact_dedup as module
+
+    monkeypatch.setattr(module, "SHARD_ROWS", 20)
+    digest = F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest")
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), digest)
+    null = spark.sql("select 7L as doc_id, cast(null as binary) as digest")
+    empty = CuckooIndex.empty(spark, 2)
+    assert empty.lookup(rows).where("live").count() == 0 and empty.delete(rows).lookup(rows).where("live").count() == 0
+    index = empty.insert(rows.union(null).union(rows.limit(0)))
+    assert index.shards > 2  # dealt anew
+    assert index.lookup(rows.union(null)).where("live").count() == 100 and index.lookup(null).count() == 1
+    index = index.insert(rows.where("doc_id < 10")).delete(rows.where("doc_id < 20")).delete(rows.where("doc_id < 5"))
+    assert sorted(r.doc_id for r in index.lookup(rows).where("not live").collect()) == [0, 1, 2, 3, 4, *range(10, 20)]
+    assert index.lookup(rows.limit(0)).count() == 0
+
+
 def bag(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
