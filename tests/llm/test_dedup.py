@@ -181,6 +181,9 @@ def test_near_dedup_cases(spark):
     out = sorted(((r.doc_id, r.class_id, r.kept) for r in minhash.near_dedup(df).collect()), key=str)
     assert out == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)], key=str)
     assert minhash.near_dedup(df.limit(0)).count() == 0
+    long = " ".join(f"w{k * 7919 % 5003}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long, "x"), (2, long + " end", "x"), (3, long[: len(long) // 2], "x"), (4, "", "x"), (5, None, "x")], "doc_id long, text string, bands string")
+    assert sorted((r.doc_id, r.class_id) for r in minhash.near_dedup(df).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
 
 
 @pytest.mark.parametrize("weights", [(3, 5), (1, 40), (7, 7)])

@@ -32,6 +32,34 @@ def test_quality_on_held_out_documents(spark):
     assert ((scored.score >= 0.3) == (scored.label == 1)).mean() > 0.9 and scored.score.between(0, 1).all()
 
 
+def test_quality_equals_a_direct_fit(spark):
+    """The distributed fit and its scores against one ridge solution and one isotonic map over all rows in memory."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels").select("doc_id", F.col("quality").alias("label"))
+    out = {r.doc_id: r.score for r in quality.quality_classifier(docs, labels, fold("doc_id", 5) != 0).collect()}
+    texts, mark = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.label for r in labels.collect()}
+    ids = sorted(texts)
+    x = dict(zip(ids, quality.statistics([texts[i] for i in ids])))
+    train = [i for i in ids if i in mark and not held(i, 5, 0)]
+    a, y = np.array([x[i] for i in train]), np.array([mark[i] for i in train], float)
+    rng = np.random.default_rng(quality.SEED)
+    turn = rng.normal(size=(a.shape[1], quality.FEATURES)) * np.sqrt(2 * quality.GAMMA)
+    shift = rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    mean, scale = a.mean(0), np.maximum(a.std(0), 1e-6)
+    features = lambda v: np.column_stack([np.cos(np.clip((v - mean) / scale, -8, 8) @ turn + shift) * np.sqrt(2 / quality.FEATURES), np.ones(len(v))])
+    f = features(a)
+    w = np.linalg.solve(f.T @ f + len(a) * quality.RIDGE * np.eye(f.shape[1]) / quality.FEATURES, f.T @ y)
+    cell = np.clip((f @ w + 1) / 3 * quality.BINS, 0, quality.BINS - 1).astype(int)
+    used = np.unique(cell)
+    knots = (used + 0.5) / quality.BINS * 3 - 1
+    level = [(y[cell == c].mean(), (cell == c).sum()) for c in used]
+    least = [max(min(sum(v * n for v, n in level[i : j + 1]) / sum(n for _, n in level[i : j + 1]) for j in range(k, len(level))) for i in range(k + 1)) for k in range(len(level))]
+    raw = features(np.array([x[i] for i in ids])) @ w
+    want = (1 - quality.TIES) * np.clip(np.interp(raw, knots, least), 0, 1) + quality.TIES / (1 + np.exp(-np.clip(raw, -30, 30)))
+    got = np.array([out[i] for i in ids])
+    assert np.mean(np.abs(got - want) < 1e-4) > 0.99  # a text at the edge of a bin may fall to either side
+    assert np.corrcoef(got, want)[0, 1] > 0.9999
+
+
 def test_quality_cases(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "a b " * 30_000, 5), (3, "x", 5)], "doc_id long, text string, label int")
     none = spark.createDataFrame([], "doc_id long, label int")
@@ -223,5 +251,9 @@ def test_kneser_ney_equals_brute_force(spark):
         assert (r.n_tokens, r.n_known, r.held_out) == (n, known, held(i, 7, 2))
         assert math.isclose(r.base_score, low, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-9)
     assert kneser_ney.score_documents(df.limit(0), F.lit(False)).count() == 0
+    long = spark.createDataFrame([(1, "a b c " * 300_000), (1, "a b c " * 300_000), (2, "a b x"), (None, "b c")], "doc_id long, text string")
+    rows = kneser_ney.score_documents(long, F.lit(False)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("1", 900_001), ("1", 900_001), ("2", 4), ("None", 3)]
+    assert len({r.score for r in rows if r.doc_id == 1}) == 1 and all(r.score < 0 for r in rows)
     nothing = kneser_ney.score_documents(df.where("doc_id >= 100000"), F.lit(True)).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in nothing)

@@ -225,3 +225,26 @@ def test_broken_pages_take_linear_time(page):
     began = time.time()
     html.main_text(page * (500_000 // len(page)))
     assert time.time() - began < 10
+
+
+def test_token_operators_on_repeated_null_and_empty_rows(spark):
+    piece, byte, word = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
+    long = "the quick brown fox " * 60_000
+    rows = [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x y"), (4, long)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n_bytes int, kind int")
+    counts = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in tokens.token_counts(df, piece).collect()), key=str)
+    assert len(counts) == 6 and counts[0] == counts[1] and {(2, 0, 0), (3, 0, 0)} <= set(counts) and any(i == 4 and n == len(long) for i, n, _ in counts)
+    trips = sorted(((r.doc_id, r.n_tokens, r.decoded_sha256) for r in tokens.bpe_round_trip(df, byte, P.PATTERN).collect()), key=str)
+    assert len(trips) == 6 and trips[0] == trips[1] and (4, trips[4][1], hashlib.sha256(long.encode()).hexdigest()) in trips
+    packed = packing.pack(df, word).toPandas()
+    assert (packed[packed.start == 0].groupby("doc_id", dropna=False).size().sort_index().tolist()) == [2, 1, 1, 1, 1]
+    assert packed[packed.doc_id == 4].length.sum() == packed[packed.doc_id == 4].doc_tokens.iloc[0]
+    for out in (tokens.token_counts(df.limit(0), piece), tokens.bpe_round_trip(df.limit(0), byte, P.PATTERN), packing.pack(df.limit(0), word)):
+        assert out.count() == 0
+
+
+def test_extraction_of_repeated_null_and_empty_pages(spark):
+    page = f"<article><p>{PROSE}</p></article>"
+    df = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 1), (2, None, None, 1), (None, "v", "", 1), (3, "w", "<p>a" * 100_000, 1)], "page_id long, url string, html string, n_chars int")
+    out = sorted(((r.page_id, r.url, r.text[:20], r.n_chars) for r in html.extract_main_text(df).collect()), key=str)
+    assert out[0] == out[1] == (1, "u", PROSE[:20], len(PROSE)) and (2, None, "", 0) in out and (None, "v", "", 0) in out and len(out) == 5
