@@ -32,7 +32,7 @@ from .hashing import Batch, combine
 
 END, BEGIN = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFB9E5D31)
 #: Tokens in a part, tokens for each bigram shard, and how many fewer word shards there are.
-PART_TOKENS, SHARD_TOKENS, FEWER = 1_200_000, 700_000, 8
+PART_TOKENS, SHARD_TOKENS, FEWER = 1_200_000, 2_800_000, 4
 #: Contexts with more than 1/HOT_WORDS of all tokens are dealt out by context and word.
 HOT_WORDS = 2000
 PARTS = "part long, doc_id array<long>, held array<boolean>, size array<int>, words binary, stream binary, tokens long"
@@ -345,14 +345,14 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     hot = hot_words(table, tokens)
     spread = lambda df, key, n: df.repartition(int(max(n, default)), key).groupBy(key)
     default = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(spread(bigram_requests(table, shards, hot), "shard", shards // 4).applyInArrow(merge_bigrams(hot, words_by), ANSWER), "bigrams")
+    found = materialize(spread(bigram_requests(table, shards, hot), "shard", shards).applyInArrow(merge_bigrams(hot, words_by), ANSWER), "bigrams")
     counts = found.where("kind = 'count'").agg(*[F.coalesce(F.sum(F.col("stat")[k]), F.lit(0)) for k in range(4)]).first()
     hot_rows = found.where("kind = 'hot'").groupBy("part").agg(*[F.sum(F.col("stat")[k]).alias(f"s{k}") for k in range(4)]).toArrow()
     hot_stats = np.zeros((len(hot), 4), np.int64)
     if hot_rows.num_rows:
         hot_stats[np.searchsorted(hot, hot_rows["part"].to_numpy().view(np.uint64))] = np.column_stack([hot_rows[f"s{k}"].to_numpy() for k in range(4)])
     asked = word_requests(table, words_by).unionByName(found.where("kind = 'follows'"))
-    words = materialize(spread(asked, "shard", words_by // 4).applyInArrow(merge_words, ANSWER), "words")
+    words = materialize(spread(asked, "shard", words_by).applyInArrow(merge_words, ANSWER), "words")
     s = words.where("kind = 'total'").agg(*[F.coalesce(F.sum(F.col("stat")[k]), F.lit(0)) for k in range(8)]).first()
     word_discounts = discounts(list(s[3:7]))
     rest = float(word_discounts[1:] @ [s[3], s[4], s[7]] / s[2]) if s[2] else 1.0
