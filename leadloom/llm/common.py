@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task holds as numpy arrays at a time; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Rows that Spark sends to a Python worker at a time, where the session has its default of 10,000: texts are long rows.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
 #: Rows of ids, 8 to 40 bytes each, that may be broadcast.
 SMALL_IDS = 500_000
 
@@ -76,6 +78,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             at = to
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to BATCH_ROWS rows an Arrow batch, unless it has a number of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def map_texts(df: DataFrame, text: str, schema: str, f: Callable, limit: int = CHUNK_BYTES) -> DataFrame:
     """mapInArrow with bounded chunks: f(texts, batch) returns a dict of columns in the order of `schema`."""
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
@@ -85,7 +93,9 @@ def map_texts(df: DataFrame, text: str, schema: str, f: Callable, limit: int = C
             out = f(batch.column(text).to_pylist(), batch)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([_arrow(out[n]) for n in names], names=names)
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -95,7 +105,9 @@ def filter_texts(df: DataFrame, text: str, keep: Callable, limit: int = CHUNK_BY
     def run(batches):
         for batch in chunks(batches, text, limit):
             yield batch.filter(pa.array(np.asarray(keep(batch.column(text).to_pylist()), bool)))
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

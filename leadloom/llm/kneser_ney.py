@@ -11,6 +11,9 @@ Rows between parts and shards: one for each pair of them that has a bigram in co
 bigrams of all parts, and in practice parts times shards.  Both sizes are parameters; a corpus that has many more than
 10,000 of each wants larger ones, so that a row still holds hundreds of bigrams.
 
+A word is told apart by 64 bits of its hash where words are counted, by 48 bits as a context within a shard and by 40 bits
+after a context, so one of about a million contexts of a million followers would hold one wrong count.
+
 Skew: counts are summed within parts before the shuffle, and bigrams of very frequent contexts - there can be HOT_WORDS at
 most - are dealt out by context and word; their context totals are added up from the shards and broadcast.
 """
@@ -39,22 +42,34 @@ PARTS = "part long, doc_id array<long>, held array<boolean>, size array<int>, wo
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    """Small integers, compressed byte by byte of their places."""
+    x = np.ascontiguousarray(x)
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    raw = np.frombuffer(zlib.decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(raw.T).view(kind).ravel()
+
+
+#: Bytes that tell contexts apart in a shard, and the words after one context.
+CONTEXT_BYTES, WORD_BYTES = 6, 5
+
+
+def _top(x: np.ndarray, size: int) -> np.ndarray:
+    """The upper bytes of hashes, as a number."""
+    return x >> np.uint64(64 - 8 * size)
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The upper 48 bits of hashes, six bytes each."""
-    return np.ascontiguousarray((x >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _narrow(x: np.ndarray, size: int) -> bytes:
+    """Numbers of `size` bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def _from_six(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(-1, 6)
+def _wide(b: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(b, np.uint8).reshape(-1, size)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
+    out[:, :size] = raw
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -63,7 +78,9 @@ def parts(docs: DataFrame) -> DataFrame:
 
     def flush(seq: int, ids, held, sizes, hashes) -> pa.RecordBatch:
         tokens = np.concatenate(hashes)
-        words, stream = np.unique(tokens, return_inverse=True)
+        words, stream, count = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-count, kind="stable")  # small numbers for frequent words
+        words, stream = words[order], np.argsort(order)[stream]
         part = (TaskContext.get().partitionId() << 24) + seq
         columns = [pa.array([part], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), pa.array([np.concatenate(sizes)], pa.list_(pa.int32()))]
         columns += [pa.array([words.tobytes()], pa.binary()), pa.array([_pack(stream.astype(np.int32))], pa.binary()), pa.array([len(stream)], pa.int64())]
@@ -121,12 +138,13 @@ class Part:
         n = len(self.words) + 1
         names = self.hashes()
         context, word = names[code // n], names[code % n]
-        mixed = np.where(np.isin(context, hot), combine(context, word), context)
+        mixed = np.where(np.isin(_top(context, CONTEXT_BYTES), hot), combine(context, word), context)
         return (combine(mixed, np.uint64(7)) % np.uint64(shards)).astype(np.int64)
 
 
 def word_shards(words: np.ndarray, shards: int) -> np.ndarray:
-    return (combine(words >> np.uint64(16), np.uint64(11)) % np.uint64(shards)).astype(np.int64)
+    """The shards of words, given as WORD_BYTES of their hashes."""
+    return (combine(words, np.uint64(11)) % np.uint64(shards)).astype(np.int64)
 
 
 def _rows(batches):
@@ -135,7 +153,7 @@ def _rows(batches):
 
 
 def hot_words(table: DataFrame, tokens: int) -> np.ndarray:
-    """Words with more than 1/HOT_WORDS of all training tokens, among those with as great a share of some part."""
+    """Contexts, as CONTEXT_BYTES, with more than 1/HOT_WORDS of all tokens, among those with as great a share of some part."""
 
     def run(batches):
         for row in _rows(batches):
@@ -145,7 +163,7 @@ def hot_words(table: DataFrame, tokens: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.words[often].view(np.int64)), pa.array(count[often], pa.int64())], names=["word", "n"])
 
     found = table.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_WORDS > tokens)
-    return np.sort(np.append(found.select("word").toArrow()["word"].to_numpy().view(np.uint64), BEGIN))
+    return np.unique(_top(np.append(found.select("word").toArrow()["word"].to_numpy().view(np.uint64), BEGIN), CONTEXT_BYTES))
 
 
 REQUEST = "shard long, part long, v binary, run binary, w binary, c binary"
@@ -165,7 +183,7 @@ def bigram_requests(table: DataFrame, shards: int, hot: np.ndarray) -> DataFrame
                 at = order[edge[s] : edge[s + 1]]
                 if len(at):
                     context, run_ = np.unique(code[at] // n, return_counts=True)
-                    columns = [[s], [row["part"]], [names[context].tobytes()], [run_.astype(np.uint32).tobytes()], [_six(names[code[at] % n])], [_pack(count[at].astype(np.uint32))]]
+                    columns = [[s], [row["part"]], [_narrow(_top(names[context], CONTEXT_BYTES), CONTEXT_BYTES)], [_pack(run_.astype(np.uint32))], [_narrow(_top(names[code[at] % n], WORD_BYTES), WORD_BYTES)], [_pack(count[at].astype(np.uint32))]]
                     yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["shard", "part", "v", "run", "w", "c"])
 
     return table.mapInArrow(run, REQUEST)
@@ -185,7 +203,7 @@ def merge_bigrams(hot: np.ndarray, words_by: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked = [(np.frombuffer(r["v"], np.uint64), np.frombuffer(r["run"], np.uint32), _from_six(r["w"])) for r in rows]
+        asked = [(_wide(r["v"], CONTEXT_BYTES), _unpack(r["run"], np.uint32), _wide(r["w"], WORD_BYTES)) for r in rows]
         v, w = np.concatenate([np.repeat(v, n) for v, n, _ in asked]), np.concatenate([w for _, _, w in asked])
         c = np.concatenate([_unpack(r["c"], np.uint32) for r in rows]).astype(np.int64)
         key = combine(v, w)
@@ -200,10 +218,10 @@ def merge_bigrams(hot: np.ndarray, words_by: int):
         out = []
         for row, (own, n, w) in zip(rows, asked):
             at = np.searchsorted(keys, combine(np.repeat(own, n), w))
-            out.append(("bigram", row["part"], row["shard"], _pack(counts[at]), _pack(stats[np.searchsorted(contexts, own)].astype(np.uint32)), None))
+            out.append(("bigram", row["part"], row["shard"], _pack(counts[at]), _pack(stats[np.searchsorted(contexts, own)].T.astype(np.uint32)), None))
         out.append(("count", None, None, None, None, [int((total == k).sum()) for k in (1, 2, 3, 4)]))
         words, follows = np.unique(sw[known], return_counts=True)
-        shard = word_shards(words << np.uint64(16), words_by)
+        shard = word_shards(words, words_by)
         for s in np.unique(shard).tolist():
             out.append(("follows", None, s, words[shard == s].tobytes(), _pack(follows[shard == s].astype(np.uint32)), None))
         for k in np.flatnonzero(np.isin(contexts, hot)).tolist():
@@ -218,7 +236,7 @@ def word_requests(table: DataFrame, shards: int) -> DataFrame:
         for row in _rows(batches):
             part = Part.of(row)
             count = np.bincount(part.stream[part.training()], minlength=len(part.words))
-            shard = word_shards(part.words, shards)
+            shard = word_shards(_top(part.words, WORD_BYTES), shards)
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(edge)).tolist():
@@ -243,8 +261,9 @@ def merge_words(table: pa.Table) -> pa.Table:
     if follows:
         fw, fat = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in follows]), return_inverse=True)
         n = np.bincount(fat, np.concatenate([_unpack(r["b"], np.uint32) for r in follows])).astype(np.int64)
-        place = np.minimum(np.searchsorted(fw, words >> np.uint64(16)), len(fw) - 1)
-        after = np.where(fw[place] == words >> np.uint64(16), n[place], 0)
+        short = _top(words, WORD_BYTES)
+        place = np.minimum(np.searchsorted(fw, short), len(fw) - 1)
+        after = np.where(fw[place] == short, n[place], 0)
     keys, counts, follow = mapped([words, count.astype(np.uint32), after.astype(np.uint32)])
     out = []
     for r in asks:
@@ -298,13 +317,13 @@ def score_part(part: Part, answers: list[dict], shards: int, words_by: int, hot:
         if r["kind"] == "bigram":
             mine = order[edge[r["shard"]] : edge[r["shard"] + 1]]
             pair_count[mine] = _unpack(r["a"], np.uint32)
-            stats[np.unique(context[mine])] = _unpack(r["b"], np.uint32).reshape(-1, 4)
-    names = part.hashes()
+            stats[np.unique(context[mine])] = _unpack(r["b"], np.uint32).reshape(4, -1).T
+    names = _top(part.hashes(), CONTEXT_BYTES)
     if len(hot):
         place = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
         is_hot = hot[place] == names
         stats[is_hot] = hot_stats[place[is_hot]]
-    word_shard = word_shards(part.words, words_by)
+    word_shard = word_shards(_top(part.words, WORD_BYTES), words_by)
     count, after = np.full(n - 1, -1, np.int64), np.zeros(n - 1, np.int64)
     for r in answers:
         if r["kind"] == "word":

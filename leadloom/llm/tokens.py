@@ -22,7 +22,7 @@ from .common import map_texts
 from .hashing import IS_SPACE, Batch, ranges_hash
 
 #: Distinct segments (32 bytes each) and ids (4 bytes) that a worker keeps; beyond that the store starts anew.
-CACHE_SEGMENTS, CACHE_IDS = 1_500_000, 16_000_000
+CACHE_SEGMENTS, CACHE_IDS = 800_000, 8_000_000
 
 
 # --- byte-level BPE -------------------------------------------------------------------------------------------------

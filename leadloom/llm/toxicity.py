@@ -321,7 +321,7 @@ def fit(rows: DataFrame, known: DataFrame) -> Machine | None:
 class ValueCache:
     """Decision values of distinct words in a worker, by their hash; bounded."""
 
-    def __init__(self, most: int = 1_500_000):
+    def __init__(self, most: int = 1_000_000):
         self.most = most
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
 
