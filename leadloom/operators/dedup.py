@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url
 
-#: Rows that one scan of components should have.
-SCAN_ROWS = 20_000
+#: Rows that one scan of components should have, and rounds before what is left is scanned by components.
+SCAN_ROWS, ROUNDS = 20_000, 40
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -85,8 +85,10 @@ def _labels(df: DataFrame, keys: list[str]) -> DataFrame:
     now, total = df.withColumn("component", F.col("seq")), None
     while True:
         for k in keys:
-            least = now.where(F.col(k) != "").groupBy(F.col(k).alias("__k")).agg(F.min("component").alias("__c"))
-            now = now.join(least, F.col(k) == F.col("__k"), "left").withColumn("component", F.least("component", F.coalesce("__c", "component"))).drop("__k", "__c")
+            keyed, blank = now.where(F.col(k) != ""), now.where(F.coalesce(k, F.lit("")) == "")
+            least = keyed.groupBy(F.col(k).alias("__k")).agg(F.min("component").alias("__c"))
+            keyed = keyed.join(least, F.col(k) == F.col("__k")).withColumn("component", F.least("component", "__c")).drop("__k", "__c")
+            now = keyed.unionByName(blank)
         now = now.checkpoint()
         before, total = total, now.select(F.sum(F.col("component").cast("decimal(38,0)"))).first()
         if before == total:
@@ -106,14 +108,17 @@ def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, scan_rows: int =
 
     A dropped row registers nothing.  Keys must be strings, '' for none.  A round keeps the rows that are the first
     undecided ones of all their keys, and drops the undecided rows that share a key with a kept one; no key's rows meet in
-    one task.  At most `scan_rows` rows that are still undecided are scanned one after another.
+    one task.  At most `scan_rows` rows that are still undecided are scanned one after another.  If there are more after
+    ROUNDS rounds, as in very long chains, each connected component is scanned by itself.
     """
     df.sparkSession.sparkContext.setCheckpointDir(scratch)
     has = [F.coalesce(k, F.lit("")) != "" for k in keys]
     bare = df.where(~F.coalesce(F.greatest(*has, F.lit(False)), F.lit(False)))
     left = df.select("seq", *keys).where(F.greatest(*has, F.lit(False))).checkpoint()
     kept = left.select("seq").limit(0)
-    while (n := left.count()) > scan_rows:
+    for _ in range(ROUNDS):
+        if (n := left.count()) <= scan_rows:
+            break
         pairs = [F.when(h, F.struct(F.lit(i).alias("kind"), F.col(k).alias("value"))) for i, (k, h) in enumerate(zip(keys, has))]
         pairs = left.select("seq", F.filter(F.array(*pairs), lambda x: x.isNotNull()).alias("all"))
         first = pairs.select("seq", F.size("all").alias("keys"), F.explode("all").alias("key"))
@@ -140,7 +145,11 @@ def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, scan_rows: int =
                         s.add(v)
         return pd.DataFrame({"seq": pdf["seq"][stays]})
 
-    rest = left.groupBy(F.lit(0).alias("all")).applyInPandas(scan, "seq long")
+    if left.count() > scan_rows:
+        labelled = _labels(left.select("seq", *[F.coalesce(k, F.lit("")).alias(k) for k in keys]), keys)
+        rest = labelled.groupBy(_bucket(labelled)).applyInPandas(scan, "seq long")
+    else:
+        rest = left.groupBy(F.lit(0).alias("all")).applyInPandas(scan, "seq long")
     return df.join(kept.union(rest), "seq", "left_semi").unionByName(bare)
 
 

@@ -140,7 +140,7 @@ def test_flatten_and_prune(spark):
     assert flatten.prune_empty(flat).columns == ["a_b", "a_c_d"]
 
 
-def test_long_chains_equal_the_scan(spark, tmp_path):
+def test_long_chains_equal_the_scan(spark, tmp_path, monkeypatch):
     """5,000 rows linked by phone and URL in turn, and the same for the sheet."""
     n = 5000
     rows = [(k, f"p{k // 2}", f"u{(k + 1) // 2}") for k in range(n)]
@@ -151,5 +151,7 @@ def test_long_chains_equal_the_scan(spark, tmp_path):
             seen |= {p, u}
     df = spark.createDataFrame(rows, "seq long, phone string, url string").repartition(4)
     assert sorted(r.seq for r in dedup.greedy_dedup(df, ["phone", "url"], str(tmp_path)).collect()) == want
+    monkeypatch.setattr(dedup, "ROUNDS", 2)
+    assert sorted(r.seq for r in dedup.greedy_dedup(df, ["phone", "url"], str(tmp_path), scan_rows=100).collect()) == want
     sheet = df.selectExpr("seq", "'' AS name", "phone", "url", "false AS sent")
     assert sorted(r.place for r in dedup.clean_sheet(sheet, str(tmp_path)).collect()) == want
