@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+from ..functions.urls import query_plus
+
 # Land-use tags that tell a place without or with people.
 EMPTY_LANDUSE = [
     "desert", "sand", "beach", "dune", "water", "sea", "ocean", "lake", "pond", "reservoir", "basin", "forest", "wood",
@@ -39,6 +42,24 @@ def leads_per_cell(km: Column) -> Column:
     return F.least(F.lit(120), F.bround(km * km * 8)).cast("long")
 
 
+def parse_bounds(c: Column) -> Column:
+    """north, south, east, west of a text "N,S,E,W"; raises for anything but four numbers with south < north and west < east.
+
+    A null text gives null.
+    """
+    parts = F.transform(F.split(c, ","), lambda x: strip(x).try_cast("double"))
+    wrong = lambda why: F.raise_error(F.concat(F.lit(f"bounds must be {why}, got: "), c)).cast("array<double>")
+    checked = F.when((F.size(parts) != 4) | F.exists(parts, lambda x: x.isNull()), wrong("four numbers")).otherwise(parts)
+    checked = F.when((checked[1] >= checked[0]) | (checked[3] >= checked[2]), wrong("north above south and east of west")).otherwise(checked)
+    return F.when(c.isNotNull(), F.struct(*[checked[i].alias(k) for i, k in enumerate(("north", "south", "east", "west"))]))
+
+
+def grid_search_url(query: Column, root: str) -> Column:
+    """The search of a query at the place and zoom of a cell (lat, lng, zoom)."""
+    at = F.concat_ws(",", F.col("lat").cast("string"), F.col("lng").cast("string"), F.concat(F.col("zoom").cast("string"), F.lit("z")))
+    return F.concat(F.lit(root.rstrip("/") + "/"), query_plus(query), F.lit("/@"), at)
+
+
 def box_metrics(df: DataFrame) -> DataFrame:
     """north, south, east, west with center_lat, center_lng, height_km, width_km."""
     lat = (F.col("north") + F.col("south")) / 2

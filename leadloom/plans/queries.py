@@ -314,8 +314,7 @@ def _(df):
 @on_leads("parse_bounds", "SELECT seq, latitude + 1 AS north, latitude - 1 AS south, longitude + 1 AS east, longitude - 1 AS west FROM leads")
 def _(df):
     shown = F.concat_ws(" , ", *[(F.col(c) + v).cast("string") for c, v in (("latitude", 1), ("latitude", -1), ("longitude", 1), ("longitude", -1))])
-    part = lambda i: text.strip(F.get(F.split(shown, ","), F.lit(i))).try_cast("double")
-    return df.select("seq", *[part(i).alias(c) for i, c in enumerate(("north", "south", "east", "west"))])
+    return df.select("seq", geo.parse_bounds(shown).alias("b")).select("seq", "b.*")
 
 
 SCAN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"

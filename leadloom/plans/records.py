@@ -129,6 +129,11 @@ def _(spark, d):
     return geo.grid_shape(geo.grid_cells(boxes(spark, d), 2.0), "id")
 
 
+@query("grid_search_urls", f"WITH {CELLS_SQL} SELECT id, cell_id, 'https://maps.example.com/search/bars+%26+cafes+in+' || id || '/@' || lat || ',' || lng || ',14z' AS url FROM cells")
+def _(spark, d):
+    return geo.grid_cells(boxes(spark, d), 2.0).select("id", "cell_id", geo.grid_search_url(F.concat(F.lit("bars & cafes in "), "id"), "https://maps.example.com/search").alias("url"))
+
+
 @query("mark_cells", f"WITH {MARKED_SQL} SELECT id, cell_id, (is_scraped OR n % 4 = 0 OR n % 6 = 1) AS is_scraped, (is_empty OR n % 6 = 1) AS is_empty, CASE WHEN n % 4 = 0 THEN n % 9 ELSE result_count END AS result_count FROM marked")
 def _(spark, d):
     cells = marked_cells(spark, d)

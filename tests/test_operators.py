@@ -155,3 +155,11 @@ def test_long_chains_equal_the_scan(spark, tmp_path, monkeypatch):
     assert sorted(r.seq for r in dedup.greedy_dedup(df, ["phone", "url"], str(tmp_path), scan_rows=100).collect()) == want
     sheet = df.selectExpr("seq", "'' AS name", "phone", "url", "false AS sent")
     assert sorted(r.place for r in dedup.clean_sheet(sheet, str(tmp_path)).collect()) == want
+
+
+@pytest.mark.parametrize("text", ["1,2,3", "a,b,c,d", "1,2,4,3", "2,1,3,4", "1,0,2,1,5", ""])
+def test_bad_bounds_raise(spark, text):
+    df = spark.createDataFrame([(text,), (None,)], "t string")
+    with pytest.raises(Exception, match="bounds must be"):
+        df.select(geo.parse_bounds(F.col("t")).alias("b")).collect()
+    assert df.where("t is null").select(geo.parse_bounds(F.col("t")).alias("b")).first().b is None
