@@ -7,9 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url
+from .linking import components, key_edges, label
+from .ordered import running
+from .skew import unique_join
 
-#: Rows that one scan of components should have, and rounds before what is left is scanned by components.
-SCAN_ROWS, ROUNDS = 20_000, 40
+#: Rows that one scan of components should have, and rounds before what is left is scanned by components; that comes sooner
+#: where a round decides less than 1/FEW of the rows, as in long chains whose rows depend each on the one before.
+SCAN_ROWS, ROUNDS, FEW = 20_000, 40, 20
 
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -77,25 +81,8 @@ def secondary_duplicates(df: DataFrame, most: int = 3) -> DataFrame:
 
 
 def _labels(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with `component`: the least `seq` of the rows that share keys, over chains of keys.
-
-    Labels only fall, so the rounds end.  Each round also takes the label of the row that a label names, so that a chain of
-    rows needs far fewer rounds than it has links.
-    """
-    now, total = df.withColumn("component", F.col("seq")), None
-    while True:
-        for k in keys:
-            keyed, blank = now.where(F.col(k) != ""), now.where(F.coalesce(k, F.lit("")) == "")
-            least = keyed.groupBy(F.col(k).alias("__k")).agg(F.min("component").alias("__c"))
-            keyed = keyed.join(least, F.col(k) == F.col("__k")).withColumn("component", F.least("component", "__c")).drop("__k", "__c")
-            now = keyed.unionByName(blank)
-        now = now.checkpoint()
-        before, total = total, now.select(F.sum(F.col("component").cast("decimal(38,0)"))).first()
-        if before == total:
-            return now
-        of = now.groupBy(F.col("seq").alias("__k")).agg(F.min("component").alias("__c"))
-        of = of.join(now.select(F.col("component").alias("__k")).distinct(), "__k", "left_semi")
-        now = now.join(of, F.col("component") == F.col("__k"), "left").withColumn("component", F.least("component", "__c")).drop("__k", "__c")
+    """df with `component`: the least `seq` of the rows that share keys, over chains of keys."""
+    return label(df, keys)
 
 
 def _bucket(labelled: DataFrame) -> Column:
@@ -109,16 +96,18 @@ def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, scan_rows: int =
     A dropped row registers nothing.  Keys must be strings, '' for none.  A round keeps the rows that are the first
     undecided ones of all their keys, and drops the undecided rows that share a key with a kept one; no key's rows meet in
     one task.  At most `scan_rows` rows that are still undecided are scanned one after another.  If there are more after
-    ROUNDS rounds, as in very long chains, each connected component is scanned by itself.
+    ROUNDS rounds, or when rounds decide few rows, as in very long chains, each connected component is scanned by itself.
     """
     df.sparkSession.sparkContext.setCheckpointDir(scratch)
     has = [F.coalesce(k, F.lit("")) != "" for k in keys]
     bare = df.where(~F.coalesce(F.greatest(*has, F.lit(False)), F.lit(False)))
     left = df.select("seq", *keys).where(F.greatest(*has, F.lit(False))).checkpoint()
     kept = left.select("seq").limit(0)
+    before = None
     for _ in range(ROUNDS):
-        if (n := left.count()) <= scan_rows:
+        if (n := left.count()) <= scan_rows or before and (before - n) * FEW < before:
             break
+        before = n
         pairs = [F.when(h, F.struct(F.lit(i).alias("kind"), F.col(k).alias("value"))) for i, (k, h) in enumerate(zip(keys, has))]
         pairs = left.select("seq", F.filter(F.array(*pairs), lambda x: x.isNotNull()).alias("all"))
         first = pairs.select("seq", F.size("all").alias("keys"), F.explode("all").alias("key"))
@@ -153,41 +142,89 @@ def greedy_dedup(df: DataFrame, keys: list[str], scratch: str, scan_rows: int =
     return df.join(kept.union(rest), "seq", "left_semi").unionByName(bare)
 
 
-def clean_sheet(df: DataFrame, scratch: str) -> DataFrame:
+KINDS = ("url", "phone", "name")
+
+
+def clean_sheet(df: DataFrame, scratch: str, scan_rows: int = SCAN_ROWS) -> DataFrame:
     """Greedy dedup by url, phone, and name where both are missing; a later SENT duplicate takes the place of the kept row.
 
     Columns: seq, name, phone, url (strings, '' for none), sent.  Returns place (the seq of the place in the result) and
     seq (the row that stands there).  Replaced rows' keys stay registered, new ones are not, and a replacement also
-    matches on the name alone.
+    matches on the name alone; of several places the first is taken.
+
+    Rows with a url or phone are deduplicated by these alone, since only rows without both ask for names; of the latter the
+    first of a name stays if no kept row before it has that name.  Then `_replace` follows the SENT duplicates.
     """
     df.sparkSession.sparkContext.setCheckpointDir(scratch)
-    labelled = _labels(df.select("seq", "name", "phone", "url", "sent"), ["url", "phone", "name"])
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        seen_url, seen_phone, seen_name, rows = set(), set(), set(), []
-        where: dict[tuple[str, str], set[int]] = {}  # places by the keys of the row that stands there now
-
-        def register(i: int, row, add: bool) -> None:
-            for kind, v in (("url", row.url), ("phone", row.phone), ("name", row.name)):
-                if v:
-                    (where.setdefault((kind, v), set()).add if add else where[kind, v].discard)(i)
-
-        for row in pdf.itertuples(index=False):
-            dup = row.url in seen_url if row.url and row.url in seen_url else row.phone in seen_phone if row.phone and row.phone in seen_phone else not row.phone and not row.url and row.name in seen_name
-            if dup:
-                hits = [i for kind, v in (("url", row.url), ("phone", row.phone), ("name", row.name)) if v for i in where.get((kind, v), ())]
-                if row.sent and hits:
-                    i = min(hits)
-                    register(i, rows[i][1], False)
-                    rows[i] = (rows[i][0], row)
-                    register(i, row, True)
-                continue
-            rows.append((row.seq, row))
-            register(len(rows) - 1, row, True)
-            for v, s in ((row.phone, seen_phone), (row.url, seen_url), (row.name, seen_name)):
-                if v:
-                    s.add(v)
-        return pd.DataFrame({"place": [p for p, _ in rows], "seq": [r.seq for _, r in rows]}, dtype="int64")
-
-    return labelled.groupBy(_bucket(labelled)).applyInPandas(scan, "place long, seq long")
+    rows = df.select("seq", *[F.coalesce(k, F.lit("")).alias(k) for k in KINDS], F.coalesce("sent", F.lit(False)).alias("sent")).checkpoint()
+    keyed = (F.col("url") != "") | (F.col("phone") != "")
+    kept = greedy_dedup(rows.where(keyed), ["url", "phone"], scratch, scan_rows).checkpoint()
+    names = kept.where("name <> ''").groupBy("name").agg(F.min("seq").alias("__before"))
+    first = rows.where(~keyed & (F.col("name") != "")).groupBy("name").agg(F.min("seq").alias("seq"))
+    first = first.join(names, "name", "left").where("__before is null or seq < __before").select("seq")
+    bare = rows.where(~keyed).join(first, "seq", "left_semi").unionByName(rows.where(~keyed & (F.col("name") == "")))
+    places = kept.unionByName(bare).select("seq", *KINDS).checkpoint()
+    sent = rows.where("sent").join(places, "seq", "left_anti").select("seq", *KINDS).checkpoint()
+    return _replace(places, sent, scan_rows)
+
+
+def _replace(places: DataFrame, sent: DataFrame, scan_rows: int) -> DataFrame:
+    """(place, seq): what stands in each of the places after each row of `sent`, in order, has replaced the row at the first
+    place that shares a key with it; both have seq, url, phone and name.
+
+    A row that stands somewhere goes when the next row of `sent` that shares a key with it comes, unless an earlier place
+    takes that one.  So for the first place of each connected component the pointers from row to next row are its history,
+    followed to the end by pointer doubling.  A round settles these places and takes out the rows they took; what is left
+    falls into smaller components.  A key links rows up to the last row of `sent` that has it only.  The last `scan_rows`
+    rows are replayed in one task; components of many places that compete for the same rows settle one place a round, so when
+    rounds settle few rows each component is replayed by itself.
+    """
+    before = None
+    done = places.select(F.col("seq").alias("place"), "seq").limit(0)
+    while True:
+        if sent.isEmpty():
+            return done.unionByName(places.select(F.col("seq").alias("place"), "seq"))
+        nodes = places.withColumn("asks", F.lit(False)).unionByName(sent.withColumn("asks", F.lit(True)))
+        keys = F.array(*[F.when(F.col(k) != "", F.concat(F.lit(k + ":"), k)) for k in KINDS])
+        lists = nodes.select("seq", "asks", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
+        last = lists.where("asks").groupBy("key").agg(F.max("seq").alias("__last"))
+        lists = unique_join(lists, last, "key").where("seq <= __last").drop("__last").checkpoint()
+        label_ = components(key_edges(lists, "key", "seq")).checkpoint()
+        linked = nodes.join(label_.withColumnRenamed("node", "seq"), "seq")
+        heads = linked.groupBy("component").agg(F.min(F.when(~F.col("asks"), F.col("seq"))).alias("place")).where("place is not null").checkpoint()
+        linked = unique_join(linked, heads, "component").checkpoint()  # components without a place drop out: nothing is there to replace
+        alone = places.join(linked, "seq", "left_anti").select(F.col("seq").alias("place"), "seq")
+        done = done.unionByName(alone).checkpoint()
+        some = linked.select("seq", *KINDS, "asks")
+        n = linked.count()
+        if n <= scan_rows or before and (before - n) * FEW < before:
+            bucket = F.lit(0).alias("bucket") if n <= scan_rows else _bucket(linked)
+            return done.unionByName(linked.select(*some.columns, bucket).groupBy("bucket").applyInPandas(_replay, "place long, seq long"))
+        before = n
+        chain = lists.join(linked.where(F.col("asks") | (F.col("seq") == F.col("place"))).select("seq"), "seq", "left_semi")
+        after = running(chain, "key", "seq", "asks", descending=True).where("last is not null").groupBy("seq").agg(F.min("last").alias("next"))
+        jump = after.checkpoint()
+        path = heads.select("place", F.col("place").alias("seq"))
+        while not jump.isEmpty():
+            path = path.unionByName(path.join(jump, "seq").select("place", F.col("next").alias("seq"))).checkpoint()
+            jump = jump.join(jump.select(F.col("seq").alias("next"), F.col("next").alias("__n")), "next").select("seq", F.col("__n").alias("next")).checkpoint()
+        done = done.unionByName(path.groupBy("place").agg(F.max("seq").alias("seq"))).checkpoint()
+        left = some.join(path.select("seq"), "seq", "left_anti").checkpoint()
+        places, sent = (left.where(F.col("asks") == asks).drop("asks") for asks in (False, True))
+
+
+def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(place, seq) after one row of `asks` after another: a bounded number of rows."""
+    where: dict[tuple[str, str], set[int]] = {}  # places by the keys of the row that stands there now
+    stands: dict[int, tuple] = {}
+    for row in pdf.sort_values("seq").itertuples(index=False):
+        own = [(k, v) for k in KINDS if (v := getattr(row, k))]
+        place = min((p for key in own for p in where.get(key, ())), default=None) if row.asks else row.seq
+        if place is None:
+            continue
+        for key in stands.get(place, (None, ()))[1]:
+            where[key].discard(place)
+        for key in own:
+            where.setdefault(key, set()).add(place)
+        stands[place] = (row.seq, own)
+    return pd.DataFrame({"place": list(stands), "seq": [s for s, _ in stands.values()]}, dtype="int64")

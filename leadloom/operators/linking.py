@@ -40,6 +40,20 @@ def components(edges: DataFrame) -> DataFrame:
     return unique_join(labels, least, "to").select("node", "component")
 
 
+def key_edges(rows: DataFrame, key: str, seq: str) -> DataFrame:
+    """(a, b): each row of rows(seq, key) with the first row of its key, a star of edges for each key; null keys link nothing."""
+    side = rows.select(F.col(seq).alias("b"), F.col(key).alias("__k"))
+    first = side.groupBy("__k").agg(F.min("b").alias("a"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return unique_join(side, first, "__k").where("a <> b").select("a", "b")
+
+
+def label(df: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """`link` without setting the folder for checkpoints."""
+    edges = [key_edges(df.where(filled(k)).select(seq, F.col(k).cast("string").alias("__key")), "__key", seq) for k in keys]
+    labels = components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias(seq), "component")
+    return df.join(labels, seq, "left").withColumn("component", F.coalesce("component", F.col(seq)))
+
+
 def link(df: DataFrame, keys: list[str], scratch: str, seq: str = "seq") -> DataFrame:
     """df with `component`: the least `seq` of the rows that it is linked with, over chains of equal values of any key.
 
@@ -47,14 +61,7 @@ def link(df: DataFrame, keys: list[str], scratch: str, seq: str = "seq") -> Data
     a third of all rows share is a star of edges, reduced within partitions.
     """
     df.sparkSession.sparkContext.setCheckpointDir(scratch)
-    edges = None
-    for k in keys:
-        side = df.where(filled(k)).select(F.col(seq).alias("b"), F.col(k).cast("string").alias("__k"))
-        least = side.groupBy("__k").agg(F.min("b").alias("a"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-        found = unique_join(side, least, "__k").where("a <> b").select("a", "b")
-        edges = found if edges is None else edges.unionByName(found)
-    labels = components(edges).select(F.col("node").alias(seq), "component")
-    return df.join(labels, seq, "left").withColumn("component", F.coalesce("component", F.col(seq)))
+    return label(df, keys, seq)
 
 
 def _winner(rule: str, field: str, rank: Column, order: Column, seq: Column) -> Column:

@@ -213,6 +213,21 @@ def _(df):
     return dedup.clean_sheet(sheet, scratch(df.sparkSession))
 
 
+ORACLE_SQL["clean_sheet_dedup"] = f"""
+    WITH RECURSIVE {LEADS},
+    l AS (SELECT seq, row_number() OVER (ORDER BY seq) AS rn, business_name AS n, coalesce(phone, '') AS p, regexp_replace(regexp_replace(maps_url, '[?#].*$', ''), '/+$', '') AS u, contains(status, 'SENT') AS sent FROM leads),
+    g AS (
+        SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS ns, CAST([] AS VARCHAR[]) AS ps, CAST([] AS VARCHAR[]) AS us, CAST([] AS STRUCT(place BIGINT, seq BIGINT, n VARCHAR, p VARCHAR, u VARCHAR)[]) AS rows
+        UNION ALL
+        SELECT rn, CASE WHEN d OR n = '' THEN ns ELSE list_append(ns, n) END, CASE WHEN d OR p = '' THEN ps ELSE list_append(ps, p) END, CASE WHEN d OR u = '' THEN us ELSE list_append(us, u) END,
+            CASE WHEN NOT d THEN list_append(rows, {{place: seq, seq: seq, n: n, p: p, u: u}})
+                WHEN sent AND i IS NOT NULL THEN list_concat(list_concat(rows[:i - 1], [{{place: rows[i].place, seq: seq, n: n, p: p, u: u}}]), rows[i + 1:]) ELSE rows END
+        FROM (SELECT l.*, g.ns, g.ps, g.us, g.rows, (u <> '' AND list_contains(us, u)) OR (p <> '' AND list_contains(ps, p)) OR (p = '' AND u = '' AND n <> '' AND list_contains(ns, n)) AS d,
+                list_position([(u <> '' AND r.u = u) OR (p <> '' AND r.p = p) OR (n <> '' AND r.n = n) FOR r IN rows], true) AS i
+            FROM g JOIN l ON l.rn = g.rn + 1))
+    SELECT r.place, r.seq FROM (SELECT unnest(rows) AS r FROM g WHERE rn = (SELECT count(*) FROM l))"""
+
+
 @query("train_test_membership", "SELECT o_orderkey, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS in_test FROM orders")
 def _(spark, d):
     rich = read(spark, d, "customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"))
