@@ -13,12 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import scratch
+
 #: Bits of a row's place within its partition in the numbers that Spark gives to rows.
 PLACE_BITS = 33
 
 
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
     """df sorted over range partitions and checkpointed, with __pid, the partition, and __at, the row's place there from 0."""
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(scratch(df.sparkSession))
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     rows = rows.checkpoint()
     place = F.col("__id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked, running
+from .skew import unique_join
+
 
 def metric_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """mean, sample deviation (0 for one value), minimum and maximum of each group, to four places."""
@@ -40,26 +43,55 @@ def run_delta(summary: DataFrame) -> DataFrame:
     return both.select("metric", shown.alias("delta"))
 
 
+EXPECTATION = "array<struct<text:string,passed:boolean,evidence:string>>"
+GRADING = f"summary struct<pass_rate:double,passed:long,failed:long,total:long>, timing struct<total_duration_seconds:double>, execution_metrics struct<total_tool_calls:long,output_chars:long,errors_encountered:long>, expectations {EXPECTATION}, user_notes_summary struct<uncertainties:array<string>,needs_review:array<string>,workarounds:array<string>>"
+
+
+def run_files(files: DataFrame) -> DataFrame:
+    """(path, grading, timing, metadata) of each graded run of files(path, content), as `run_results` takes them.
+
+    Paths end in eval-<name>/eval_metadata.json and eval-<name>/<config>/run-<n>/grading.json or timing.json; others are not
+    read.  `eval_index` is the running number of the run's eval folder by name, for folders that give no number themselves.
+    """
+    folder = F.regexp_extract("path", r"^(.*/)?(eval-[^/]*)/", 2)
+    file = F.regexp_extract("path", r"([^/]+)$", 1)
+    rows = files.select("path", "content", folder.alias("__eval"), file.alias("__file")).where("__eval <> ''")
+    here = lambda name: rows.where(F.col("__file") == name)
+    run = F.regexp_extract("path", r"^(.*eval-[^/]*/[^/]+/run-[^/]*)/[^/]+$", 1)
+    graded = here("grading.json").select("path", "__eval", run.alias("__run"), F.col("content").alias("grading")).where("__run <> ''")
+    timing = here("timing.json").select(run.alias("__run"), F.col("content").alias("timing")).where("__run <> ''")
+    about = here("eval_metadata.json").where(F.col("path").rlike(r"eval-[^/]*/eval_metadata\.json$")).select("__eval", F.col("content").alias("metadata"))
+    evals = ranked(rows.select("__eval").distinct(), "__eval", name="eval_index")
+    joined = graded.join(timing, "__run", "left").join(about, "__eval", "left").join(evals, "__eval", "left")
+    return joined.select("path", "grading", "timing", "metadata", "eval_index")
+
+
 def run_results(graded: DataFrame) -> DataFrame:
     """Flat rows of graded(path, grading, timing): the JSON texts of a run's grading and timing files; timing may be null.
 
     The path ends in eval-<id>/<config>/run-<n>/<file>.  Rows whose grading is no JSON object are dropped.  The time is that
     of the grading, else that of the timing file, whose tokens count only then; tokens of 0 give way to the characters put out.
+    Where graded has `metadata` and `eval_index`, the eval's id is that of a metadata file that can be read, without one the
+    index; without a metadata file it is the number in the folder's name, and the index where that has none.
     """
-    g, t = "summary struct<pass_rate:double,passed:long,failed:long,total:long>, timing struct<total_duration_seconds:double>, execution_metrics struct<total_tool_calls:long,output_chars:long,errors_encountered:long>, user_notes_summary struct<uncertainties:array<string>,needs_review:array<string>,workarounds:array<string>>", "total_duration_seconds double, total_tokens long"
     rows = graded.where(F.try_parse_json("grading").isNotNull() & F.trim("grading").startswith("{"))
-    rows = rows.select("path", F.from_json("grading", g).alias("g"), F.from_json("timing", t).alias("t"))
+    more = [c for c in ("metadata", "eval_index") if c in graded.columns]
+    rows = rows.select("path", F.from_json("grading", GRADING).alias("g"), F.from_json("timing", "total_duration_seconds double, total_tokens long").alias("t"), *more)
     part = lambda pattern: F.regexp_extract("path", pattern, 1)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     own = zero("g.timing.total_duration_seconds")
     tokens = F.nullif(F.when(own == 0, F.col("t.total_tokens")), F.lit(0).cast("long"))
     none = F.array().cast("array<string>")
+    number = part(r"eval-(\d+)(?:-[^/]*)?/").try_cast("long") if more else part(r"eval-(\d+)/").try_cast("long")
+    if more:
+        said = F.try_variant_get(F.try_parse_json("metadata"), "$.eval_id", "long")
+        number = F.when(F.col("metadata").isNotNull(), F.coalesce(said, "eval_index")).otherwise(F.coalesce(number, "eval_index"))
     return rows.select(
-        part(r"eval-(\d+)/").cast("long").alias("eval_id"), part(r"eval-[^/]*/([^/]+)/run-").alias("config"), part(r"/run-(\d+)/").cast("int").alias("run_number"),
+        number.alias("eval_id"), part(r"eval-[^/]*/([^/]+)/run-").alias("config"), part(r"/run-(\d+)").try_cast("int").alias("run_number"),
         F.coalesce("g.summary.pass_rate", F.lit(0.0)).alias("pass_rate"), *[zero(f"g.summary.{c}").alias(c) for c in ("passed", "failed", "total")],
         F.when(own == 0, F.coalesce("t.total_duration_seconds", F.lit(0.0))).otherwise(own).alias("time_seconds"),
         F.coalesce(tokens, zero("g.execution_metrics.output_chars")).alias("tokens"), zero("g.execution_metrics.total_tool_calls").alias("tool_calls"),
-        zero("g.execution_metrics.errors_encountered").alias("errors"),
+        zero("g.execution_metrics.errors_encountered").alias("errors"), F.coalesce("g.expectations", F.array().cast(EXPECTATION)).alias("expectations"),
         F.concat(*[F.coalesce(f"g.user_notes_summary.{c}", none) for c in ("uncertainties", "needs_review", "workarounds")]).alias("notes"),
     )
 
@@ -86,18 +118,11 @@ def filter_stats(checks: DataFrame, *by: str, seconds: int = 30) -> DataFrame:
 
 
 def preview(checks: DataFrame, order: str, sample: int) -> DataFrame:
-    """sampled, empty and estimated_empty from a systematic sample of `sample` rows at most: every step-th row by `order`.
-
-    Rows are numbered within ranges of `order` whose counts are added up, so no window runs over the whole table.
-    """
+    """sampled, empty and estimated_empty from a systematic sample of `sample` rows at most: every step-th row by `order`."""
     n = checks.count()
     step = max(1, n // sample) if sample else 1
-    cut = checks.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01) if n else []
-    bucket = sum([(F.col(order) > c).cast("int") for c in sorted(set(cut))], F.lit(0))
-    ranged = checks.withColumn("__b", bucket)
-    sizes = ranged.groupBy("__b").agg(F.count("*").alias("__c")).withColumn("__o", F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"))
-    at = F.col("__o") + F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
-    some = ranged.join(F.broadcast(sizes), "__b").withColumn("__i", at).where((F.col("__i") % step == 0) & (F.col("__i") / step < sample))
+    at = F.col("__i")
+    some = ranked(checks, order, name="__i").where((at % step == 0) & (at / step < sample))
     empty = F.count_if(~F.col("is_populated"))
     rate = F.coalesce(empty / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0))
     return some.agg(F.count("*").alias("sampled"), empty.alias("empty"), F.floor(rate * n).cast("long").alias("estimated_empty"))
@@ -132,17 +157,14 @@ def best(df: DataFrame, by: list[str], score: str, order: str) -> DataFrame:
 def stratified_split(df: DataFrame, label: str, id_: str, holdout: float, seed: int = 42) -> DataFrame:
     """df with `test`: of each stratum the rows of least hash, one at least, int(n * holdout) of them.
 
-    Rows are ranked within (stratum, hash range), so that a stratum of any size is dealt over tasks; ranges before a row's
-    own are added up from counts.
+    Rows are ranked over the whole table by stratum and hash, so that a stratum of any size is dealt over tasks; a row's rank
+    in its stratum is that less the stratum's least.  A null label is a stratum.
     """
-    ranges = 256
-    hashed = df.withColumn("__h", F.xxhash64(F.col(id_), F.lit(seed))).withColumn("__r", F.shiftrightunsigned("__h", 56))
-    counts = hashed.groupBy(label, "__r").agg(F.count("*").alias("__c"))
-    running = Window.partitionBy(label).orderBy("__r")
-    offsets = counts.select(label, "__r", (F.sum("__c").over(running.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).alias("__o"), F.sum("__c").over(Window.partitionBy(label)).alias("__n"))
-    assert ranges == 256
-    ranked = hashed.join(offsets, [label, "__r"]).withColumn("__k", F.col("__o") + F.row_number().over(Window.partitionBy(label, "__r").orderBy("__h", id_)))
-    return ranked.withColumn("test", F.col("__k") <= F.greatest(F.lit(1), F.floor(F.col("__n") * holdout))).drop("__h", "__r", "__o", "__n", "__k")
+    hashed = df.withColumns({"__h": F.xxhash64(F.col(id_), F.lit(seed)), "__label": F.concat(F.col(label).isNull().cast("string"), F.coalesce(F.col(label).cast("string"), F.lit("")))})
+    rows = ranked(hashed, "__label", "__h", id_, name="__k")
+    strata = rows.groupBy("__label").agg(F.min("__k").alias("__o"), F.count("*").alias("__n"))
+    test = F.col("__k") - F.col("__o") < F.greatest(F.lit(1), F.floor(F.col("__n") * holdout))
+    return unique_join(rows, strata, "__label").withColumn("test", test).drop("__h", "__label", "__o", "__n", "__k")
 
 
 def column_widths(df: DataFrame) -> DataFrame:
@@ -153,8 +175,12 @@ def column_widths(df: DataFrame) -> DataFrame:
 
 
 def streak_stop(df: DataFrame, by: str, order: str, new: str, limit: int) -> DataFrame:
-    """Per group the first `order` at which `limit` events in a row brought nothing new; null if that never happens."""
-    w = Window.partitionBy(by).orderBy(order)
-    island = df.withColumn("__i", F.sum((F.col(new) > 0).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = island.withColumn("__s", F.sum((F.col(new) <= 0).cast("int")).over(Window.partitionBy(by, "__i").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    return streak.groupBy(by).agg(F.min(F.when(F.col("__s") >= limit, F.col(order))).alias("stop_at"))
+    """Per group the first `order`, a long, at which `limit` events in a row brought nothing new; null if that never happens.
+
+    Events are read in order over range partitions, so one group may hold all of them.
+    """
+    kind = dict(df.dtypes)[by]
+    key = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))  # null is a group, too
+    rows = running(df.select(key.alias("__by"), F.col(order).cast("long").alias(order), (F.col(new) > 0).alias("__new")), "__by", order, "__new")
+    stop = F.min(F.when(~F.col("__new") & (F.col("since") + 1 >= limit), F.col(order)))
+    return rows.groupBy("__by").agg(stop.alias("stop_at")).select(F.when(F.col("__by") != "", F.expr("substring(__by, 2)")).cast(kind).alias(by), "stop_at")

@@ -750,3 +750,4 @@ def _(spark, d):
 
 from . import records  # noqa: E402, F401 - registers its queries here
 from . import history  # noqa: E402, F401
+from . import stored  # noqa: E402, F401

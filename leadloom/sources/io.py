@@ -160,6 +160,15 @@ def import_jsonl(spark: SparkSession, path: str, stored: DataFrame) -> tuple[Dat
     return upsert(stored, good, "place_id", "seq"), saved, n - saved
 
 
+def read_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Flat rows of all graded runs under a folder of eval folders, as `run_results` gives them."""
+    from ..operators.stats import run_files, run_results
+
+    found = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="{grading,timing,eval_metadata}.json")
+    files = found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return run_results(run_files(files))
+
+
 def export(df: DataFrame, fmt: str = "json") -> DataFrame:
     """One JSON text per row; other formats are not known."""
     if fmt != "json":
