@@ -19,10 +19,9 @@ from .hashing import Batch, combine, ranges_hash
 BUCKETS = 1 << 16
 #: Texts with a mean log ratio below this are dropped.
 THRESHOLD = -0.14
-#: Occurrences that a bucket is held to have had beside its own, at the rate of the corpus: rare n-grams say little.
-PRIOR = 20.0
-#: The least of those occurrences as a share of the target's size, so that the ratios and their threshold mean the same at any size.
-PRIOR_SHARE = 1e-6
+#: Occurrences that a bucket is held to have had beside its own, at the rate of the corpus, as a share of the target's n-grams:
+#: rare n-grams say little, and a table repeated any number of times keeps the same documents.
+PRIOR_SHARE = 1e-5
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -88,7 +87,7 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if not target.sum() or not raw.sum():
         return np.zeros(BUCKETS)
     expected = raw * (target.sum() / raw.sum())
-    prior = max(PRIOR, PRIOR_SHARE * target.sum())
+    prior = PRIOR_SHARE * target.sum()
     return np.log((target + prior) / (expected + prior))
 
 

@@ -81,7 +81,8 @@ def test_verdicts_of_the_ratio(spark, docs):
         if i in good:
             np.add.at(target, own[i], 1)
     expected = raw * target.sum() / raw.sum()
-    ratio = np.log((target + rules.PRIOR) / (expected + rules.PRIOR))
+    prior = target.sum() / 100_000
+    ratio = np.log((target + prior) / (expected + prior))
     out = run(spark, "op3_quality_rules").set_index("doc_id")
     for i in docs:
         llr = ratio[own[i]].mean() if len(own[i]) else 0.0
