@@ -11,8 +11,8 @@ Rows between parts and shards: one for each pair of them that has a bigram in co
 bigrams of all parts, and in practice parts times shards.  Both sizes are parameters; a corpus that has many more than
 10,000 of each wants larger ones, so that a row still holds hundreds of bigrams.
 
-A word is told apart by 64 bits of its hash where words are counted, by 48 bits as a context within a shard and by 40 bits
-after a context, so one of about a million contexts of a million followers would hold one wrong count.
+A word is told apart by 64 bits of its hash everywhere, and a bigram by 64 bits within its shard.  To keep the shuffle small a
+request names its words once, as differences of sorted hashes, and its bigrams by positions among them.
 
 Skew: counts are summed within parts before the shuffle, and bigrams of very frequent contexts - there can be HOT_WORDS at
 most - are dealt out by context and word; their context totals are added up from the shards and broadcast.
@@ -52,25 +52,14 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
-#: Bytes that tell contexts apart in a shard, and the words after one context.
-CONTEXT_BYTES, WORD_BYTES = 6, 5
+def _pack_hashes(x: np.ndarray) -> tuple[bytes, bytes]:
+    """(the distinct hashes as differences in order, the place of each one among them)."""
+    some, at = np.unique(x, return_inverse=True)
+    return _pack(np.diff(some, prepend=np.uint64(0))), _pack(at.astype(np.uint32))
 
 
-def _top(x: np.ndarray, size: int) -> np.ndarray:
-    """The upper bytes of hashes, as a number."""
-    return x >> np.uint64(64 - 8 * size)
-
-
-def _narrow(x: np.ndarray, size: int) -> bytes:
-    """Numbers of `size` bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
-
-
-def _wide(b: bytes, size: int) -> np.ndarray:
-    raw = np.frombuffer(b, np.uint8).reshape(-1, size)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :size] = raw
-    return out.view("<u8").ravel().astype(np.uint64)
+def _unpack_hashes(some: bytes, at: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(some, np.uint64), dtype=np.uint64)[_unpack(at, np.uint32)]
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -138,12 +127,12 @@ class Part:
         n = len(self.words) + 1
         names = self.hashes()
         context, word = names[code // n], names[code % n]
-        mixed = np.where(np.isin(_top(context, CONTEXT_BYTES), hot), combine(context, word), context)
+        mixed = np.where(np.isin(context, hot), combine(context, word), context)
         return (combine(mixed, np.uint64(7)) % np.uint64(shards)).astype(np.int64)
 
 
 def word_shards(words: np.ndarray, shards: int) -> np.ndarray:
-    """The shards of words, given as WORD_BYTES of their hashes."""
+    """The shards of words, given by their hashes."""
     return (combine(words, np.uint64(11)) % np.uint64(shards)).astype(np.int64)
 
 
@@ -153,7 +142,7 @@ def _rows(batches):
 
 
 def hot_words(table: DataFrame, tokens: int) -> np.ndarray:
-    """Contexts, as CONTEXT_BYTES, with more than 1/HOT_WORDS of all tokens, among those with as great a share of some part."""
+    """Contexts with more than 1/HOT_WORDS of all tokens, among those with as great a share of some part."""
 
     def run(batches):
         for row in _rows(batches):
@@ -163,10 +152,10 @@ def hot_words(table: DataFrame, tokens: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(part.words[often].view(np.int64)), pa.array(count[often], pa.int64())], names=["word", "n"])
 
     found = table.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_WORDS > tokens)
-    return np.unique(_top(np.append(found.select("word").toArrow()["word"].to_numpy().view(np.uint64), BEGIN), CONTEXT_BYTES))
+    return np.unique(np.append(found.select("word").toArrow()["word"].to_numpy().view(np.uint64), BEGIN))
 
 
-REQUEST = "shard long, part long, v binary, run binary, w binary, c binary"
+REQUEST = "shard long, part long, v binary, run binary, w binary, at binary, c binary"
 
 
 def bigram_requests(table: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
@@ -183,8 +172,9 @@ def bigram_requests(table: DataFrame, shards: int, hot: np.ndarray) -> DataFrame
                 at = order[edge[s] : edge[s + 1]]
                 if len(at):
                     context, run_ = np.unique(code[at] // n, return_counts=True)
-                    columns = [[s], [row["part"]], [_narrow(_top(names[context], CONTEXT_BYTES), CONTEXT_BYTES)], [_pack(run_.astype(np.uint32))], [_narrow(_top(names[code[at] % n], WORD_BYTES), WORD_BYTES)], [_pack(count[at].astype(np.uint32))]]
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["shard", "part", "v", "run", "w", "c"])
+                    words, places = _pack_hashes(names[code[at] % n])
+                    columns = [[s], [row["part"]], [names[context].tobytes()], [_pack(run_.astype(np.uint32))], [words], [places], [_pack(count[at].astype(np.uint32))]]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["shard", "part", "v", "run", "w", "at", "c"])
 
     return table.mapInArrow(run, REQUEST)
 
@@ -203,7 +193,7 @@ def merge_bigrams(hot: np.ndarray, words_by: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        asked = [(_wide(r["v"], CONTEXT_BYTES), _unpack(r["run"], np.uint32), _wide(r["w"], WORD_BYTES)) for r in rows]
+        asked = [(np.frombuffer(r["v"], np.uint64), _unpack(r["run"], np.uint32), _unpack_hashes(r["w"], r["at"])) for r in rows]
         v, w = np.concatenate([np.repeat(v, n) for v, n, _ in asked]), np.concatenate([w for _, _, w in asked])
         c = np.concatenate([_unpack(r["c"], np.uint32) for r in rows]).astype(np.int64)
         key = combine(v, w)
@@ -236,7 +226,7 @@ def word_requests(table: DataFrame, shards: int) -> DataFrame:
         for row in _rows(batches):
             part = Part.of(row)
             count = np.bincount(part.stream[part.training()], minlength=len(part.words))
-            shard = word_shards(_top(part.words, WORD_BYTES), shards)
+            shard = word_shards(part.words, shards)
             order = np.argsort(shard, kind="stable")
             edge = np.searchsorted(shard[order], np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(edge)).tolist():
@@ -261,9 +251,8 @@ def merge_words(table: pa.Table) -> pa.Table:
     if follows:
         fw, fat = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in follows]), return_inverse=True)
         n = np.bincount(fat, np.concatenate([_unpack(r["b"], np.uint32) for r in follows])).astype(np.int64)
-        short = _top(words, WORD_BYTES)
-        place = np.minimum(np.searchsorted(fw, short), len(fw) - 1)
-        after = np.where(fw[place] == short, n[place], 0)
+        place = np.minimum(np.searchsorted(fw, words), len(fw) - 1)
+        after = np.where(fw[place] == words, n[place], 0)
     keys, counts, follow = mapped([words, count.astype(np.uint32), after.astype(np.uint32)])
     out = []
     for r in asks:
@@ -318,12 +307,12 @@ def score_part(part: Part, answers: list[dict], shards: int, words_by: int, hot:
             mine = order[edge[r["shard"]] : edge[r["shard"] + 1]]
             pair_count[mine] = _unpack(r["a"], np.uint32)
             stats[np.unique(context[mine])] = _unpack(r["b"], np.uint32).reshape(4, -1).T
-    names = _top(part.hashes(), CONTEXT_BYTES)
+    names = part.hashes()
     if len(hot):
         place = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
         is_hot = hot[place] == names
         stats[is_hot] = hot_stats[place[is_hot]]
-    word_shard = word_shards(_top(part.words, WORD_BYTES), words_by)
+    word_shard = word_shards(part.words, words_by)
     count, after = np.full(n - 1, -1, np.int64), np.zeros(n - 1, np.int64)
     for r in answers:
         if r["kind"] == "word":
@@ -353,7 +342,7 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
 
     `held_out` is a condition on doc_id; where it holds the text is not learnt from (null: held out).  Null and empty texts
     have the end token alone.  Repeated rows are each counted and scored.  With nothing to learn from, every token has
-    probability 1 / (0 + 1).  Other columns are not read.  An empty table gives an empty result.
+    probability 1 / (0 + 1).  Words are told apart by 64 bits of their hashes.  Other columns are not read.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("held", F.coalesce(held_out, F.lit(True)))

@@ -129,6 +129,16 @@ def test_ratios_do_not_depend_on_the_size_of_large_tables():
     raw, target = np.zeros(rules.BUCKETS), np.zeros(rules.BUCKETS)
     raw[:4], target[:4] = [9e8, 2e8, 3e5, 40], [3e8, 1e8, 2e4, 0]
     assert np.allclose(rules.log_ratios(raw, target), rules.log_ratios(raw * 60, target * 60))
+    assert np.allclose(rules.log_ratios(raw, target), rules.log_ratios(raw / 1000, target / 1000))
+
+
+def test_a_repeated_table_keeps_the_same_documents(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.001", n) for n in ("documents", "labels"))
+    once = {r.doc_id: (r.llr, r.kept) for r in rules.quality_rules(docs, good=rules.trusted_ids(labels)).collect()}
+    many = docs.crossJoin(spark.range(10).withColumnRenamed("id", "copy")).drop("copy")
+    again = rules.quality_rules(many, good=rules.trusted_ids(labels)).collect()
+    assert len(again) == 10 * len(once)
+    assert all(r.kept == once[r.doc_id][1] and math.isclose(r.llr, once[r.doc_id][0], abs_tol=1e-6) for r in again)
 
 
 def kernel(a, b):
@@ -255,5 +265,8 @@ def test_kneser_ney_equals_brute_force(spark):
     rows = kneser_ney.score_documents(long, F.lit(False)).collect()
     assert sorted((str(r.doc_id), r.n_tokens) for r in rows) == [("1", 900_001), ("1", 900_001), ("2", 4), ("None", 3)]
     assert len({r.score for r in rows if r.doc_id == 1}) == 1 and all(r.score < 0 for r in rows)
+    twins = [(k, f"one {w} two {w} three {x} four") for k, (w, x) in enumerate([("w26154f", "w2af056"), ("w2af056", "w26154f"), ("w2af056", "plain"), ("other", "w26154f")])]  # their hashes share 40 bits
+    scored = {r.doc_id: r.score for r in kneser_ney.score_documents(spark.createDataFrame(twins, "doc_id long, text string"), F.lit(False)).collect()}
+    assert all(math.isclose(scored[i], want[3], rel_tol=1e-9) for (i, _), want in zip(twins, brute_scores(twins, lambda i: False)))
     nothing = kneser_ney.score_documents(df.where("doc_id >= 100000"), F.lit(True)).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in nothing)
