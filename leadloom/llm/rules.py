@@ -18,10 +18,10 @@ from .hashing import Batch, combine, ranges_hash
 #: Hash buckets of the two multinomials: a bound on what reaches the driver and the workers.
 BUCKETS = 1 << 16
 #: Texts with a mean log ratio below this are dropped.
-THRESHOLD = -0.14
+THRESHOLD = -0.1
 #: Occurrences that a bucket is held to have had beside its own, at the rate of the corpus, as a share of the target's n-grams:
 #: rare n-grams say little, and a table repeated any number of times keeps the same documents.
-PRIOR_SHARE = 1e-5
+PRIOR_SHARE = 1e-4
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 

@@ -81,7 +81,7 @@ def test_verdicts_of_the_ratio(spark, docs):
         if i in good:
             np.add.at(target, own[i], 1)
     expected = raw * target.sum() / raw.sum()
-    prior = target.sum() / 100_000
+    prior = target.sum() / 10_000
     ratio = np.log((target + prior) / (expected + prior))
     out = run(spark, "op3_quality_rules").set_index("doc_id")
     for i in docs:
