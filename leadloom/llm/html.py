@@ -23,7 +23,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 WHITE = re.compile(r"\s+")
 
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "svg", "canvas", "object", "math", "select", "button"}
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "xmp", "svg", "canvas", "annotation", "annotation-xml", "select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
 MAIN = {"article", "main"}
@@ -35,6 +35,10 @@ CLOSES_P = BLOCK - {"label", "option", "legend"}
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar side menu nav navbar navigation breadcrumb breadcrumbs masthead footer foot comment comments commentlist reply replies respond discussion disqus related recommended recommendations widget toolbar pagination pager copyright legal search skip hidden".split())
 #: A class name with one of these says what a layout has or leaves out, or names content: its other words are no hints.
 LAYOUT = frozenset("has no with without layout article post entry content story result results main page body text".split())
+#: Words that may stand beside a hint in a class name without making it another thing, as in comment-list or ad-box.
+NEUTRAL = frozenset("list lists box bar block blocks section area container wrapper wrap inner outer item items group row col column panel pane slot unit zone buttons button links link icons icon media tools form field top bottom left right center first last site user users reader readers global small large wide mobile desktop sticky fixed more posts articles stories message policy card cards level".split())
+#: Elements with text of their own; inside an article all their class names must be hints, not one of several.
+CONTENT = HEADING | {"p", "table", "tr", "td", "th", "pre", "blockquote", "figure", "figcaption", "caption", "li", "dl", "dt", "dd", "span", "b", "i", "em", "strong"}
 #: Elements that are hints only, as they may wrap whole pages.
 WRAPPERS = {"form", "fieldset"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -56,13 +60,26 @@ class Block:
     outside: bool
     hinted: int  # number of the innermost element around it that looks outside by a hint, 0 for none
     region: int  # number of the article or main element around it, 0 for none
+    article: int  # number of the article element around it, 0 for none
     linked: int  # characters inside links
     group: int  # number of the container
+    beside: bool = False  # in a container without the article, though the page has one
     label: str = ""
 
 
-def _outside(name: str, attributes: str) -> str:
-    """'hard' for elements that are never main text, 'hint' for those that only look so, else ''."""
+def _hints(name: str, value: str, within: bool) -> bool:
+    """Whether class names or ids look like something outside the main text.
+
+    One word of a name is enough outside an article.  Within one a whole name has to say so, and of elements with text of
+    their own every name: `legal-history`, `social-history` and a table of `share prices` are content.
+    """
+    names = [{w for w in re.split(r"[^a-z]+" if within else r"[^a-z0-9]+", c) if len(w) > 1} for c in value.split()]
+    looks = [bool(words & (HINTS | {"header"})) and not words & LAYOUT and (not within or words <= HINTS | NEUTRAL | {"header"}) for words in names]
+    return all(looks) and bool(looks) if within and name in CONTENT else any(looks)
+
+
+def _outside(name: str, attributes: str, within: bool = False) -> str:
+    """'hard' for elements that are never main text, 'hint' for those that only look so (`within` an article or not), else ''."""
     if name in OUTSIDE and name not in WRAPPERS:
         return "hard"
     found = "hint" if name in WRAPPERS else ""
@@ -71,10 +88,8 @@ def _outside(name: str, attributes: str) -> str:
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next(filter(None, values), "").lower()
         if key in ("class", "id"):
-            for compound in value.split():
-                words = set(re.split(r"[^a-z0-9]+", compound))
-                if words & (HINTS | {"header"}) and not words & LAYOUT and name not in ("html", "body") and name not in MAIN:
-                    found = "hint"
+            if name not in ("html", "body") and name not in MAIN and _hints(name, value, within):
+                found = "hint"
         elif key == "role" and value in ROLES or key == "aria-hidden" and value == "true":
             return "hard"
         elif key == "style" and "display:none" in value.replace(" ", ""):
@@ -85,11 +100,13 @@ def _outside(name: str, attributes: str) -> str:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks of a page in order; entities are decoded, white space is one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, int, int]] = []  # open elements: name, outside, hinted, region, group
+    stack: list[tuple[str, bool, int, int, int, int]] = []  # open elements: name, outside, hinted, region, article, group
     open_: Counter[str] = Counter()
     around: list[tuple[int, set[str]]] = [(0, set())]  # of each hinted element: the hinted one around it; which of article and main are in it
     parts: list[str] = []
-    linked = links = regions = groups = 0
+    parents = [0]  # of each container: the one around it
+    held = {"main": [0], "article": [0]}  # of each main and article element: the container around it
+    linked = links = 0
     heading = False
 
     def flush() -> None:
@@ -97,8 +114,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = WHITE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                outside, hinted, region, group = stack[-1][1:] if stack else (False, 0, 0, 0)
-                out.append(Block(text, heading, outside, hinted, region, linked, group))
+                outside, hinted, region, article, group = stack[-1][1:] if stack else (False, 0, 0, 0, 0)
+                out.append(Block(text, heading, outside, hinted, region, article, linked, group))
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -138,7 +155,7 @@ def blocks_of(page: str) -> list[Block]:
             links = max(0, links - 1) if ending else 1
         elif name == "br":
             add(" ")
-        elif name in BLOCK or not ending and name not in VOID and m[3] and _outside(name, m[3]):
+        elif name in BLOCK or not ending and name not in VOID and m[3] and _outside(name, m[3], bool(stack) and stack[-1][3] > 0):
             links = 0
             if ending:
                 if open_[name] > 0:
@@ -150,26 +167,30 @@ def blocks_of(page: str) -> list[Block]:
                 if name not in VOID:
                     if stack and (name in IMPLIED.get(stack[-1][0], ()) or stack[-1][0] == "p" and name in CLOSES_P):
                         close(len(stack) - 1)
-                    outside, hinted, region, group = stack[-1][1:] if stack else (False, 0, 0, 0)
-                    how = _outside(name, m[3])
+                    outside, hinted, region, article, group = stack[-1][1:] if stack else (False, 0, 0, 0, 0)
+                    how = _outside(name, m[3], region > 0)
                     if how == "hint":
                         around.append((hinted, set()))
                         hinted = len(around) - 1
                     if name in MAIN and not outside:
                         around[hinted][1].add(name)
                     if name in MAIN and not region:
-                        regions += 1
-                        region = regions
+                        held["main"].append(group)
+                        region = len(held["main"]) - 1
+                    if name == "article" and not article:
+                        held["article"].append(group)
+                        article = len(held["article"]) - 1
                     if name not in LEAVES:
-                        groups += 1
-                        group = groups
-                    stack.append((name, outside or how == "hard", hinted, region, group))
+                        parents.append(group)
+                        group = len(parents) - 1
+                    stack.append((name, outside or how == "hard", hinted, region, article, group))
                     open_[name] += 1
             heading = bool(stack) and stack[-1][0] in HEADING
         elif ending and open_[name] > 0:
             close(last_open(name))
     flush()
     settle(out, around)
+    mark_beside(out, parents, held)
     return out
 
 
@@ -219,19 +240,57 @@ def settle(blocks: list[Block], around: list[tuple[int, set[str]]]) -> None:
         b.outside = b.outside or not fine[b.hinted]
 
 
+def mark_beside(blocks: list[Block], parents: list[int], held: dict[str, list[int]]) -> None:
+    """Mark blocks in containers that hold no article, on pages with an article (else with a main element).
+
+    Each container is passed once, so the work is linear.
+    """
+    name = "article" if any(b.article and not b.outside for b in blocks) else "region"
+    around = held["article" if name == "article" else "main"]
+    numbers = {n for b in blocks if not b.outside and (n := getattr(b, name))}
+    if not numbers:
+        return
+    holds = {0}
+    for n in numbers:
+        group = around[n]
+        while group not in holds:
+            holds.add(group)
+            group = parents[group]
+    for b in blocks:
+        b.beside = not getattr(b, name) and b.group not in holds
+
+
+def drops_links(b: Block, linked: Counter[int], size: Counter[int]) -> bool:
+    """Whether a block is bad by its links: never in an article; headings and blocks of a main element by their container."""
+    if b.linked <= LINKS * len(b.text) or b.article:
+        return False
+    return not (b.heading or b.region) or linked[b.group] > LINKS * size[b.group]
+
+
 def decide(blocks: list[Block]) -> None:
     """Pass one: label blocks 'good' or 'bad'; headings, short blocks and prose without stop words stay ambiguous.
 
-    So does prose of middle length that is alone in its container, as notices are.  Beside an article only long prose counts.  With no good block at all the container with most of the other text is
-    main, one of several blocks first.
+    So do linked blocks of an article, which may be a title or its sources, and prose of middle length that is alone in its
+    container, as notices are.  Around an article only long prose counts, in a container without the article only if it
+    has no less of it than the articles, as comments are prose too.  With no good block at all the container with most of
+    the other text is main, one of several blocks first.
     """
     article = any(b.region and not b.outside for b in blocks)
     together = Counter(b.group for b in blocks)
+    linked, size, aside = Counter(), Counter(), Counter()
+    told = 0
+    for b in blocks:
+        linked[b.group] += b.linked
+        size[b.group] += len(b.text)
+        if not b.outside and b.beside and prose(b, LONG_WORDS):
+            aside[b.group] += len(b.text)
+        elif not b.outside and not b.beside and b.region and looks_good(b):
+            told += len(b.text)
     for b in blocks:
-        if b.outside or b.linked > LINKS * len(b.text):
+        if b.outside or drops_links(b, linked, size):
             b.label = "bad"
-        elif article and not b.region:
-            b.label = "good" if prose(b, LONG_WORDS) else "bad"
+        elif article and (not b.region or b.beside):
+            b.label = "good" if prose(b, LONG_WORDS) and (not b.beside or aside[b.group] >= told) else "bad"
         elif looks_good(b) and (b.region or together[b.group] > 1 or prose(b, LONG_WORDS)):
             b.label = "good"
     if not article and not any(b.label == "good" for b in blocks):
@@ -264,12 +323,15 @@ def nearest(labels: list[str], keys: list[int]) -> list[tuple]:
 def inherit(blocks: list[Block]) -> None:
     """Pass two: ambiguous blocks take the label of the nearest decided block; a heading looks ahead first.
 
-    Blocks of the same container come first, then those of the same article, then all, with the page's edges as bad.  At
+    Blocks of the same container come first, then those of the same article, without what is outside by its element or name,
+    then all, with the page's edges as bad.  At
     equal distances main text wins inside a container or article and loses outside.  In an article without any decided
     block all are main text.
     """
     first = [b.label for b in blocks]
-    group, region, all_ = (nearest(first, keys) for keys in ([b.group for b in blocks], [b.region for b in blocks], [0] * len(blocks)))
+    inner = ["" if b.outside else b.label for b in blocks]
+    group, region = (nearest(inner, keys) for keys in ([b.group for b in blocks], [b.region for b in blocks]))
+    all_ = nearest(first, [0] * len(blocks))
     for i, b in enumerate(blocks):
         if first[i]:
             continue
@@ -302,7 +364,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """page_id, url, text, n_chars of each page.
 
     Null html counts as empty, and a page without main text gives an empty text.  Broken markup is read as far as it can
-    be: unclosed elements end with their parent, an unclosed script, comment or tag ends with the page.  Repeated rows are all
+    be: unclosed elements end with their parent, an unclosed script, comment or tag ends with the page.  Buttons and other
+    controls count as forms.  In an article neither links nor a word of a class name drop a block by themselves.  Repeated rows are all
     returned; other columns are not read; an empty table gives an empty result.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))

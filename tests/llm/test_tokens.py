@@ -218,7 +218,37 @@ def test_prose_beside_an_article_and_lone_notices():
     assert html.main_text("<ul><li><a href=a>Home</a></li></ul><div><p>One.</p><p>Two.</p></div><div>Three</div>") == "One.\n\nTwo."
 
 
-@pytest.mark.parametrize("page", ["<a ", "<div></b>", '<p a="', "<!", "<script></script ", "<p>x ", "<b><p>", "<div class=ad>", "&", "<ul><li>a", "<![CDATA[", "<!--"])
+def test_articles_keep_links_tables_and_names_with_a_hint_in_them():
+    def kept(inner: str, want: str) -> None:
+        page = f"<nav><a href=/>Home</a></nav><article><p>{PROSE}</p>{inner}<p>{PROSE}</p><div class='comments thread-3'><p>{PROSE}</p></div></article><footer>me</footer>"
+        assert html.main_text(page) == "\n\n".join(x for x in (PROSE, want, PROSE) if x), inner
+
+    assert html.main_text(f"<article><h1><a href=/t>A title</a></h1><p>{PROSE}</p></article>") == f"A title\n\n{PROSE}"
+    assert html.main_text(f"<article><p>{PROSE}</p><ul><li><a href=/s>One source</a></li><li><a href=/t>Two</a></li></ul><div class=comments><p>{PROSE}</p></div></article>") == f"{PROSE}\n\nOne source\n\nTwo"
+    kept("<ul><li><a href=/s>One source</a></li><li><a href=/t>Another</a></li></ul>", "One source\n\nAnother")
+    kept("<p><a href=/all>All of it is one link</a></p>", "All of it is one link")
+    kept("<table class='share prices'><tr><td>ACME</td><td>12.5</td></tr></table>", "ACME\n\n12.5")
+    kept("<div id='social-history'><p>None.</p></div>", "None.")
+    kept("<p class='legal-history'>Short.</p>", "Short.")
+    kept("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>", "x=1")
+    kept("<object data=a><p>In place of it.</p></object>", "In place of it.")
+    for name in ("ad", "ad-box", "ad-300x250", "share-buttons", "related posts-3", "reader-comments", "cookie-notice"):
+        kept(f"<div class='{name}'><p>Short.</p><p>{PROSE}</p></div>", "")
+    kept("<p class=ad>Buy it now</p>", "")
+    kept("<button>Send</button>", "")
+
+
+def test_comments_beside_an_article_go_and_stories_beside_teasers_stay():
+    comment = f"<section class=talkback><p>{PROSE} I do not think so and so it is.</p></section>"
+    assert html.main_text(f"<article><p>{PROSE}</p><p>{PROSE}</p></article>{comment}") == f"{PROSE}\n\n{PROSE}"
+    assert html.main_text(f"<main><h1>Title</h1><article><p>{PROSE}</p><p>{PROSE}</p></article>{comment}</main>") == f"Title\n\n{PROSE}\n\n{PROSE}"
+    story = f"{PROSE} {PROSE} {PROSE}"
+    assert story in html.main_text(f"<main><div><p>{story}</p></div><article><p>{PROSE}</p></article></main>")
+    assert html.main_text(f"<main><ul><li><a href=a>Home</a></li><li><a href=b>About</a></li></ul><h1><a href=c>Title</a></h1><p>{PROSE}</p></main>") == f"Title\n\n{PROSE}"
+    assert html.main_text(f"<div><h2><a href=c>Title</a></h2><p>{PROSE}</p><p>Short.</p></div>") == f"Title\n\n{PROSE}\n\nShort."
+
+
+@pytest.mark.parametrize("page", ["<a ", "<div></b>", "<div><article>", "<div><article></article>", '<p a="', "<!", "<script></script ", "<p>x ", "<b><p>", "<div class=ad>", "&", "<ul><li>a", "<![CDATA[", "<!--"])
 def test_broken_pages_take_linear_time(page):
     import time
 
