@@ -107,6 +107,7 @@ def price_level(raw: Column) -> Column:
 
 def is_valid_description(c: Column) -> Column:
     t = strip(c)
+    # fixed values: patterns of texts that are no description
     bad = (
         t.rlike("^[✔✓✅☑]")
         | t.rlike("(?i)(updated|confirmed) by this business")
@@ -119,6 +120,7 @@ def is_valid_description(c: Column) -> Column:
 
 def is_garbage_attribute(c: Column) -> Column:
     t = strip(F.coalesce(c, F.lit("")))
+    # fixed values: patterns of labels that are no attribute
     return (
         (t == "")
         | (F.length(t) > 60)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..functions.urls import query_plus
+from .skew import unique_join
 
 # Land-use tags that tell a place without or with people.
 EMPTY_LANDUSE = [
@@ -21,6 +22,7 @@ POPULATED_LANDUSE = [
     "residential", "commercial", "retail", "industrial", "mixed_use", "construction", "institutional", "civic",
     "education", "healthcare", "tourism", "hotel", "resort", "port", "harbour", "airport", "urban", "village",
 ]
+# Kilometres of a degree; (at least so many km, zoom); (area below so many km2, cell size in km).
 KM = 111.0
 ZOOMS = [(16, 11), (8, 12), (4, 13), (2, 14), (1, 15), (0.5, 16)]
 CELL_SIZES = [(100, 0.5), (500, 1.0), (2000, 2.0), (10000, 3.0), (50000, 5.0)]
@@ -183,20 +185,23 @@ def grid_shape(cells: DataFrame, *by: str) -> DataFrame:
     return cells.groupBy(*by).agg((F.coalesce(F.max("row"), F.lit(-1)) + 1).alias("rows"), (F.coalesce(F.max("col"), F.lit(-1)) + 1).alias("cols"), F.count("*").alias("total_cells"))
 
 
-GRID_ROWS = 100
+#: Cells in a document of a grid.
+GRID_CELLS = 10_000
 CELL = ["lat", "lng", "radius_km", "cell_id", "zoom", "row", "col", "is_scraped", "is_empty", "result_count"]
 
 
-def grid_json(boxes: DataFrame, cells: DataFrame, km: float) -> DataFrame:
+def grid_json(boxes: DataFrame, cells: DataFrame, km: float, most: int = GRID_CELLS) -> DataFrame:
     """(id, part, grid): grids as JSON documents with bounds, size, shape and cells, in the order of rows and columns.
 
-    A document holds GRID_ROWS rows of cells, so that a large grid is written in parts, numbered from 0; each part has the
-    shape of the whole grid.
+    A document holds at most `most` places of a grid, whether it is wide or high, so that a large grid is written in parts,
+    numbered from 0; each part has the shape of the whole grid.  A grid that holds most of all cells is dealt out by parts.
     """
-    within = cells.withColumn("part", F.floor(F.col("row") / GRID_ROWS).cast("long"))
-    lists = within.groupBy("id", "part").agg(F.sort_array(F.collect_list(F.struct("row", "col", F.struct(*CELL).alias("cell")))).alias("c"))
+    placed = unique_join(cells, grid_shape(cells, "id"), "id")
+    part = F.floor((F.col("row").cast("long") * F.col("cols") + F.col("col")) / most).cast("long")
+    shape = [F.first(c).alias(c) for c in ("rows", "cols", "total_cells")]
+    lists = placed.groupBy("id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("row", "col", F.struct(*CELL).alias("cell")))).alias("c"), *shape)
     box = F.struct(*[F.col(k) for k in ("north", "south", "east", "west")]).alias("bounds")
-    joined = lists.join(grid_shape(cells, "id"), "id").join(boxes.select("id", box), "id")
+    joined = lists.join(boxes.select("id", box), "id")
     whole = F.struct("bounds", F.lit(km).alias("cell_size_km"), "rows", "cols", "total_cells", F.transform("c", lambda x: x["cell"]).alias("cells"))
     return joined.select("id", "part", F.to_json(whole).alias("grid"))
 

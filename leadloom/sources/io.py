@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.text import resolve_query
 from ..operators.flatten import flatten_business, flatten_generic, lead_objects, prune_empty
 from ..operators.rules import query_leads
+from ..plans.scratch import scratch
 from .schema import BUSINESS, CORRUPT, EXTRA
 
 BOM = "\ufeff"
@@ -25,9 +28,10 @@ def _is_lines(spark: SparkSession, path: str) -> bool:
 
 
 def _records(lines: DataFrame, schema: str, extra: bool) -> DataFrame:
-    """Records of lines(value), without those that are no object; with `extra` their unknown keys, too."""
+    """Records of lines(value, ...), without those that are no object; with `extra` their unknown keys, too."""
     record = F.from_json("value", f"{schema}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
     more = {EXTRA: unknown_keys(F.col("value"), schema)} if extra else {}
+    more |= {c: F.col(c) for c in lines.columns if c != "value"}
     rows = lines.where("trim(value) like '{%'").select(record.alias("r"), *[c.alias(k) for k, c in more.items()])
     return rows.where(f"r.{CORRUPT} is null").select("r.*", *more).drop(CORRUPT)
 
@@ -150,14 +154,26 @@ def write_flat_csv(df: DataFrame, path: str) -> bool:
     return True
 
 
+def file_order() -> Column:
+    """Where a row of a file source stands: file by file in the order of their paths, in each by place."""
+    return F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"))
+
+
 def import_jsonl(spark: SparkSession, path: str, stored: DataFrame) -> tuple[DataFrame, int, int]:
-    """(stored with the file's records upserted by place id, saved, skipped); a record needs a name and a place id."""
+    """(stored with the file's records upserted by place id, saved, skipped); a record needs a name and a place id.
+
+    Of records with one place id the last one wins, in the order of the files' paths and of the lines in each.  The input is
+    read once: parsed records go to the shared folder for intermediate tables, where counts read two columns.  `seq` of
+    stored, if it has one, numbers the lines; an empty input changes nothing.
+    """
     from ..operators.dedup import upsert
 
-    rows = read_jsonl(spark, path).withColumn("seq", F.monotonically_increasing_id())
-    good = rows.where("business_name is not null and coalesce(place_id, '') <> ''")
-    n, saved = rows.count(), good.count()
-    return upsert(stored, good, "place_id", "seq"), saved, n - saved
+    at = f"{scratch(spark).rstrip('/')}/import-{uuid.uuid4().hex}"
+    _records(spark.read.text(path).select("value", file_order().alias("__place")), BUSINESS, False).write.parquet(at)
+    rows = spark.read.parquet(at).withColumn("seq", F.col("__place.n"))
+    fine = "business_name is not null and coalesce(place_id, '') <> ''"
+    n, saved = rows.agg(F.count("*"), F.count_if(F.expr(fine))).first()
+    return upsert(stored, rows.where(fine), "place_id", "__place"), saved, n - saved
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:

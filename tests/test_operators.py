@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -163,3 +164,19 @@ def test_bad_bounds_raise(spark, text):
     with pytest.raises(Exception, match="bounds must be"):
         df.select(geo.parse_bounds(F.col("t")).alias("b")).collect()
     assert df.where("t is null").select(geo.parse_bounds(F.col("t")).alias("b")).first().b is None
+
+
+def test_wide_and_high_grids_are_written_in_bounded_parts(spark):
+    boxes = spark.createDataFrame([(1, 1.0, 0.0, 1.0, 0.0), (2, 1.0, 0.0, 1.0, 0.0), (3, 1.0, 0.0, 1.0, 0.0)], "id long, north double, south double, east double, west double")
+    shapes = {1: (2, 250), 2: (250, 2), 3: (1, 1)}
+    rows = [(i, 0.5, 0.5, 1.0, f"r{r}_c{c}", 14, r, c, False, False, None) for i, (height, width) in shapes.items() for r in range(height) for c in range(width)]
+    cells = spark.createDataFrame(rows, "id long, " + "lat double, lng double, radius_km double, cell_id string, zoom int, row int, col int, is_scraped boolean, is_empty boolean, result_count int")
+    grids = geo.grid_json(boxes, cells, 2.0, most=100)
+    parts = {}
+    for r in sorted(grids.collect(), key=lambda r: (r.id, r.part)):
+        grid = json.loads(r.grid)
+        assert len(grid["cells"]) <= 100 and (grid["rows"], grid["cols"]) == shapes[r.id] and grid["total_cells"] == shapes[r.id][0] * shapes[r.id][1]
+        parts.setdefault(r.id, []).append([(c["row"], c["col"]) for c in grid["cells"]])
+    assert {i: [c for p in some for c in p] for i, some in parts.items()} == {i: [(r, c) for r in range(h) for c in range(w)] for i, (h, w) in shapes.items()}
+    assert {i: len(p) for i, p in parts.items()} == {1: 5, 2: 5, 3: 1}
+    assert geo.cells_of_json(grids).count() == cells.count() and geo.grid_json(boxes, cells.limit(0), 2.0).count() == 0

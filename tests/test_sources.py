@@ -144,3 +144,18 @@ def test_leads_view(spark):
     df = leads(spark, "/root/testdata/sf0.001")
     assert df.count() == 150 and nested(df).count() == 150
     assert query_leads(df, limit=5, offset=3).count() == 5 and query_leads(df, limit=0).count() == 150
+
+
+def test_import_takes_the_last_record_in_the_order_of_files(spark, tmp_path):
+    """Files are taken by path, lines by place, whatever Spark reads first; bad lines and records without a key are skipped."""
+    long = [json.dumps({**A, "place_id": "p", "business_name": f"b{i}"}) for i in range(3000)]
+    (tmp_path / "b.jsonl").write_text("\n".join(long))
+    (tmp_path / "c.jsonl").write_text("\n".join([json.dumps({**A, "place_id": "p", "business_name": "last"}), "", "{bad", json.dumps({**A, "place_id": ""})]))
+    (tmp_path / "a.jsonl").write_text(json.dumps({**A, "place_id": "q", "business_name": "only"}))
+    empty = io.read_jsonl(spark, str(tmp_path)).limit(0)
+    stored, saved, skipped = io.import_jsonl(spark, str(tmp_path), empty)
+    assert (saved, skipped) == (3002, 1) and sorted((r.place_id, r.business_name) for r in stored.collect()) == [("p", "last"), ("q", "only")]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.jsonl").write_text("")
+    again, *counts = io.import_jsonl(spark, str(tmp_path / "none"), stored)
+    assert counts == [0, 0] and again.count() == 2
