@@ -69,14 +69,13 @@ def stretches(words: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word index, triple code, weight), summed over equal triples of a word."""
+    """(word index, triple code, weight), summed over equal triples of a word; a code has the three code points whole."""
     n = len(words)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     wide = np.array(words, f"U{max(1, max(map(len, words)))}")
     code = wide.view(np.uint32).reshape(n, -1).astype(np.int64)
-    letter = _letters()[np.minimum(code, 0xFFFF)]
-    code = np.where(letter, code % 2048, -1)
+    code = np.where(_letters()[code], code, -1)
     width = code.shape[1]
     word, key, weight = [], [], []
     for i, j in OFFSETS:
@@ -85,7 +84,7 @@ def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b, c = code[:, : width - j], code[:, i : width - j + i], code[:, j:]
         ok = (a >= 0) & (b >= 0) & (c >= 0)
         word.append(np.nonzero(ok)[0])
-        key.append((a[ok] << 22) | (b[ok] << 11) | c[ok])
+        key.append((a[ok] << 42) | (b[ok] << 21) | c[ok])
         weight.append(np.full(len(key[-1]), DECAY ** (j - 2)))
     if not word:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -103,7 +102,7 @@ _table: list[np.ndarray] = []
 
 def _letters() -> np.ndarray:
     if not _table:
-        _table.append(np.array([chr(c).isalpha() for c in range(0x10000)]))
+        _table.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _table[0]
 
 
@@ -212,7 +211,7 @@ def train(bags: list[tuple[list[str], list[float]]], negative: dict[str, float],
     """A machine from bags (words, gains) of toxic texts and negative words with their occurrences.
 
     worst(machine) gives the negative words of all labelled texts with the greatest values.  A bag starts with its word of
-    the greatest gain.
+    the greatest gain.  One bag alone cannot be judged by another and stands for its first word.
     """
     bags = [bag for bag in bags if bag[0]]
     if not bags or not negative:
@@ -221,7 +220,7 @@ def train(bags: list[tuple[list[str], list[float]]], negative: dict[str, float],
     edge = np.concatenate([[0], np.cumsum([len(words) for words, _ in bags])])
     found = [[words[int(np.argmax(gains))]] for words, gains in bags]
     count = lambda some: dict(Counter(w for words in some for w in set(words)))
-    if len(bags) > 3:
+    if len(bags) > 1:
         first = found
         for _ in range(ROUNDS):
             values = np.empty(len(flat))
@@ -370,7 +369,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_on, id_col: str = "doc_id
     """doc_id, score of each document.  labels: doc_id, label (0 or 1); `train_on` is a condition on doc_id.
 
     Only rows that fulfil `train_on` are learnt from; null labels are passed over.  Null texts count as empty, and empty
-    texts get the lowest score.  Rows that share an id are each scored by their own text.  Without labels of both classes
+    texts get the lowest score.  Rows that share an id are each scored by their own text, repeated rows alike; a text of any
+    length is scored whole.  Without labels of both classes
     every score is 0.  Other columns are not read.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

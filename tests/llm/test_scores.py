@@ -164,6 +164,17 @@ def test_kernel_equals_its_definition():
     assert np.allclose(got, [[kernel(x, y) for y in b] for x in a])
 
 
+def test_letters_of_all_scripts_are_told_apart():
+    """Letters whose code points differ by a multiple of 2,048 or lie beyond 16 bits are different letters."""
+    a = "abc"
+    b, c = "".join(chr(ord(x) + 2048 * 10) for x in a), "\U00010400\U00010401\U00010402"
+    d = "".join(chr(ord(x) - 0x10000) for x in c)
+    some = [a, b, c, d, a + c, "\U0001f600" * 3]
+    assert b.isalpha() and c.isalpha() and not some[-1].isalpha()
+    assert np.allclose(toxicity.kernel(some, some), [[kernel(x, y) for y in some] for x in some])
+    assert toxicity.kernel([a], [b])[0, 0] == 0 == toxicity.kernel([c], [d])[0, 0]
+
+
 def test_the_folded_machine_equals_the_kernel_machine():
     r = random.Random(2)
     positive = {f"blarg{x}": 3.0 for x in ("an", "it", "el", "os")} | {"snorfle": 5.0}
@@ -220,6 +231,28 @@ def test_toxicity_finds_plain_and_gapped_insults(spark):
     assert toxicity.toxicity(df.limit(0), df.select("doc_id", "label"), F.lit(True)).count() == 0
 
 
+def test_toxicity_of_long_and_repeated_rows_and_extra_columns(spark):
+    """An insult at the end of a text of 200,000 words counts; repeated rows and rows of one id are each scored."""
+    clean = [f"{a}{b}{c}" for a in ("ba", "ke", "li", "so", "tu") for b in ("nan", "rel", "mip", "dos") for c in ("ta", "ne", "ri", "po")]
+    rows = [(i, " ".join(["blargit" if k == 3 and i % 3 == 0 else clean[(i * 7 + k * 13 + k * k) % len(clean)] for k in range(20)]), int(i % 3 == 0)) for i in range(300)]
+    long = " ".join(clean * 2500)
+    more = [(1000, long, None), (1001, long + " blargit", None), (1002, "x" * 300_000, None), (1003, rows[0][1], None), (1003, rows[0][1], None), (1003, rows[1][1], None), (None, rows[0][1], None)]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string, label int").withColumns({"score": F.lit("s"), "word": F.lit(1), "worst": F.lit(None)})
+    out = {}
+    for r in toxicity.toxicity(df, df.select("doc_id", "label"), F.col("doc_id") % 5 != 0).collect():
+        out.setdefault(r.doc_id, []).append(r.score)
+    assert len(out) == 305 and [len(out[i]) for i in (1000, 1003, None)] == [1, 3, 1]
+    assert out[1000][0] < 0.3 <= out[1001][0] and out[1002][0] < 0.3 and sorted(s >= 0.3 for s in out[1003]) == [False, True, True] and out[None][0] >= 0.3
+
+
+def test_toxicity_learns_from_two_labelled_texts_as_from_many(spark):
+    """No number of toxic texts switches the method: two of them point out each other's insults."""
+    machine = toxicity.train([(["harmless", "snorfle"], [1.1, 1.0]), (["snorfles", "sunny"], [1.0, 0.9])], {w: 5.0 for w in ("banane", "kerelta", "limipne", "sodosri", "tunanpo")}, lambda m, n: {})
+    assert machine.words(["snorfle"])[0] > max(machine.words(["banane", "kerelta"]))
+    assert toxicity.train([(["snorfle"], [1.0])], {"banane": 1.0}, lambda m, n: {}).words(["snorfle"])[0] > 0
+    assert toxicity.train([], {"banane": 1.0}, lambda m, n: {}) is None is toxicity.train([(["snorfle"], [1.0])], {}, lambda m, n: {})
+
+
 def brute_scores(docs, is_held):
     """(n_tokens, n_known, base, score) by the definition of the interpolated model."""
     low = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
