@@ -53,7 +53,7 @@ def unknown_keys(value: Column, schema: str = BUSINESS) -> Column:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = BUSINESS, extra: bool = False) -> DataFrame:
     """One record per line; lines that are no record are dropped, blank lines are no lines."""
-    return _records(spark.read.text(path), schema, extra)
+    return _records(spark.read.text(path).select("value"), schema, extra)
 
 
 def count_bad_lines(spark: SparkSession, path: str) -> int:
