@@ -303,3 +303,20 @@ def test_kneser_ney_equals_brute_force(spark):
     assert all(math.isclose(scored[i], want[3], rel_tol=1e-9) for (i, _), want in zip(twins, brute_scores(twins, lambda i: False)))
     nothing = kneser_ney.score_documents(df.where("doc_id >= 100000"), F.lit(True)).collect()
     assert all(r.score == 0 and r.base_score == 0 and r.train_tokens == 0 for r in nothing)
+
+
+def test_kneser_ney_scores_new_texts_from_the_stored_model(spark, tmp_path, monkeypatch):
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()]
+    docs += [(100_000, None), (100_001, ""), (100_002, "unheard-of words only"), (100_003, docs[0][1]), (None, "b c"), (100_000, None)]
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, part int").repartition(3)
+    held_out = (fold("doc_id", 7) == 2) | (F.col("doc_id") >= 100_000)
+    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.perplexity)
+    want = sorted(key(r) for r in kneser_ney.score_documents(df, held_out).collect())
+    kneser_ney.fit(df, held_out).save(str(tmp_path / "model"))
+    model = kneser_ney.Model.load(spark, str(tmp_path / "model"))
+    assert sorted(key(r) for r in model.score(df).collect()) == want
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 50)  # several copies of each shard
+    assert sorted(key(r) for r in model.score(df.repartition(5)).collect()) == want
+    assert model.score(df.limit(0)).count() == 0
+    nothing = kneser_ney.fit(df, F.lit(True)).score(df)
+    assert {(r.score, r.n_known) for r in nothing.collect()} == {(0.0, 0)}
