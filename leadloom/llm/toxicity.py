@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, map_texts, materialize
@@ -32,9 +32,11 @@ from .quality import TIES, isotonic
 DECAY, SPAN = 0.7, 6
 #: Bound on the labelled texts that the words are learnt from (chosen by a hash of the id).
 TRAIN_TEXTS = 20_000
-#: Bounds on landmarks (a quarter each from toxic and other words, the rest are hard examples), on negative words - half of
-#: them the most frequent, half the worst - and on the words of a bag.
-LANDMARKS, TRAIN_WORDS, BAG_WORDS = 640, 12_000, 200
+#: Bounds on landmarks (a quarter each from toxic and other words, the rest are hard examples) and on negative words, half of
+#: them the most frequent and half the worst.  A bag has all words of its text that may be positive.
+LANDMARKS, TRAIN_WORDS = 640, 12_000
+#: Words whose values are worked out at a time.
+SOME_WORDS = 4000
 #: A word may be positive if it is found so many times as often in toxic sentences as in others; one occurrence will do.
 PURE = 3.0
 #: Rounds of pointing out positive words, the landmarks of their machines, the cost of an example, and the value of a positive word.
@@ -131,6 +133,11 @@ class Machine:
         np.maximum.at(out, index, value)
         return out
 
+    def by_word(self, words: set[str]) -> dict[str, float]:
+        """Decision values of different words, some at a time."""
+        every = list(words)
+        return {w: v for k in range(0, len(every), SOME_WORDS) for w, v in zip(every[k : k + SOME_WORDS], self.words(every[k : k + SOME_WORDS]).tolist())}
+
     def score(self, worst: np.ndarray) -> np.ndarray:
         return (1 - TIES) * np.interp(worst, *self.knots) + TIES / (1 + np.exp(-np.clip(worst, -30, 30)))
 
@@ -148,7 +155,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     hit = np.flatnonzero(keys[at] == ka) if len(keys) else np.zeros(0, np.int64)
     for part in range(0, len(hit), 10_000):
         h = hit[part : part + 10_000]
-        np.add.at(out, wa[h], va[h, None] * dense[at[h]])
+        first = np.flatnonzero(np.diff(wa[h], prepend=-1))  # triples lie in the order of their words
+        out[wa[h[first]]] += np.add.reduceat(va[h, None] * dense[at[h]], first)
     return out
 
 
@@ -216,20 +224,18 @@ def train(bags: list[tuple[list[str], list[float]]], negative: dict[str, float],
     bags = [bag for bag in bags if bag[0]]
     if not bags or not negative:
         return None
-    flat = [w for words, _ in bags for w in words]
-    edge = np.concatenate([[0], np.cumsum([len(words) for words, _ in bags])])
     found = [[words[int(np.argmax(gains))]] for words, gains in bags]
     count = lambda some: dict(Counter(w for words in some for w in set(words)))
     if len(bags) > 1:
         first = found
         for _ in range(ROUNDS):
-            values = np.empty(len(flat))
+            now = [[] for _ in bags]
             for half in (0, 1):
                 machine = learn(count(found[1 - half :: 2]) or count(first[1 - half :: 2]), negative, ROUND_LANDMARKS).machine
-                mine = np.concatenate([np.arange(edge[k], edge[k + 1]) for k in range(half, len(bags), 2)])
-                values[mine] = machine.words([flat[k] for k in mine])
+                value = machine.by_word({w for words, _ in bags[half::2] for w in words})
+                now[half::2] = [[w for w in words if value[w] > POINTED] for words, _ in bags[half::2]]
                 negative = negative | {w: n for w, n in worst(machine, TRAIN_WORDS // 4).items()}
-            found = [[words[k] for k in np.flatnonzero(v > POINTED)] for (words, _), v in zip(bags, np.split(values, edge[1:-1]))]
+            found = now
         if not any(found):
             found = first
     return learn(count(found), negative).machine
@@ -296,13 +302,11 @@ def fit(rows: DataFrame, known: DataFrame) -> Machine | None:
     share = F.log((F.col("toxic") + 0.5) / (toxic + 1.0) / ((F.col("other") + 0.5) / (other + 1.0)))
     leans = (share > 0) & (F.col("toxic") + 0.5 >= PURE * (F.col("other") + 0.5))
     gains = counted.where(leans).select("word", (F.col("toxic") * share).alias("gain"))
-    rank = F.row_number().over(Window.partitionBy("bag").orderBy(F.desc("gain"), "word"))
-    bags = bag_words(labelled).join(gains, "word").withColumn("n", rank).where(F.col("n") <= BAG_WORDS)
-    bags = bags.orderBy("bag", "n").select("bag", "word", "gain").toArrow()
-    of: dict[int, tuple[list[str], list[float]]] = {}
-    for bag, word, gain in zip(*(bags[c].to_pylist() for c in ("bag", "word", "gain"))):
-        words, values = of.setdefault(bag, ([], []))
-        words.append(word), values.append(gain)
+    bags = bag_words(labelled).join(gains, "word").orderBy("bag", F.desc("gain"), "word").select("bag", "word", "gain").toArrow()
+    named = bags["word"].combine_chunks().dictionary_encode()
+    names, place, gain = named.dictionary.to_pylist(), named.indices.to_pylist(), bags["gain"].to_pylist()  # a word is held once
+    _, edge = np.unique(bags["bag"].to_numpy(), return_index=True)
+    of = [([names[k] for k in place[a:b]], gain[a:b]) for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(place)])]
     negative = counted.where("other > 0").where(~leans).select("word", "other")
 
     def worst(machine: Machine, n: int) -> dict[str, int]:
@@ -314,7 +318,7 @@ def fit(rows: DataFrame, known: DataFrame) -> Machine | None:
         return dict(zip(found["word"].to_pylist(), found["other"].to_pylist()))
 
     often = negative.orderBy(F.desc("other"), "word").limit(TRAIN_WORDS // 2).toArrow()
-    return train(list(of.values()), dict(zip(often["word"].to_pylist(), often["other"].to_pylist())), worst)
+    return train(of, dict(zip(often["word"].to_pylist(), often["other"].to_pylist())), worst)
 
 
 class ValueCache:
@@ -335,7 +339,7 @@ class ValueCache:
         if new.any():
             raw, f = batch.buffer.tobytes(), first[new]
             some = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(words.start[f].tolist(), words.end[f].tolist())]
-            values = np.concatenate([compute(some[k : k + 4000]) for k in range(0, len(some), 4000)])
+            values = np.concatenate([compute(some[k : k + SOME_WORDS]) for k in range(0, len(some), SOME_WORDS)])
             keys = np.concatenate([self.keys, hashes[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.values = keys[order], np.concatenate([self.values, values.astype(np.float32)])[order]
