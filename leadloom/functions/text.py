@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +27,8 @@ JUNK_DOMAINS = [
     "wix.com", "wixpress.com", "squarespace.com", "webflow.io", "wordpress.com", "shopify.com",
     "sevenrooms.com", "opentable.com", "resy.com", "eatapp.co", "thefork.com", "bookatable.com",
 ]
+#: Ends of an otherwise well-formed address that is none: a blocked last label, a junk domain or a subdomain of one.
+NO_EMAIL = rf"(?:\.(?:{'|'.join(BLOCKED_TLDS)})|[@.](?:{'|'.join(map(re.escape, JUNK_DOMAINS))}))\z"
 PHONE = r"(?iU)^\+?[\d\s\-\(\)\.ext]{7,25}$"
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 EMAIL_SCAN = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
@@ -51,6 +55,11 @@ SKIP_HANDLES = [
 BOT_TERMS = ["just a moment...", "enable javascript", "cloudflare", "attention required!", "ddos-guard", "verify you are human"]
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it: nested functions would repeat what is inside c many times over."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -75,10 +84,7 @@ def validate_phone(c: Column) -> Column:
 
 
 def validate_email(c: Column) -> Column:
-    e = F.lower(strip(c))
-    domain = F.regexp_extract(e, r"@(.*)$", 1)
-    junk = domain.isin(JUNK_DOMAINS) | F.exists(F.array(*map(F.lit, JUNK_DOMAINS)), lambda j: domain.endswith(F.concat(F.lit("."), j)))
-    return F.when(e.rlike(EMAIL) & (F.length(e) <= 254) & ~F.substring_index(domain, ".", -1).isin(BLOCKED_TLDS) & ~junk, e)
+    return let(F.lower(strip(c)), lambda e: F.when(e.rlike(EMAIL) & (F.length(e) <= 254) & ~e.rlike(NO_EMAIL), e))
 
 
 def validate_rating(c: Column) -> Column:
@@ -99,11 +105,14 @@ def parse_review_count(c: Column) -> Column:
 
 def decode_cf_email(c: Column) -> Column:
     """XOR of hex pairs with the first pair; null where the text is no even run of hex digits or no valid address."""
-    byte = lambda i: F.conv(F.substring(c, i, F.lit(2)), 16, 10).try_cast("int")
-    first = F.conv(F.substring(c, 1, 2), 16, 10).try_cast("int")
-    starts = F.sequence(F.lit(3), F.length(c) - 1, F.lit(2))
-    text = F.array_join(F.transform(starts, lambda i: F.char(byte(i).bitwiseXOR(first))), "")
-    return F.when(c.rlike("^([0-9a-fA-F]{2}){2,}$"), validate_email(text))
+    byte = lambda h, i: F.conv(F.substring(h, i, F.lit(2)), 16, 10).try_cast("int")
+
+    def decoded(h: Column) -> Column:
+        starts = F.sequence(F.lit(3), F.length(h) - 1, F.lit(2))
+        chars = let(byte(h, F.lit(1)), lambda first: F.transform(starts, lambda i: F.char(byte(h, i).bitwiseXOR(first))))
+        return F.array_join(chars, "")
+
+    return let(c, lambda h: F.when(h.rlike("^([0-9a-fA-F]{2}){2,}$"), validate_email(decoded(h))))
 
 
 @F.pandas_udf(StringType())

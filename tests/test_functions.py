@@ -112,3 +112,30 @@ def test_hours_and_attributes(spark):
     groups = one(spark, fields.attribute_groups(fields.clean_attributes(tags)))
     assert groups["service_options"] == ["Dine-in"] and groups["accessibility"] == ["Wheelchair accessible entrance"] and groups["crowd"] == []
     assert not one(spark, fields.is_valid_description(S("4.3 Fine dining restaurant with many words")))
+
+
+@pytest.mark.parametrize("f", [text.validate_email, text.decode_cf_email])
+def test_input_is_computed_once(spark, f):
+    """What a function does with its input may nest, but must not repeat it: the input can be an expression of any cost."""
+    assert str(f(F.col("__input"))).count("__input") == 1
+
+
+def test_addresses_equal_the_rule(spark):
+    import re
+
+    ends = ["acme.ae", "x.example.com", "myexample.com", "a.png", "pngs", "b.s3.amazonaws.com", "wix.com", "notwix.com", "a.go", "ago.ae", "acme", "-x.co", "a..ae", "x@y.ae"]
+    given = [f"{a}@{d}{z}" for a in ("Jo", "a.wix.com", "", "j" * 250) for d in ends for z in ("", " \n")] + [None, "", " "]
+
+    def rule(v):
+        e = v.strip().lower() if v is not None else ""
+        if not re.fullmatch(r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}", e) or len(e) > 254:
+            return None
+        domain = e.split("@")[1]
+        return None if domain.rsplit(".", 1)[1] in text.BLOCKED_TLDS or any(domain == j or domain.endswith("." + j) for j in text.JUNK_DOMAINS) else e
+
+    hide = lambda v, k: None if v is None else bytes([k, *(b ^ k for b in v.encode())]).hex()
+    rows = spark.createDataFrame([(v, hide(v, i * 37 % 256)) for i, v in enumerate(given)], "v string, h string")
+    got = rows.select("v", text.validate_email(F.col("v")).alias("e"), text.decode_cf_email(F.col("h")).alias("d")).collect()
+    assert [r.e for r in got] == [r.d for r in got] == [rule(r.v) for r in got]
+    odd = spark.createDataFrame([("5a",), ("5a3",), ("5a33343c351a3b39373f743b3",), ("",), (None,), ("xx33",)], "h string")
+    assert {r[0] for r in odd.select(text.decode_cf_email(F.col("h"))).collect()} == {None}
