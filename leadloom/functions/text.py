@@ -139,14 +139,17 @@ def find_emails(c: Column) -> Column:
 
 
 def find_emails_unescaped(raw: Column, text: Column) -> Column:
+    return let(F.struct(raw.alias("raw"), text.alias("text")), lambda v: _emails(v["raw"], v["text"]))
+
+
+def _emails(raw: Column, text: Column) -> Column:
     none = F.array().cast("array<string>")
     protected = F.when(raw.contains("data-cfemail"), F.filter(F.transform(F.regexp_extract_all(raw, F.lit(CF_EMAIL), F.lit(1)), decode_cf_email), lambda e: e.isNotNull())).otherwise(none)
     plain = F.when(text.contains("@"), _valid(F.regexp_extract_all(text, F.lit(EMAIL_SCAN), F.lit(0)))).otherwise(none)
-    both = F.array_distinct(F.concat(protected, plain))
     hidden = F.regexp_replace(F.regexp_replace(text, OBFUSCATED_AT, "@"), OBFUSCATED_DOT, ".")
     marked = text.contains(" [at] ") | text.contains(" (at) ") | text.contains(" AT ")
     found = F.array_distinct(_valid(F.regexp_extract_all(hidden, F.lit(EMAIL_SCAN), F.lit(0))))
-    return F.when(raw.isNull(), none).when(F.size(both) > 0, both).when(marked, found).otherwise(none)
+    return let(F.array_distinct(F.concat(protected, plain)), lambda both: F.when(raw.isNull(), none).when(F.size(both) > 0, both).when(marked, found).otherwise(none))
 
 
 def find_email_in_html(c: Column) -> Column:
