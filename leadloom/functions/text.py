@@ -160,29 +160,33 @@ def find_email_in_html(c: Column) -> Column:
 
 def social_handle(platform: str, page: Column) -> Column:
     """The match and handle of the first link to a profile (struct), null if there is none."""
-    pattern = F.lit(SOCIAL_PATTERNS[platform])
-    pairs = F.arrays_zip(F.regexp_extract_all(page, pattern, F.lit(0)).alias("raw"), F.regexp_extract_all(page, pattern, F.lit(1)).alias("handle"))
+    found = F.regexp_extract_all(page, F.lit(SOCIAL_PATTERNS[platform]), F.lit(0))
+    # a match by itself matches again, with the same handle
+    pairs = F.transform(found, lambda m: F.struct(m.alias("raw"), F.regexp_extract(m, SOCIAL_PATTERNS[platform], 1).alias("handle")))
     return F.get(F.filter(pairs, lambda p: ~F.lower(F.trim(p["handle"], F.lit("/"))).isin(SKIP_HANDLES)), F.lit(0))
 
 
 def social_url(platform: str, raw: Column, handle: Column) -> Column:
     """A canonical profile URL from a match and its handle."""
-    cut = F.rtrim(F.regexp_extract(raw, r"""^([^"'> \n\r\t]*)""", 1), F.lit("/"))
-    whole = F.concat(F.lit("https://www."), F.regexp_replace(cut, r"(?i)^(?:https?://)?(?:www\.)?", ""))
     root = F.lit(f"https://www.{SOCIAL_DOMAINS[platform]}/" + ("@" if platform == "tiktok" else ""))
-    url = F.when(F.contains(F.lower(cut), F.lit(SOCIAL_DOMAINS[platform])), whole).otherwise(F.concat(root, F.lower(F.trim(handle, F.lit("/")))))
+
+    def url(cut: Column) -> Column:
+        whole = F.concat(F.lit("https://www."), F.regexp_replace(cut, r"(?i)^(?:https?://)?(?:www\.)?", ""))
+        return F.when(F.contains(F.lower(cut), F.lit(SOCIAL_DOMAINS[platform])), whole).otherwise(F.concat(root, F.lower(F.trim(handle, F.lit("/")))))
+
+    found = let(F.rtrim(F.regexp_extract(raw, r"""^([^"'> \n\r\t]*)""", 1), F.lit("/")), url)
     if platform == "tiktok":
-        url = F.when(url.contains("/@"), url).otherwise(F.regexp_replace(url, r"(?i)(tiktok\.com/)(?!@)([\w.%-]+)", "$1@$2"))
-    return url
+        found = let(found, lambda u: F.when(u.contains("/@"), u).otherwise(F.regexp_replace(u, r"(?i)(tiktok\.com/)(?!@)([\w.%-]+)", "$1@$2")))
+    return found
 
 
 def social_links(page: Column) -> Column:
     """A struct with one URL per platform."""
-    links = []
-    for platform in SOCIAL_PATTERNS:
-        found = social_handle(platform, page)
-        links.append(F.when(found.isNotNull(), social_url(platform, found["raw"], found["handle"])).alias(platform))
-    return F.struct(*links)
+
+    def link(platform: str, p: Column) -> Column:
+        return let(social_handle(platform, p), lambda m: F.when(m.isNotNull(), social_url(platform, m["raw"], m["handle"])))
+
+    return let(page, lambda p: F.struct(*[link(platform, p).alias(platform) for platform in SOCIAL_PATTERNS]))
 
 
 def is_bot_challenge(page: Column) -> Column:
