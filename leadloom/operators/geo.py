@@ -68,16 +68,42 @@ def box_metrics(df: DataFrame) -> DataFrame:
     return df.select("*", lat.alias("center_lat"), ((F.col("east") + F.col("west")) / 2).alias("center_lng"), ((F.col("north") - F.col("south")) * KM).alias("height_km"), ((F.col("east") - F.col("west")) * KM * F.cos(F.radians(lat))).alias("width_km"))
 
 
-def grid_cells(boxes: DataFrame, km: float) -> DataFrame:
-    """Cells whose centre is inside their box; boxes: id, north, south, east, west."""
-    lat_step = F.lit(km) / KM
-    lng_step = F.lit(km) / (F.lit(KM) * F.cos(F.radians((F.col("north") + F.col("south")) / 2)))
-    rows = F.sequence(F.lit(0), F.ceil((F.col("north") - F.col("south")) / lat_step).cast("int"))
-    cols = F.sequence(F.lit(0), F.ceil((F.col("east") - F.col("west")) / lng_step).cast("int"))
-    cells = boxes.select("*", F.explode(rows).alias("row")).select("*", F.explode(cols).alias("col"))
+#: Places of grids in a task, about.
+TASK_CELLS = 500_000
+
+
+def _steps(km: float) -> tuple[Column, Column]:
+    """Degrees of latitude and longitude from one cell of a box to the next."""
+    return F.lit(km) / KM, F.lit(km) / (F.lit(KM) * F.cos(F.radians((F.col("north") + F.col("south")) / 2)))
+
+
+def _lines(km: float) -> tuple[Column, Column]:
+    """Numbers of the last row and column of a box."""
+    lat_step, lng_step = _steps(km)
+    return F.ceil((F.col("north") - F.col("south")) / lat_step).cast("int"), F.ceil((F.col("east") - F.col("west")) / lng_step).cast("int")
+
+
+def cell_parts(boxes: DataFrame, km: float, most: int = TASK_CELLS) -> int:
+    """Into how many parts the cells of the boxes are dealt: as many as a shuffle has, more where these would be too large.
+
+    It is told from the bounds of the boxes, without making a cell.
+    """
+    rows, cols = (F.greatest(n, F.lit(0)).cast("double") + 1 for n in _lines(km))
+    places = boxes.agg(F.sum(rows * cols)).first()[0] or 0
+    return max(int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(places // most) + 1)
+
+
+def grid_cells(boxes: DataFrame, km: float, parts: int | None = None) -> DataFrame:
+    """Cells whose centre is inside their box; boxes: id, north, south, east, west.
+
+    Boxes are small and cells many, so rows of boxes are dealt to `parts` tasks (`cell_parts`) before cells are made of them.
+    """
+    (lat_step, lng_step), (rows, cols) = _steps(km), _lines(km)
+    dealt = boxes.select("*", F.explode(F.sequence(F.lit(0), rows)).alias("row")).repartition(parts or cell_parts(boxes, km), "id", "row")
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), cols)).alias("col"))
     lat, lng = F.col("south") + F.col("row") * lat_step + lat_step / 2, F.col("west") + F.col("col") * lng_step + lng_step / 2
     inside = cells.withColumns({"lat": lat, "lng": lng}).where("lat <= north and lng <= east")
-    return inside.select("id", F.format_string("r%d_c%d", "row", "col").alias("cell_id"), "row", "col", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.lit(km / 2).alias("radius_km"), zoom(F.lit(km)).alias("zoom"))
+    return inside.select("id", F.concat(F.lit("r"), "row", F.lit("_c"), "col").alias("cell_id"), "row", "col", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), F.lit(km / 2).alias("radius_km"), zoom(F.lit(km)).alias("zoom"))
 
 
 def subdivide(cells: DataFrame, d: int = 2) -> DataFrame:
@@ -86,7 +112,7 @@ def subdivide(cells: DataFrame, d: int = 2) -> DataFrame:
     lng_km = F.lit(KM) * F.cos(F.radians("lat"))
     lat = F.col("lat") - F.col("radius_km") / KM + (F.col("sr") + 0.5) * (F.col("radius_km") * 2 / d / KM)
     lng = F.col("lng") - F.col("radius_km") / lng_km + (F.col("sc") + 0.5) * (F.col("radius_km") * 2 / d / lng_km)
-    return parts.select("id", F.format_string("%s_s%d%d", "cell_id", "sr", "sc").alias("cell_id"), F.round(lat, 6).alias("lat"), F.round(lng, 6).alias("lng"), (F.col("radius_km") / d).alias("radius_km"), zoom(F.col("radius_km") * 2 / d).alias("zoom"))
+    return parts.select("id", F.concat("cell_id", F.lit("_s"), "sr", "sc").alias("cell_id"), F.round(lat, 6).alias("lat"), F.round(lng, 6).alias("lng"), (F.col("radius_km") / d).alias("radius_km"), zoom(F.col("radius_km") * 2 / d).alias("zoom"))
 
 
 def cell_bounds(cells: DataFrame) -> DataFrame:

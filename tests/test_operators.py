@@ -180,3 +180,15 @@ def test_wide_and_high_grids_are_written_in_bounded_parts(spark):
     assert {i: [c for p in some for c in p] for i, some in parts.items()} == {i: [(r, c) for r in range(h) for c in range(w)] for i, (h, w) in shapes.items()}
     assert {i: len(p) for i, p in parts.items()} == {1: 5, 2: 5, 3: 1}
     assert geo.cells_of_json(grids).count() == cells.count() and geo.grid_json(boxes, cells.limit(0), 2.0).count() == 0
+
+
+def test_cells_of_few_boxes_are_dealt_to_all_tasks(spark):
+    """One large box fills every task, and parts follow the number of cells."""
+    box = spark.createDataFrame([(1, 5.0, 1.0, 6.0, 1.0)], "id int, north double, south double, east double, west double").coalesce(1)
+    cells = geo.grid_cells(box, 2.0)
+    held = cells.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in held) < 2 * cells.count() / len(held)
+    rows, cols = 4.0 * 111 // 2 + 2, 5.0 * 111 * 0.99863 // 2 + 2
+    assert geo.cell_parts(box, 2.0, 1000) == rows * cols // 1000 + 1
+    wrong = spark.createDataFrame([(1, 1.0, 5.0, 6.0, 1.0), (2, None, 1.0, 6.0, 1.0)], box.schema)
+    assert geo.cell_parts(wrong.where("id = 2"), 2.0) == geo.cell_parts(wrong, 2.0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
