@@ -188,20 +188,29 @@ def cell_selectors(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"unscraped": ~F.col("is_scraped") & ~F.col("is_empty"), "scraped": F.col("is_scraped"), "empty": F.col("is_empty")})
 
 
-def mark_scraped(cells: DataFrame, results: DataFrame, *by: str) -> DataFrame:
-    """cells with the counts of results(by..., cell_id, result_count), which has each cell once; those are scraped."""
+def _by_cell(df: DataFrame, by: tuple[str, ...], parts: int | None) -> DataFrame:
+    """df dealt by cell to so many tasks, which are not put together again however well a shuffle packs; None: as Spark deals."""
+    return df.repartition(parts, *by, "cell_id") if parts else df
+
+
+def mark_scraped(cells: DataFrame, results: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
+    """cells with the counts of results(by..., cell_id, result_count), which has each cell once; those are scraped.
+
+    With `parts` (`cell_parts`) a task sorts a bounded number of cells.
+    """
     found = results.select(*by, "cell_id", F.col("result_count").alias("__n"), F.lit(True).alias("__hit"))
-    joined = cells.join(found, [*by, "cell_id"], "left")
+    joined = _by_cell(cells, by, parts).join(_by_cell(found, by, parts), [*by, "cell_id"], "left")
     marks = {"is_scraped": F.col("is_scraped") | F.coalesce("__hit", F.lit(False)), "result_count": F.coalesce("__n", "result_count")}
     return joined.withColumns(marks).select(cells.columns)
 
 
-def mark_empty(cells: DataFrame, checks: DataFrame, *by: str) -> DataFrame:
+def mark_empty(cells: DataFrame, checks: DataFrame, *by: str, parts: int | None = None) -> DataFrame:
     """cells merged with checks(by..., cell_id, is_populated): those that are not populated are empty, and count as scraped.
 
-    Cells without a check stay as they are; a cell is empty if any of its checks says so.
+    Cells without a check stay as they are; a cell is empty if any of its checks says so.  With `parts` the checks are dealt as
+    `mark_scraped` deals cells, which are not dealt again.
     """
-    empty = checks.where(~F.col("is_populated")).select(*by, "cell_id").distinct().withColumn("__hit", F.lit(True))
+    empty = _by_cell(checks.where(~F.col("is_populated")).select(*by, "cell_id"), by, parts).distinct().withColumn("__hit", F.lit(True))
     joined = cells.join(empty, [*by, "cell_id"], "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
     return joined.withColumns({"is_empty": F.col("is_empty") | F.col("__hit"), "is_scraped": F.col("is_scraped") | F.col("__hit")}).select(cells.columns)
 

@@ -529,8 +529,8 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("id").cast("int").alias("id"), *[F.col(c).cast("double").alias(c) for c in ("north", "south", "east", "west")])
 
 
-def marked_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = geo.grid_cells(boxes(spark, d), 2.0)
+def marked_cells(spark: SparkSession, d: str, parts: int | None = None) -> DataFrame:
+    cells = geo.grid_cells(boxes(spark, d), 2.0, parts)
     n = F.col("row") * 7 + F.col("col") * 3 + F.col("id")
     return cells.withColumns({"is_scraped": n % 3 != 0, "is_empty": n % 5 == 0, "result_count": (n * 11 % 160).cast("int")})
 

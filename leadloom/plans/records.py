@@ -136,11 +136,12 @@ def _(spark, d):
 
 @query("mark_cells", f"WITH {MARKED_SQL} SELECT id, cell_id, (is_scraped OR n % 4 = 0 OR n % 6 = 1) AS is_scraped, (is_empty OR n % 6 = 1) AS is_empty, CASE WHEN n % 4 = 0 THEN n % 9 ELSE result_count END AS result_count FROM marked")
 def _(spark, d):
-    cells = marked_cells(spark, d)
+    parts = geo.cell_parts(boxes(spark, d), 2.0)
+    cells = marked_cells(spark, d, parts)
     n = F.col("row") * 7 + F.col("col") * 3 + F.col("id")
     results = cells.where(n % 4 == 0).select("id", "cell_id", (n % 9).cast("int").alias("result_count"))
     checks = cells.where(n % 2 == 1).select("id", "cell_id", (n % 6 != 1).alias("is_populated"))
-    return geo.mark_empty(geo.mark_scraped(cells, results, "id"), checks, "id").select("id", "cell_id", "is_scraped", "is_empty", "result_count")
+    return geo.mark_empty(geo.mark_scraped(cells, results, "id", parts=parts), checks, "id", parts=parts).select("id", "cell_id", "is_scraped", "is_empty", "result_count")
 
 
 @query("grid_json_round_trip", f"WITH {MARKED_SQL} SELECT id, cell_id, row, col, lat, lng, is_scraped, is_empty, CAST(result_count AS INT) AS result_count FROM marked")

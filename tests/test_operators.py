@@ -192,3 +192,14 @@ def test_cells_of_few_boxes_are_dealt_to_all_tasks(spark):
     assert geo.cell_parts(box, 2.0, 1000) == rows * cols // 1000 + 1
     wrong = spark.createDataFrame([(1, 1.0, 5.0, 6.0, 1.0), (2, None, 1.0, 6.0, 1.0)], box.schema)
     assert geo.cell_parts(wrong.where("id = 2"), 2.0) == geo.cell_parts(wrong, 2.0) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_marks_are_joined_in_as_many_parts_as_asked_for(spark):
+    """Small or well-packed shuffles are not put together into one task; the marks are the same."""
+    cells = spark.range(2000).selectExpr("cast(id % 3 as int) AS id", "concat('r', id) AS cell_id", "false AS is_scraped", "id % 5 = 0 AS is_empty", "cast(id as int) AS result_count")
+    results = cells.where("result_count % 4 = 0").selectExpr("id", "cell_id", "7 AS result_count")
+    checks = cells.where("result_count % 6 = 0").selectExpr("id", "cell_id", "result_count % 12 = 0 AS is_populated")
+    checks = checks.union(checks)
+    marked = lambda parts: geo.mark_empty(geo.mark_scraped(cells, results, "id", parts=parts), checks, "id", parts=parts)
+    assert marked(9).groupBy(F.spark_partition_id()).count().count() == 9
+    assert sorted(marked(9).collect()) == sorted(marked(None).collect()) and marked(9).where("is_scraped").count() == 500 + 167
