@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import nullif_empty, strip
+from .text import let, nullif_empty, strip
 
 # Domains that are no business web site, and path words of contact pages.
 SOCIAL_SITES = ["facebook.com", "fb.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "youtu.be", "tiktok.com", "pinterest.com", "snapchat.com", "t.me", "telegram.me", "wa.me", "whatsapp.com", "threads.net"]
+SOCIAL_HOST = rf"(?:^|\.)(?:{'|'.join(map(re.escape, SOCIAL_SITES))})\z"
 CONTACT_WORDS = ["contact", "about", "team", "reach", "connect", "privacy", "impressum", "agent"]
 HREF = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
@@ -19,17 +22,12 @@ def host(url: Column) -> Column:
 
 
 def validate_url(c: Column, reject_social: bool = False) -> Column:
-    s = strip(c)
-    url = F.when(s.startswith("http://") | s.startswith("https://"), s).otherwise(F.concat(F.lit("https://"), s))
-    ok = present_text(c) & (F.regexp_extract(url, r"^https?://([^/?#]*)", 1) != "")
-    if reject_social:
-        name = host(url)
-        ok = ok & ~(name.isin(SOCIAL_SITES) | F.exists(F.array(*map(F.lit, SOCIAL_SITES)), lambda d: name.endswith(F.concat(F.lit("."), d))))
-    return F.when(ok, url)
-
+    def checked(url: Column) -> Column:
+        ok = F.regexp_extract(url, r"^https?://([^/?#]*)", 1) != ""
+        return F.when(ok & ~host(url).rlike(SOCIAL_HOST) if reject_social else ok, url)
 
-def present_text(c: Column) -> Column:
-    return F.coalesce(c, F.lit("")) != ""
+    whole = lambda s: F.when(s.startswith("http://") | s.startswith("https://"), s).otherwise(F.concat(F.lit("https://"), s))
+    return let(let(strip(c), whole), checked)
 
 
 def normalize_url(c: Column) -> Column:
@@ -67,8 +65,8 @@ def place_id_of_data(url: Column) -> Column:
 
 def unwrap_website(href: Column) -> Column:
     """The target of a '/url?q=' redirect or the link itself, if it is no social site."""
-    target = F.try_url_decode(nullif_empty(F.regexp_extract(href, r"[?&]q=([^&#]*)", 1)))
-    return F.when(href.contains("/url?q="), validate_url(target, True)).otherwise(validate_url(href, True))
+    target = lambda h: F.try_url_decode(nullif_empty(F.regexp_extract(h, r"[?&]q=([^&#]*)", 1)))
+    return let(href, lambda h: validate_url(F.when(h.contains("/url?q="), target(h)).otherwise(h), True))
 
 
 def query_plus(c: Column) -> Column:

@@ -114,7 +114,7 @@ def test_hours_and_attributes(spark):
     assert not one(spark, fields.is_valid_description(S("4.3 Fine dining restaurant with many words")))
 
 
-@pytest.mark.parametrize("f", [text.validate_email, text.decode_cf_email, lambda c: text.find_emails_unescaped(c, F.lit("")), text.social_links])
+@pytest.mark.parametrize("f", [text.validate_email, text.decode_cf_email, lambda c: text.find_emails_unescaped(c, F.lit("")), text.social_links, urls.validate_url, lambda c: urls.validate_url(c, True), urls.unwrap_website])
 def test_input_is_computed_once(spark, f):
     """What a function does with its input may nest, but must not repeat it: the input can be an expression of any cost."""
     assert str(f(F.col("__input"))).count("__input") == 1
